@@ -24,6 +24,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles and two bits, as the contract of this query has it."""
+    from heddle.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, max_diff=2)
+
+
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.merkle import edited_neighbours
+
+    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.piece_codec import digests
 
@@ -32,6 +45,8 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
+    "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op10_piece_codec": op10_piece_codec,
 }
 
