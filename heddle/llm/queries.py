@@ -37,6 +37,12 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.piece_codec import digests
 
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_piece_codec": op10_piece_codec,
 }
 
