@@ -37,6 +37,12 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.packing import pack
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
+    "op4_near_vectors": op4_near_vectors,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_piece_codec": op10_piece_codec,
 }
