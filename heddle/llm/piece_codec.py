@@ -3,8 +3,8 @@
 The library's merge loop is not run over the text. Instead:
 
 1. The text is escaped as the library does (a mark before it, spaces become marks) and cut where
-   no piece can reach: before a run of marks, and around characters outside the vocabulary, which
-   become byte pieces. The cuts are read off the vocabulary, not assumed.
+   no piece can reach: before a run of marks, and between characters that stand together in no piece
+   (those outside the vocabulary become byte pieces). The cuts are read off the vocabulary, not assumed.
 2. In each unit, an Aho-Corasick automaton of all pieces gives the longest piece at each place.
    From left to right the longest piece is taken whose re-merged concatenation with the piece
    before it gives back those two pieces (checked by merging, remembered by pair). Where none
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from heddle.llm.common import filled, map_batches, texts
 
 MARK = "▁"
-#: Units, and pairs of pieces, that a worker remembers; beyond it the memory is emptied.
-MEMO_UNITS, MEMO_PAIRS = 200_000, 400_000
+#: Units, their parts and pairs of pieces that a worker remembers; beyond it the memory is emptied.
+MEMO_UNITS, MEMO_PARTS, MEMO_PAIRS = 300_000, 200_000, 400_000
 #: Longer units are encoded anew each time.
 MEMO_CHARS = 40
 
@@ -88,57 +88,115 @@ class PieceCodec:
         self.single = {x for x in score if len(x) == 1}
         self.auto = ahocorasick.Automaton()
         for x in self.score:
-            self.auto.add_word(x, x)
+            self.auto.add_word(x, (len(x) - 1, x))
         self.auto.make_automaton()
+        self.spine: dict[str, tuple[list, list] | None] = {}
+        self.inside = {x[k : k + 2] for x in self.score for k in range(len(x) - 1)}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.first: dict[str, tuple[int, ...]] = {}
         self.later: dict[str, tuple[int, ...]] = {}
+        self.missed = 0
         self.runs: dict[int, tuple[int, ...]] = {}
         self.cut_lines = "\n" not in self.single
 
+    def spines(self, piece: str) -> tuple[list, list] | None:
+        """The symbols that stand at the piece's right and left end while its characters merge,
+        each with the rank of the merge that ends it. None if its merges aren't in rank order."""
+        if piece in self.spine:
+            return self.spine[piece]
+        symbols, right, left, last, ordered = [*piece], [], [], -1.0, True
+        while len(symbols) > 1:
+            ranks = [-self.score.get(x + y, float("-inf")) for x, y in zip(symbols, symbols[1:], strict=False)]
+            rank = min(ranks)
+            k = ranks.index(rank)
+            ordered &= last <= rank < float("inf")
+            if not ordered:
+                break
+            if k == len(symbols) - 2:
+                right.append((symbols[-1], rank))
+            if k == 0:
+                left.append((symbols[0], rank))
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            last = rank
+        end = [(piece, float("inf"))]
+        self.spine[piece] = (right + end, left + end) if ordered else None
+        return self.spine[piece]
+
     def compatible(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both gives back just these two."""
+        """Whether merging the characters of both gives back just these two.
+
+        It does unless, on the way, a symbol at the left one's end and one at the right one's
+        start merge before either is taken by its own side; among equal ranks the merge further
+        left comes first. Pieces with merges out of rank order are merged as a whole.
+        """
         key = (left, right)
         if (known := self.fits.get(key)) is None:
             if len(self.fits) >= MEMO_PAIRS:
                 self.fits.clear()
-            known = self.fits[key] = merged([*left, *right], self.score) == [x for x in key if x]
+            a, b = self.spines(left) if left else ([], []), self.spines(right)
+            if a is None or b is None:
+                known = merged([*left, *right], self.score) == [x for x in key if x]
+            else:
+                score = self.score
+                known = True
+                for x, until_x in a[0]:
+                    for y, until_y in b[1]:
+                        s = score.get(x + y)
+                        if s is not None and -s < until_x and -s <= until_y:
+                            known = False
+            self.fits[key] = known
         return known
 
     def pieces(self, unit: str) -> list[str]:
         """The pieces of a unit, all of whose characters are in the vocabulary."""
-        longest = [""] * len(unit)
-        for end, x in self.auto.iter(unit):
-            longest[end - len(x) + 1] = x if len(x) > len(longest[end - len(x) + 1]) else longest[end - len(x) + 1]
+        size, score, fits = len(unit), self.score, self.fits
+        longest = [""] * size
+        for end, (n, x) in self.auto.iter(unit):  # for one start, longer ones come later
+            longest[end - n] = x
         failed = 0  # bit p: no compatible sequence goes on from p
         out: list[str] = []
-        at, piece = 0, longest[0]
-        while at < len(unit):
-            before = out[-1] if out else ""
-            while piece and (failed >> (at + len(piece)) & 1 or piece not in self.score or not self.compatible(before, piece)):
+        at, piece, before = 0, longest[0], ""
+        while True:
+            while piece:
+                if piece in score and not failed >> (at + len(piece)) & 1:
+                    fit = fits.get((before, piece))
+                    if self.compatible(before, piece) if fit is None else fit:
+                        break
                 piece = piece[:-1]
             if piece:
                 out.append(piece)
                 at += len(piece)
-                piece = longest[at] if at < len(unit) else ""
+                if at == size:
+                    return out
+                before, piece = piece, longest[at]
             else:
                 failed |= 1 << at
                 piece = out.pop()
                 at -= len(piece)
-                piece = piece[:-1]
-        return out
+                before, piece = out[-1] if out else "", piece[:-1]
+
+    def part_ids(self, part: str) -> tuple[int, ...]:
+        ids = self.parts.get(part)
+        if ids is None:
+            known = part[0] in self.single
+            ids = tuple([self.id[x] for x in self.pieces(part)] if known else [self.byte[b] for c in part for b in c.encode()])
+            if len(part) <= MEMO_CHARS:
+                if len(self.parts) >= MEMO_PARTS:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
 
     def unit_ids(self, unit: str) -> tuple[int, ...]:
-        """Ids of a unit: pieces where the vocabulary has its characters, else bytes."""
-        ids: list[int] = []
-        start = 0
-        for k, c in enumerate(unit):
-            if c not in self.single:
-                ids += [self.id[x] for x in self.pieces(unit[start:k])] if k > start else []
-                ids += [self.byte[b] for b in c.encode()]
-                start = k + 1
-        if start < len(unit):
-            ids += [self.id[x] for x in self.pieces(unit[start:])]
+        """Ids of a unit, cut between neighbours that stand together in no piece. Characters
+        outside the vocabulary are in no piece, so they are cut off too, and become bytes."""
+        inside, ids, start = self.inside, [], 0
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in inside:
+                ids += self.part_ids(unit[start:k])
+                start = k
+        if unit:
+            ids += self.part_ids(unit[start:])
         return tuple(ids)
 
     def run_ids(self, n: int) -> tuple[int, ...]:
@@ -154,9 +212,13 @@ class PieceCodec:
         if ids is None:
             ids = self.unit_ids(prefix + word)
             if len(word) <= MEMO_CHARS:
-                if len(memo) >= MEMO_UNITS:
-                    memo.clear()
-                memo[word] = ids
+                if len(memo) < MEMO_UNITS:
+                    memo[word] = ids
+                else:  # keep the frequent early ones until many others have come by
+                    self.missed += 1
+                    if self.missed > 8 * MEMO_UNITS:
+                        self.missed = 0
+                        memo.clear()
         return ids
 
     def encode(self, text: str) -> list[int]:
