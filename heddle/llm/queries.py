@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heddle.llm.common import table
+from heddle.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -43,6 +45,13 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.line_dedup import drop_boilerplate
+
+    done = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.packing import pack
 
@@ -66,9 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_near_vectors": op4_near_vectors,
+    "op5_line_dedup": op5_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op10_piece_codec": op10_piece_codec,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": LINE_DEDUP_SQL,
+}
