@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import table
 from heddle.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
+from heddle.llm.url_lists import ORACLE as URL_LISTS_SQL
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -52,6 +53,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.packing import pack
 
@@ -64,6 +71,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op9_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.url_lists import dated_pages, demonstration_list, judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(dated_pages(pages), demonstration_list(pages)).withColumnRenamed("id", "page_id")
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.piece_codec import digests
 
@@ -76,11 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_near_vectors": op4_near_vectors,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality": op6_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
+    "op9_temporal_url_lists": op9_temporal_url_lists,
     "op10_piece_codec": op10_piece_codec,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_temporal_url_lists": URL_LISTS_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
 }
