@@ -13,6 +13,9 @@ longer prefixes are then tested, and the full Hamming distance last. A fingerpri
 number of keys, so the work grows with the number of different fingerprints, and a key is met by
 few of them, also in very large tables.
 
+On request, links also need a Jaccard similarity of the shingle sets, computed on the texts of the
+pairs that the fingerprints link.
+
 Copies have one fingerprint and are one node; links are between different fingerprints. Nothing
 is capped. Ids may repeat (each row gets its own fingerprint and component); a null id never
 gives a component its name unless all ids in it are null. A null text is an empty one. Documents
@@ -26,7 +29,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import filled, map_batches, materialise
@@ -108,14 +111,80 @@ def links(nodes: DataFrame, max_diff: int) -> DataFrame:
     return pairs.where(within).where(F.bit_count(diff) <= max_diff).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, width: int = 5, max_diff: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint hex string, component_id) for each row."""
+def shingle_set(text: bytes, width: int) -> set[bytes]:
+    words = text.lower().split()
+    if len(words) < width:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
+
+
+def similar(pairs: DataFrame, df: DataFrame, similarity: float, width: int, text_col: str) -> DataFrame:
+    """The pairs of fingerprints for whose texts the shingle sets have this Jaccard similarity
+    (of a fingerprint's texts, the least in their order). Other texts are not looked at."""
+    pairs = materialise(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("__fp")).unionAll(pairs.select("b")).distinct()
+    rows = _with_fingerprint(df.select(filled(text_col)), width, "text")
+    found = materialise(rows.join(ends, "__fp").groupBy("__fp").agg(F.min("text").alias("text")))
+    left, right = found.toDF("a", "text_a"), found.toDF("b", "text_b")
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = ([shingle_set((x or "").encode(), width) for x in batch.column(c).to_pylist()] for c in ("text_a", "text_b"))
+            keep = [len(x & y) >= similarity * len(x | y) for x, y in zip(*sets, strict=True)]
+            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return one
+
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), make, "a long, b long")
+
+
+def _labelled(df: DataFrame, width: int, max_diff: int, similarity: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp), and for each fingerprint (fp, root, label): its first id and its group."""
     rows = materialise(fingerprints(df, width, id_col, text_col))
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("root")))
-    labels = connected_components(links(nodes.select("fp"), max_diff))
+    pairs = links(nodes.select("fp"), max_diff)
+    if similarity is not None:
+        pairs = similar(pairs, df, similarity, width, text_col)
+    labels = connected_components(pairs)
     named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "root", F.coalesce("label", "fp").alias("label"))
-    named = materialise(named)
+    return rows, materialise(named)
+
+
+def near_duplicates(df: DataFrame, width: int = 5, max_diff: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint hex string, component_id) for each row. With ``similarity``, links also
+    need that Jaccard similarity of the shingle sets."""
+    rows, named = _labelled(df, width, max_diff, similarity, id_col, text_col)
     least = named.groupBy("label").agg(F.min("root").alias("component_id"))
     of = materialise(named.select("fp", "label").join(least, "label").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(of, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+
+
+def deduplicate(df: DataFrame, width: int = 5, max_diff: int = 6, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near-duplicates: that of the smallest id (null last),
+    then fingerprint. Of rows that repeat with their id, one stays."""
+    rows, named = _labelled(df, width, max_diff, similarity, id_col, text_col)
+    counted = rows.groupBy("id", "fp").agg(F.count("*").alias("n")).join(named.select("fp", "label"), "fp")
+    counted = materialise(counted)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp"))
+    groups = materialise(counted.groupBy("label").agg(first.alias("first"), F.sum("n").alias("rows")).where("rows > 1"))
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("fp") == F.col("first.fp"))
+    more = materialise(counted.join(groups, "label").select("id", "fp", is_first.alias("first")))
+    with_fp = _with_fingerprint(df, width, text_col)
+    action = more.select(F.col("id").alias("__id"), F.col("fp").alias("__of"), F.col("first").alias("__first"))
+    joined = with_fp.join(action, with_fp[id_col].eqNullSafe(action["__id"]) & (with_fp["__fp"] == action["__of"]), "left")
+    nth = F.row_number().over(Window.partitionBy(id_col, "__fp").orderBy(F.lit(0)))
+    return joined.where(F.coalesce("__first", F.lit(True))).withColumn("__nth", nth).where("__nth = 1").select(*df.columns)
+
+
+def _with_fingerprint(df: DataFrame, width: int, text_col: str) -> DataFrame:
+    """All columns of ``df``, and __fp."""
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = np.array([fingerprint((x or "").encode(), width) for x in batch.column(text_col).to_pylist()], np.uint64)
+            return batch.append_column("__fp", pa.array(found.view(np.int64), pa.int64()))
+
+        return one
+
+    return map_batches(df, make, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "__fp long"]))
