@@ -43,12 +43,18 @@ def _fold_table() -> tuple[str, str, str]:
     return "".join(single + deleted), "".join(becomes), "".join(rest)
 
 
+def fold_jvm(text: Column) -> Column:
+    """``fold`` without Python, for use inside higher-order functions: letters that decompose into
+    several characters stay."""
+    return F.lower(F.translate(text, *_fold_table()[:2]))
+
+
 def fold(text: Column) -> Column:
     """``fold_python`` of a column. Letters of most scripts are translated in the JVM; only texts
     with characters that decompose into several go to Python."""
-    single, becomes, rest = _fold_table()
+    rest = _fold_table()[2]
     rare = text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in rest) + f"\\x{{{TABLE_END:x}}}-\\x{{10ffff}}]")
-    return F.coalesce(_fold_rest(F.when(rare, text)), F.lower(F.translate(text, single, becomes)))
+    return F.coalesce(_fold_rest(F.when(rare, text)), fold_jvm(text))
 
 
 def match_blob(text: Column) -> Column:
@@ -95,7 +101,7 @@ def banned_hits(text: Column, phrases: tuple[str, ...]) -> Column:
 def scores(text: Column) -> Column:
     """Distinct "a-b" of the scores up to 15 in the text, but for sentences on a partial score."""
     sentences = F.split(text, r"[.;!?\n]")
-    plain = F.transform(sentences, lambda s: F.struct(s.alias("raw"), F.replace(F.translate(F.lower(F.translate(s, *_fold_table()[:2])), "łø", "lo"), F.lit("ß"), F.lit("ss")).alias("folded")))
+    plain = F.transform(sentences, lambda s: F.struct(s.alias("raw"), F.replace(F.translate(fold_jvm(s), "łø", "lo"), F.lit("ß"), F.lit("ss")).alias("folded")))
     partial = "|".join(map(quoted, (*fixed.HALF_TIME, *fixed.SHOOT_OUT, *fixed.EXTRA_TIME)))
     final = F.filter(plain, lambda s: ~s["folded"].rlike(partial))
     pairs = F.flatten(F.transform(final, lambda s: F.arrays_zip(F.regexp_extract_all(s["raw"], F.lit(fixed.SCORE), F.lit(1)).alias("a"), F.regexp_extract_all(s["raw"], F.lit(fixed.SCORE), F.lit(2)).alias("b"))))
@@ -122,8 +128,8 @@ def slug(text: Column) -> Column:
     return F.when(s == "", F.lit("x")).otherwise(s)
 
 
-def hashtag_slug(text: Column) -> Column:
-    return F.regexp_replace(fold(F.translate(text, "łŁ", "lL")), "[^a-z0-9]", "")
+def hashtag_slug(text: Column, folded=fold) -> Column:
+    return F.regexp_replace(folded(F.translate(text, "łŁ", "lL")), "[^a-z0-9]", "")
 
 
 def minted(prefix: str, *parts: Column) -> Column:
