@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from heddle.plans import evidence_queries, health_queries, report_queries, text_queries, url_queries  # noqa: F401
+    from heddle.plans import evidence_queries, health_queries, pipeline_queries, report_queries, text_queries, url_queries  # noqa: F401
 
 
 _load()
