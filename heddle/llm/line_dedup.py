@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from heddle.llm.common import materialise
 
 MIN_SITES, MIN_CHARS, MAX_SHARE = 5, 20, 0.5
+#: Rows of one line meet what is known of it in so many tasks.
+SALTS = 32
 #: 2 ** LG_K registers a sketch; its relative standard error is about 1.04 / sqrt(2 ** LG_K).
 LG_K, BAND = 10, 8
 ERROR = 1.04 / 2 ** (LG_K / 2)
@@ -56,6 +58,14 @@ def line_rows(df: DataFrame, min_chars: int, site_col: str, text_col: str) -> Da
     return wide.select(*_hashes(F.col("line")), "site", "r1", "r2", "pos")
 
 
+def meet(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """The line rows whose hashes are among ``some``. A line may stand in a third of all documents,
+    so its rows are dealt out by document, and its hashes are copied to each part."""
+    salted = lines.withColumn("salt", F.pmod("r1", F.lit(SALTS)))
+    copies = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(copies, ["h1", "h2", "salt"]).drop("salt")
+
+
 def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     """(h1, h2) of the lines on min_sites or more different sites."""
     h = ["h1", "h2"]
@@ -64,26 +74,26 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     margin = BAND * ERROR * min_sites + 1
     sure = sketched.where(F.col("sites") >= min_sites + margin).select(*h)
     near = sketched.where(F.col("sites") < min_sites + margin).select(*h)
-    pairs = lines.select(*h, "site").join(near, h).where("site is not null").distinct()
+    pairs = meet(lines.where("site is not null").select(*h, "site", "r1"), near).select(*h, "site").distinct()
     exact = pairs.groupBy(*h).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(*h)
     return sure.unionAll(exact)
 
 
-def drop_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``df`` with boilerplate lines cut from its texts, and n_removed, the number of them."""
+def drop_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, site_col: str = "source", text_col: str = "text", removed_col: str = "n_removed") -> DataFrame:
+    """``df`` with boilerplate lines cut from its texts, and the number of them as a new column."""
     lines = line_rows(df, min_chars, site_col, text_col)
     found = materialise(spread(lines, min_sites))
-    places = lines.select("h1", "h2", "r1", "r2", "pos").join(found, ["h1", "h2"]).select("r1", "r2", "pos")
-    cuts = materialise(places.groupBy("r1", "r2").agg(F.collect_set("pos").alias("__cut")))
+    places = meet(lines.select("h1", "h2", "r1", "r2", "pos"), found)
+    cuts = materialise(places.groupBy("r1", "r2").agg(F.collect_set("pos").alias("__cut")).withColumnsRenamed({"r1": "__c1", "r2": "__c2"}))
     keyed = df.withColumns({"__r1": F.xxhash64(text_col), "__r2": F.xxhash64(F.lit("row"), F.col(text_col))})
-    joined = keyed.join(cuts, (keyed["__r1"] == cuts.r1) & (keyed["__r2"] == cuts.r2), "left")
+    joined = keyed.join(cuts, (F.col("__r1") == F.col("__c1")) & (F.col("__r2") == F.col("__c2")), "left")
     kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains("__cut", i)), "\n")
     joined = joined.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept))
     enough = F.coalesce(F.length("__kept") >= (1 - max_share) * F.length(text_col), F.lit(False))
     text = F.when(enough, F.col("__kept")).otherwise(F.col(text_col))
     removed = F.when(enough, F.size("__cut")).otherwise(0).cast("long")
     names = [F.col(c) if c != text_col else text.alias(text_col) for c in df.columns]
-    return joined.select(*names, removed.alias("n_removed"))
+    return joined.select(*names, removed.alias(removed_col))
 
 
 ORACLE = rf"""
