@@ -210,7 +210,7 @@ def keep_good(df: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFram
     def make():
         return lambda batch: batch.filter(pa.array([scorer.score(x or "") >= KEEP for x in batch.column(text_col).to_pylist()]))
 
-    return map_batches(df, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    return map_batches(df, make, df.schema)
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -190,8 +190,7 @@ def redact(df: DataFrame, model: Model, text_col: str = "text", mark: str = "[{}
 
         return one
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return map_batches(df, make, schema)
+    return map_batches(df, make, df.schema)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

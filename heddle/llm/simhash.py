@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from heddle.llm.common import filled, map_batches, materialise
 from heddle.llm.components import connected_components
@@ -187,4 +188,4 @@ def _with_fingerprint(df: DataFrame, width: int, text_col: str) -> DataFrame:
 
         return one
 
-    return map_batches(df, make, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "__fp long"]))
+    return map_batches(df, make, StructType([*df.schema.fields, StructField("__fp", LongType())]))
