@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 SCHEDULE = "competition string, matches array<struct<`date`: string, home: string, away: string, city: string, stadium: string, stage: string>>"
 # Tiers of media outlets, their confidence.
 TIERS, CONFIDENCE = ("A", "B", "C"), ("high", "medium")
-# Infrastructure providers with tier.
-INFRASTRUCTURE = (("FIFA", "A"), ("UEFA", "A"), ("Opta", "A"), ("FixtureRepository", "B"), ("Operator", "C"), ("Search", "C"))
+# Infrastructure providers with tier, capabilities, mode, domains.
+INFRASTRUCTURE = (
+    ("OfflineVerifiedFixture", "A", ["resolve", "facts"], "fixture", []),
+    ("OfflineMetricFixture", "B", ["metrics"], "fixture", []),
+    ("OfflineNarrativeFixture", "C", ["narratives"], "fixture", []),
+    ("OfficialMatchApi", "A", ["resolve", "facts"], "api", ["fifa.com", "uefa.com"]),
+    ("LicensedStatsApi", "B", ["metrics"], "api", []),
+    ("SearchApiNarratives", "C", ["narratives"], "research", []),
+)
 
 
 class RegistryError(ValueError):
@@ -45,7 +52,7 @@ def registry(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_countries = countries.agg(F.count("*").alias("n"), F.count_distinct("country").alias("different"), F.count_if(blank("country") | blank("language")).alias("blank"), F.count_if(F.coalesce(F.col("n_outlets") < 1, F.lit(True))).alias("bare")).first()
     of_outlets = outlets.agg(
         F.count("*").alias("n"), F.count_distinct("provider_id").alias("different"), F.count_if(blank("provider_id") | blank("name")).alias("blank"), F.count_if(~F.coalesce(F.col("tier").isin(*TIERS), F.lit(False))).alias("tier"),
-        F.count_if(~F.col("confidence").isin(*CONFIDENCE)).alias("confidence"), F.count_if(F.coalesce(F.size("domains") < 1, F.lit(True))).alias("domains"), F.count_if(F.col("provider_id").isin(*(n for n, _ in INFRASTRUCTURE))).alias("reserved"),
+        F.count_if(~F.col("confidence").isin(*CONFIDENCE)).alias("confidence"), F.count_if(F.coalesce(F.size("domains") < 1, F.lit(True))).alias("domains"), F.count_if(F.col("provider_id").isin(*(x[0] for x in INFRASTRUCTURE))).alias("reserved"),
     ).first()
     problems = {
         "no countries": of_countries["n"] == 0, "a country twice": of_countries["n"] != of_countries["different"], "a blank country": of_countries["blank"], "a country without outlets": of_countries["bare"],
@@ -59,7 +66,11 @@ def registry(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def infrastructure(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(INFRASTRUCTURE), "provider_id string, tier string")
+    return spark.createDataFrame(list(INFRASTRUCTURE), "provider_id string, tier string, capabilities array<string>, mode string, domains array<string>")
+
+
+def providers_with(providers: DataFrame, capability: str) -> DataFrame:
+    return providers.where(F.array_contains("capabilities", capability)).orderBy("tier", "provider_id")
 
 
 def read_schedule(spark: SparkSession, path: str) -> DataFrame:

@@ -67,7 +67,7 @@ GOOD = {"countries": [{"country": "Meksyk", "language": "es", "outlets": [{"prov
 
 @pytest.mark.parametrize(("change", "said"), [
     (lambda c: c["outlets"][0].update(tier="D"), "bad tier"), (lambda c: c["outlets"][0].update(domains=[]), "without domains"), (lambda c: c["outlets"][0].update(name=" "), "blank provider"),
-    (lambda c: c["outlets"].append(dict(c["outlets"][0])), "provider twice"), (lambda c: c.update(country=" "), "blank country"), (lambda c: c["outlets"][0].update(provider_id="FIFA"), "reserved"),
+    (lambda c: c["outlets"].append(dict(c["outlets"][0])), "provider twice"), (lambda c: c.update(country=" "), "blank country"), (lambda c: c["outlets"][0].update(provider_id="OfficialMatchApi"), "reserved"),
 ])
 def test_registry_is_strict(spark, tmp_path, change, said):
     good = json.loads(json.dumps(GOOD))
