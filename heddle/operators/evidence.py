@@ -49,7 +49,7 @@ def winner(rows: DataFrame, key: list[str], value: str) -> DataFrame:
 
 def check_providers(rows: DataFrame, providers: DataFrame, url: str = "url", provider: str = "provider_id") -> DataFrame:
     """Rows with tier and reason: null if the provider is known and the URL is in its domains."""
-    joined = rows.join(F.broadcast(providers.select(provider, "tier", "domains")), provider, "left")
+    joined = rows.join(providers.select(provider, "tier", "domains"), provider, "left")
     reason = F.when(F.col("tier").isNull(), "unknown_provider").when(~domain_allowed(F.col(url), F.col("domains")), "domain_not_allowed")
     return joined.withColumn("reason", reason).drop("domains")
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from heddle.functions.text import fold
 from heddle.operators import lookup, pipelines, ranking, validators
 from heddle.plans.catalog import query
 from heddle.sources.registry import registry
+from heddle.sources.sinks import shared_folder
 from heddle.sources.tables import load
 from heddle.streaming import health as stream
 
@@ -151,12 +150,6 @@ def dim_registry_load(spark: SparkSession, d: str) -> DataFrame:
     return outlets.select("country", "provider_id", "tier", "confidence", "language")
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below the checkpoint folder where one is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heddle-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = load(spark, d, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -170,7 +163,7 @@ select key, event_id, outcome, day, age from (select *, row_number() over (parti
 def stream_health(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream through keyed state, to the same windows as the batch query's."""
     rows = _event_stream(spark, d).withColumn("outcome", F.col("event_type")).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    folder = _stream_folder(spark)
+    folder = shared_folder(spark, "stream")
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
@@ -185,7 +178,7 @@ def stream_health(spark: SparkSession, d: str) -> DataFrame:
 @query("select cast(date_trunc('day', ts) as date) as day, event_type, count(*) as n from events group by all")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """An extension: daily counts with a watermark."""
-    folder = _stream_folder(spark)
+    folder = shared_folder(spark, "stream")
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")

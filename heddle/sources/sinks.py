@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names, which all executors share; a
+    temporary one only where that is unset and all runs in one process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="heddle-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def save_runs(runs: DataFrame, folder: str, key: str = "run_id") -> None:
     """One folder of JSON for each run; a run that is written again replaces its own only."""
     conf = runs.sparkSession.conf
