@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -28,12 +29,15 @@ def small_batches(spark: SparkSession) -> None:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage.
 
-    The folder is what ``spark.checkpoint.dir`` names; only where that is unset, as in local
-    tests, a temporary one is used.
+    The folder is what ``spark.checkpoint.dir`` names. Only where that is unset and all runs in one
+    process, as in tests, a temporary one is used. Spark removes the files when nothing refers to
+    them any more if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="heddle-checkpoint-"))
     return df.checkpoint()
 
