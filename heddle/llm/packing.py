@@ -49,8 +49,8 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         memo = word_memo(path)
         for batch in batches:
             rows, cut = [], []
-            for k, x in enumerate(texts(batch)):
-                ids = memo.ids(x) + end
+            for k, ids in enumerate(memo.batch(texts(batch))):
+                ids += end
                 for j, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append(k)
