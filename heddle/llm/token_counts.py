@@ -92,7 +92,10 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             all_texts = texts(batch)
-            counts = [len(memo.ids(x)) // 4 if len(x) <= chunk_chars else len(long_ids(tok, x, chunk_chars, overlap_chars)) for x in all_texts]
+            counts = [len(ids) // 4 for ids in memo.batch([x if len(x) <= chunk_chars else "" for x in all_texts])]
+            for k, x in enumerate(all_texts):
+                if len(x) > chunk_chars:
+                    counts[k] = len(long_ids(tok, x, chunk_chars, overlap_chars))
             sizes = [len(x.encode()) for x in all_texts]
             return pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts]), pa.array(map(len, all_texts), pa.int64())], ["id", "n_bytes", "n_tokens", "over_limit", "n_chars"])
 
