@@ -19,7 +19,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import filled, map_batches, texts
@@ -147,11 +147,11 @@ def fit_on(df: DataFrame, text_col: str = "text", documents: int = FIT_DOCUMENTS
         return one
 
     found = map_batches(rows, make, "kind string, value string").where(F.length("value") <= 256).distinct()
-    ranked = found.withColumn("h", F.xxhash64("value"))
-    labelled: dict[str, list[str]] = generated(FIT_EXAMPLES)
-    for kind in (*KINDS[:3], "ordinary"):
-        limit = FIT_EXAMPLES * (4 if kind == "ordinary" else 1)
-        labelled[kind] = [r["value"] for r in ranked.where(F.col("kind") == kind).orderBy("h", "value").limit(limit).collect()]
+    limit = F.when(F.col("kind") == "ordinary", 4 * FIT_EXAMPLES).otherwise(FIT_EXAMPLES)
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    labelled: dict[str, list[str]] = generated(FIT_EXAMPLES) | {kind: [] for kind in (*KINDS[:3], "ordinary")}
+    for r in found.withColumn("nth", nth).where(F.col("nth") <= limit).collect():  # at most 7 * FIT_EXAMPLES rows
+        labelled[r["kind"]].append(r["value"])
     return fit(labelled, labelled.pop("ordinary"))
 
 
