@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -16,6 +17,11 @@ from heddle.functions import fixed
 TABLE_END = 0x2100
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_python(text: str) -> str:
     """Compatibility decomposition without combining marks, in lower case."""
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
@@ -43,17 +49,24 @@ def _fold_table() -> tuple[str, str, str]:
     return "".join(single + deleted), "".join(becomes), "".join(rest)
 
 
+def _others(text: Column) -> Column:
+    """The distinct characters beyond ASCII."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7f]"), F.lit(0)))
+
+
 def fold_jvm(text: Column) -> Column:
     """``fold`` without Python, for use inside higher-order functions: letters that decompose into
-    several characters stay."""
-    return F.lower(F.translate(text, *_fold_table()[:2]))
+    several characters stay. A text has few different characters beyond ASCII, so each is looked up
+    once and replaced in the whole text, which is much cheaper than a look-up of every character."""
+    single, becomes, _ = _fold_table()
+    return F.lower(F.aggregate(_others(text), text, lambda t, c: F.replace(t, c, F.translate(c, single, becomes))))
 
 
 def fold(text: Column) -> Column:
-    """``fold_python`` of a column. Letters of most scripts are translated in the JVM; only texts
+    """``fold_python`` of a column. Letters of most scripts are replaced in the JVM; only texts
     with characters that decompose into several go to Python."""
     rest = _fold_table()[2]
-    rare = text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in rest) + f"\\x{{{TABLE_END:x}}}-\\x{{10ffff}}]")
+    rare = F.array_join(_others(text), "").rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in rest) + f"\\x{{{TABLE_END:x}}}-\\x{{10ffff}}]")
     return F.coalesce(_fold_rest(F.when(rare, text)), fold_jvm(text))
 
 
@@ -93,9 +106,10 @@ def banned_pattern(phrase: str) -> str | None:
 
 def banned_hits(text: Column, phrases: tuple[str, ...]) -> Column:
     """Sorted array of the phrases that the text has."""
-    folded = fold(text)
-    found = [F.when(folded.rlike(p), F.lit(x)) for x in phrases if (p := banned_pattern(x))]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))) if found else F.array().cast("array<string>")
+    patterns = [(p, x) for x in phrases if (p := banned_pattern(x))]
+    if not patterns:
+        return F.array().cast("array<string>")
+    return let(fold(text), lambda folded: F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(folded.rlike(p), F.lit(x)) for p, x in patterns))))))
 
 
 def scores(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from heddle.functions import fixed
-from heddle.functions.text import fold, has_word, match_blob
+from heddle.functions.text import fold, has_word, let, match_blob
 
 
 def host(url: Column) -> Column:
@@ -36,13 +36,24 @@ def domain_allowed(url: Column, domains: Column) -> Column:
     return F.when(F.size(domains) == 0, F.lit(True)).otherwise(F.coalesce(listed, F.lit(False)))
 
 
+def _parsed(url: Column) -> Column:
+    """Host, path, query and path segments, parsed once."""
+    query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+    whole = F.struct(F.coalesce(host(url), F.lit("")).alias("host"), path(url).alias("path"), query.alias("query"))
+    return let(whole, lambda u: F.struct(u["host"].alias("host"), u["path"].alias("path"), u["query"].alias("query"), F.filter(F.split(u["path"], "/"), lambda s: s != "").alias("segments")))
+
+
 def is_article(url: Column) -> Column:
     """Whether the URL looks like one article's: rejects in order, then the last segments decide."""
-    parts = segments(url)
+    return let(_parsed(url), _is_article)
+
+
+def _is_article(url: Column) -> Column:
+    parts = url["segments"]
     low = F.transform(parts, F.lower)
     n = F.size(parts)
-    labels = F.split(F.coalesce(host(url), F.lit("")), r"\.")
-    query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+    labels = F.split(url["host"], r"\.")
+    query = url["query"]
     last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
     before = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
     literal = lambda words: F.array(*map(F.lit, words))
@@ -52,7 +63,7 @@ def is_article(url: Column) -> Column:
     reject = (
         F.arrays_overlap(labels, literal(fixed.BETTING_LABELS + fixed.SCOREBOARD_LABELS))
         | query.rlike("(^|&)page=[^&]")
-        | (F.length(F.btrim(path(url), F.lit("/"))) < 6)
+        | (F.length(F.btrim(url["path"], F.lit("/"))) < 6)
         | F.arrays_overlap(low, literal(fixed.MEDIA_SEGMENTS))
         | (F.size(F.array_intersect(F.split(F.lower(last), "-"), literal(fixed.LIST_WORDS))) >= 2)
         | F.exists(low, lambda s: F.exists(literal(fixed.MEDIA_PREFIXES), lambda p: s.startswith(p)))
@@ -70,9 +81,13 @@ def _core(segment: Column) -> Column:
 
 def article_key(url: Column) -> Column:
     """Key under which copies of an article at several URLs are one."""
-    h = F.regexp_replace(F.coalesce(host(url), F.lit("")), r"^www\.", "")
-    dotted = F.regexp_extract(path(url), r"(\d+\.\d{6,})", 1)
-    parts = segments(url)
+    return let(_parsed(url), _article_key)
+
+
+def _article_key(url: Column) -> Column:
+    h = F.regexp_replace(url["host"], r"^www\.", "")
+    dotted = F.regexp_extract(url["path"], r"(\d+\.\d{6,})", 1)
+    parts = url["segments"]
     cores = F.transform(parts, _core)
     number = lambda least: lambda c: c.rlike(rf"^\d{{{least},}}$")
     long_id = F.element_at(F.concat(F.array(F.lit("")), F.filter(cores, number(6))), -1)
@@ -134,60 +149,68 @@ def day_gap(a: Column, b: Column) -> Column:
 
 
 def _both(url: Column, title: Column) -> Column:
+    """URL and title (or the other way round) as one folded text. The predicates below take it
+    ready-made as ``blob``, for rows of which several are asked."""
     return match_blob(F.concat_ws(" ", url, title))
 
 
-def hints_score(url: Column, title: Column) -> Column:
+def slug_blob(url: Column, title: Column) -> Column:
+    """The title and the URL without its dates, folded."""
+    return _both(title, without_dates(url))
+
+
+def hints_score(url: Column, title: Column, slug: Column | None = None) -> Column:
+    if slug is not None:
+        return F.coalesce(slug.rlike(fixed.URL_SCORE), F.lit(False))
     return F.coalesce(_both(title, without_dates(url)).rlike(fixed.URL_SCORE), F.lit(False))
 
 
-def mentions_final_score(score: Column, url: Column, title: Column) -> Column:
+def mentions_final_score(score: Column, url: Column, title: Column, slug: Column | None = None) -> Column:
     """Whether the slug or title has the score, in either orientation, compared as numbers."""
     final = r"^\s*(\d{1,2})\s*[-:]\s*(\d{1,2})\s*$"
     a, b = (F.regexp_extract(score, final, k).try_cast("int") for k in (1, 2))
-    blob = _both(title, without_dates(url))
+    blob = slug_blob(url, title) if slug is None else slug
     x, y = (F.regexp_extract_all(blob, F.lit(fixed.URL_SCORE), F.lit(k)) for k in (1, 2))
     same = F.exists(F.arrays_zip(x, y), lambda p: ((p["0"].cast("int") == a) & (p["1"].cast("int") == b)) | ((p["0"].cast("int") == b) & (p["1"].cast("int") == a)))
     return F.coalesce(same, F.lit(False))
 
 
-def hints_report(url: Column, title: Column) -> Column:
-    return has_word(_both(title, url), fixed.REPORT)
+def hints_report(url: Column, title: Column, blob: Column | None = None) -> Column:
+    return has_word(_both(title, url) if blob is None else blob, fixed.REPORT)
 
 
-def is_opinion(url: Column, title: Column) -> Column:
-    return has_word(_both(url, title), fixed.OPINION)
+def is_opinion(url: Column, title: Column, blob: Column | None = None) -> Column:
+    return has_word(_both(url, title) if blob is None else blob, fixed.OPINION)
 
 
-def is_roundup(url: Column, title: Column) -> Column:
-    return has_word(_both(url, title), fixed.ROUNDUP)
+def is_roundup(url: Column, title: Column, blob: Column | None = None) -> Column:
+    return has_word(_both(url, title) if blob is None else blob, fixed.ROUNDUP)
 
 
-def is_ranking(url: Column, title: Column) -> Column:
-    return has_word(_both(url, title), fixed.RANKING)
+def is_ranking(url: Column, title: Column, blob: Column | None = None) -> Column:
+    return has_word(_both(url, title) if blob is None else blob, fixed.RANKING)
 
 
-def is_social(url: Column, title: Column) -> Column:
-    return has_word(_both(url, title), fixed.SOCIAL)
+def is_social(url: Column, title: Column, blob: Column | None = None) -> Column:
+    return has_word(_both(url, title) if blob is None else blob, fixed.SOCIAL)
 
 
-def is_non_reaction(url: Column, title: Column) -> Column:
-    return has_word(_both(url, title), fixed.ROUNDUP + fixed.RANKING + fixed.SOCIAL)
+def is_non_reaction(url: Column, title: Column, blob: Column | None = None) -> Column:
+    return has_word(_both(url, title) if blob is None else blob, fixed.ROUNDUP + fixed.RANKING + fixed.SOCIAL)
 
 
 def is_other_section(url: Column) -> Column:
     """Whether a path segment names a section that isn't sports, and none names sports."""
-    parts = F.split(fold(path(url)), "/")
     literal = lambda words: F.array(*map(F.lit, words))
-    return ~F.arrays_overlap(parts, literal(fixed.SPORTS_SEGMENTS)) & F.arrays_overlap(parts, literal(fixed.OTHER_SEGMENTS))
+    return let(F.split(fold(path(url)), "/"), lambda parts: ~F.arrays_overlap(parts, literal(fixed.SPORTS_SEGMENTS)) & F.arrays_overlap(parts, literal(fixed.OTHER_SEGMENTS)))
 
 
-def is_tribute(url: Column, title: Column, aliases: tuple[str, ...]) -> Column:
+def is_tribute(url: Column, title: Column, aliases: tuple[str, ...], blob: Column | None = None) -> Column:
     """Whether a verb of defeat has an own alias as its object."""
     from heddle.functions.text import fold_python
 
     names = [a for a in (fold_python(x).replace("-", " ").replace("_", " ") for x in aliases) if len(a) >= 3]
-    return has_word(_both(title, url), tuple(f"{v} {a}" for v in fixed.TRIBUTE_VERBS for a in names))
+    return has_word(_both(title, url) if blob is None else blob, tuple(f"{v} {a}" for v in fixed.TRIBUTE_VERBS for a in names))
 
 
 def has_match_context(url: Column, title: Column, own: tuple[str, ...], opponent: tuple[str, ...], signals: tuple[str, ...]) -> Column:
@@ -196,9 +219,8 @@ def has_match_context(url: Column, title: Column, own: tuple[str, ...], opponent
     from heddle.functions.text import fold_python, has_part
 
     folded = lambda names: tuple(fold_python(x) for x in names if len(x) >= 3)
-    blob = _both(title, url)
-    signal = has_word(blob, (*map(fold_python, signals), "2026")) | F.coalesce(blob.rlike(fixed.URL_SCORE), F.lit(False))
-    return has_part(blob, folded(opponent)) | has_word(blob, folded(own)) | ~has_part(blob, folded(own)) | signal
+    signal = lambda b: has_word(b, (*map(fold_python, signals), "2026")) | F.coalesce(b.rlike(fixed.URL_SCORE), F.lit(False))
+    return let(_both(title, url), lambda b: has_part(b, folded(opponent)) | has_word(b, folded(own)) | ~has_part(b, folded(own)) | signal(b))
 
 
 def fetch_outcome(status: Column, message: Column) -> Column:

@@ -85,14 +85,17 @@ def url_dates(spark: SparkSession, d: str) -> DataFrame:
 def hit_flags(spark: SparkSession, d: str) -> DataFrame:
     url, title = F.col("url"), F.col("title")
     flags = {"opinion": urls.is_opinion, "roundup": urls.is_roundup, "ranking": urls.is_ranking, "social": urls.is_social, "non_reaction": urls.is_non_reaction, "report": urls.hints_report}
-    return hits(spark, d).select("hit_id", *(f(url, title).alias(n) for n, f in flags.items()), urls.is_other_section(url).alias("other_section"), urls.is_tribute(url, title, ("Jordan", "JO")).alias("tribute"))
+    rows = hits(spark, d).withColumn("blob", match_blob(F.concat_ws(" ", url, title)))
+    blob = F.col("blob")
+    return rows.select("hit_id", *(f(url, title, blob).alias(n) for n, f in flags.items()), urls.is_other_section(url).alias("other_section"), urls.is_tribute(url, title, ("Jordan", "JO"), blob).alias("tribute"))
 
 
 @query(rf"""with {HITS}, s as (select hit_id, {SLUG} as slug from hits) select hit_id, regexp_matches(slug, '(^|[^0-9])[0-9]{{1,2}}\s*[-: ]\s*[0-9]{{1,2}}([^0-9]|$)') as has_score,
  regexp_matches(slug, '(^|[^0-9])(0?2\s*[-: ]\s*0?1|0?1\s*[-: ]\s*0?2)([^0-9]|$)') as final_score from s""")
 def slug_scores(spark: SparkSession, d: str) -> DataFrame:
     url, title = F.col("url"), F.col("title")
-    return hits(spark, d).select("hit_id", urls.hints_score(url, title).alias("has_score"), urls.mentions_final_score(F.lit(SCORE), url, title).alias("final_score"))
+    rows = hits(spark, d).withColumn("slug", urls.slug_blob(url, title))
+    return rows.select("hit_id", urls.hints_score(url, title, F.col("slug")).alias("has_score"), urls.mentions_final_score(F.lit(SCORE), url, title, F.col("slug")).alias("final_score"))
 
 
 CONTEXT = f"""(contains(blob, 'argentina') or {sql_any_word("blob", ("jordan",))} or not contains(blob, 'jordan') or {sql_any_word("blob", ("mundial", "world", "2026"))} or regexp_matches(blob, '(^|[^0-9])[0-9]{{1,2}}\\s*[-: ]\\s*[0-9]{{1,2}}([^0-9]|$)'))"""
@@ -108,10 +111,10 @@ ALIASES = ("jordan", "argentina", "world")
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     url, title = F.col("url"), F.col("title")
-    blob = match_blob(F.concat_ws(" ", url, title))
-    return hits(spark, d).withColumns({
+    blob = F.col("blob")
+    return hits(spark, d).withColumn("blob", match_blob(F.concat_ws(" ", url, title))).withColumns({
         "host": urls.host(url), "article": urls.is_article(url), "key": urls.article_key(url), "old": urls.too_old(url, F.lit(DAY)) | urls.published_before(F.col("published"), F.lit(DAY)),
-        "prematch": urls.is_prematch(url, F.lit(DAY)), "non_reaction": urls.is_non_reaction(url, title), "other_section": urls.is_other_section(url), "has_score": urls.hints_score(url, title), "roundup": urls.is_roundup(url, title),
+        "prematch": urls.is_prematch(url, F.lit(DAY)), "non_reaction": urls.is_non_reaction(url, title, blob), "other_section": urls.is_other_section(url), "has_score": urls.hints_score(url, title), "roundup": urls.is_roundup(url, title, blob),
         "relevance": ranking.relevance(blob, tuple(map(fold_python, ALIASES))),
     })
 
