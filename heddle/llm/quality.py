@@ -31,9 +31,9 @@ from heddle.llm.common import filled, map_batches, texts
 #: Documents that the scorer is fitted on, the bound on what is gathered for it.
 FIT_DOCUMENTS = 4000
 #: Hashed features; the last ones are for repetition.
-DIMENSIONS, EXTRA = 4096, 64
+DIMENSIONS, EXTRA, MARK = 4096, 64, 0.3
 EM_ROUNDS, EM_END = 200, 1e-9
-STEPS, RATE, DECAY = 300, 0.5, 1e-4
+STEPS, RATE, DECAY, BLOCK = 150, 0.5, 1e-4, 500
 KEEP = 0.5
 
 #: Frequent function words of English, French, German and Spanish.
@@ -112,11 +112,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
 
 
 def features(text: str) -> np.ndarray:
-    """Hashed features of a text with words, of length 1 in the trigrams' part."""
+    """Hashed features of a text with words: counts of trigrams, then marks for repetition."""
     b = np.frombuffer(b" " + text.encode() + b" ", np.uint8).astype(np.uint32)
     h = (b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
     trigrams = np.bincount(h >> np.uint32(20), minlength=DIMENSIONS)[:DIMENSIONS].astype(np.float32)
-    trigrams *= 1 / max(float(np.sqrt((trigrams * trigrams).sum())), 1e-9)
     words = text.split()
     n, extra = len(words), np.zeros(EXTRA, np.float32)
     extra[int(15 * sum(map(eq, words, words[1:])) / max(n - 1, 1))] = 1
@@ -124,7 +123,25 @@ def features(text: str) -> np.ndarray:
     extra[32 + min(15, n.bit_length())] = 1
     lines = text.split("\n")
     extra[48 + int(15 * (1 - len(set(lines)) / len(lines)))] = 1
-    return np.concatenate([trigrams, 0.3 * extra])
+    return np.concatenate([trigrams, extra])
+
+
+def scaled(found: np.ndarray) -> np.ndarray:
+    """Rows of features with trigrams of length 1, as the scorer takes them."""
+    out = np.atleast_2d(found).astype(np.float32)
+    out[:, :DIMENSIONS] /= np.maximum(np.sqrt((out[:, :DIMENSIONS] ** 2).sum(axis=1, keepdims=True)), 1e-9)
+    out[:, DIMENSIONS:] *= MARK
+    return out
+
+
+def compact(found: np.ndarray) -> bytes:
+    """Features in a byte each, for the sample: counts relative to the largest where that is more
+    than a byte holds."""
+    counts = found.copy()
+    most = counts[:DIMENSIONS].max(initial=0)
+    if most > 255:
+        counts[:DIMENSIONS] = np.ceil(counts[:DIMENSIONS] * (255 / most))
+    return counts.astype(np.uint8).tobytes()
 
 
 @dataclass
@@ -136,20 +153,25 @@ class Scorer:
         """Probability that a text is good."""
         if not text.strip():
             return 0.0
-        return float(1 / (1 + np.exp(np.clip(-(features(text) @ self.weights + self.bias), -50, 50))))
+        return float(1 / (1 + np.exp(np.clip(-(scaled(features(text))[0] @ self.weights + self.bias), -50, 50))))
 
 
-def train(x: np.ndarray, target: np.ndarray) -> Scorer:
-    """Logistic regression on soft targets, by gradient descent with momentum."""
-    good, bad = float(target.sum()), float((1 - target).sum())
-    if len(x) == 0 or min(good, bad) < 1:
+def train(found: np.ndarray, target: np.ndarray) -> Scorer:
+    """Logistic regression of soft targets on rows of ``compact`` features, by gradient descent with
+    momentum. Rows are widened a block at a time, so that the driver holds a byte a feature."""
+    n = len(found)
+    if n == 0 or min(float(target.sum()), float((1 - target).sum())) < 1:
         return Scorer(np.zeros(DIMENSIONS + EXTRA, np.float32), 3.0)
-    weight = 1 / len(x)
-    w, bias, mean_w, mean_b = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
-    for step in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -50, 50)))
-        slope = (weight * (p - target)).astype(np.float32)
-        mean_w, mean_b = 0.9 * mean_w + slope @ x + DECAY * w, 0.9 * mean_b + float(slope.sum())
+    w, bias = np.zeros(found.shape[1], np.float32), 0.0
+    mean_w, mean_b = np.zeros_like(w), 0.0
+    for _ in range(STEPS):
+        slope_w, slope_b = DECAY * w, 0.0
+        for at in range(0, n, BLOCK):
+            x = scaled(found[at : at + BLOCK])
+            slope = ((1 / (1 + np.exp(-np.clip(x @ w + bias, -50, 50))) - target[at : at + BLOCK]) / n).astype(np.float32)
+            slope_w = slope_w + slope @ x
+            slope_b += float(slope.sum())
+        mean_w, mean_b = 0.9 * mean_w + slope_w, 0.9 * mean_b + slope_b
         w, bias = w - 10 * RATE * mean_w, bias - RATE * mean_b
     return Scorer(w.astype(np.float32), bias)
 
@@ -179,13 +201,16 @@ def fit(df: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUMENT
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             values = texts(batch)
             goods = model.posterior(np.array([votes(x) for x in values], np.int64))
-            return pa.record_batch([pa.array(goods, pa.float64()), pa.array([features(x).astype(np.float16).tobytes() for x in values], pa.binary())], ["good", "features"])
+            return pa.record_batch([pa.array(goods, pa.float64()), pa.array([compact(features(x)) for x in values], pa.binary())], ["good", "features"])
 
         return one
 
-    sample = map_batches(rows, make, "good double, features binary").orderBy("features").collect()  # about fit_documents rows of 8 KB
-    x = np.stack([np.frombuffer(r["features"], np.float16) for r in sample]).astype(np.float32) if sample else np.zeros((0, DIMENSIONS + EXTRA), np.float32)
-    return model, train(x, np.array([r["good"] for r in sample], float))
+    sample = map_batches(rows, make, "good double, features binary").orderBy("features")
+    gathered = sample.collect()  # about fit_documents rows of 4 KB
+    found = np.frombuffer(b"".join([r["features"] for r in gathered]), np.uint8).reshape(-1, DIMENSIONS + EXTRA)
+    target = np.array([r["good"] for r in gathered], float)
+    del gathered
+    return model, train(found, target)
 
 
 def score(df: DataFrame, model: LabelModel, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
