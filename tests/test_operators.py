@@ -119,3 +119,44 @@ def test_links(spark):
     html = '<a  class="x" href="/p?q=1">One <b>two</b></a><a href="#x">no</a><A HREF=\'b.html\'>c</A><a href="mailto:x">m</a><a href="//h.example/y">z</a>'
     rows = spark.createDataFrame([(1, "https://a.example/d/e?x", html), (2, None, None)], "page_id int, url string, html string")
     assert [(r.position, r.href, r.anchor) for r in page_links(rows).orderBy("position").collect()] == [(0, "https://a.example/p?q=1", "One two"), (1, "https://a.example/d/b.html", "c"), (2, "https://h.example/y", "z")]
+
+
+def test_small_assembly_functions(spark, column):
+    from heddle.operators import assembly, pipelines
+
+    assert column(pipelines.last_sentence, "One ended. Two began! Was it luck?") == "Was it luck?"
+    assert column(pipelines.last_sentence, "No question. Here.") is None
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d"], "E"), (2, ["a"], None)], "k int, names array<string>, english string")
+    got = {r.k: r.n for r in df.select("k", assembly.hashtag_names(F.col("names"), F.col("english")).alias("n")).collect()}
+    assert got == {1: ["E", "c", "d"], 2: []}
+    q = lambda h: column(lambda x: assembly.title_question(x, F.lit("Mexico"), F.lit("RPA")), h)
+    assert q("Mexico 2:1 RPA. was it luck?") == "Was it luck?"
+    assert q("Mexico 2-1: how?") == "How?"
+    assert q("Nothing: here") == "Nothing: here"
+    assert column(assembly.capitalised, "iPhone") == "iPhone" and column(assembly.capitalised, "a") == "A" and column(assembly.capitalised, "") == ""
+
+
+def test_dimension_files(spark, tmp_path):
+    assert [r.provider_id for r in registry.providers_with(registry.infrastructure(spark), "facts").collect()] == ["OfficialMatchApi", "OfflineVerifiedFixture"]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text('{"match_id": "a",\n "aliases": ["x"]}')
+    (tmp_path / "m" / "_template.json").write_text('{"match_id": "t"}')
+    assert [(r.match_id, r.file) for r in registry.read_matches(spark, str(tmp_path / "m")).collect()] == [("a", "a.json")]
+    (tmp_path / "flags.json").write_text('{"country": "A", "iso2": "mx"}\n{"country": "B", "iso2": "M1"}')
+    pattern = "^[a-z]{2}(-[a-z]{3})?$"
+    assert [r.country for r in registry.lookup_map(spark, str(tmp_path / "flags.json"), "country", "iso2", pattern).collect()] == ["A"]
+    assert registry.lookup_map(spark, str(tmp_path / "none.json"), "country", "iso2").count() == 0
+
+
+def test_archived_runs_skip_broken_files(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"r{k}").mkdir()
+        (tmp_path / f"r{k}" / "run.json").write_text('{"run_id": "r%d",\n "status": "ready"}' % k if k == 1 else '{"run_id": ')
+    assert [r.run_id for r in registry.read_runs(spark, str(tmp_path)).select("run_id").collect()] == ["r1"]
+
+
+def test_expired_cache_entries(spark):
+    rows = spark.createDataFrame([("a", 0), ("b", 5)], "k string, t long").withColumn("at", F.timestamp_seconds("t"))
+    left = sinks.unexpired(rows, F.col("at"), F.lit(10), F.timestamp_seconds(F.lit(10)))
+    assert [r.k for r in left.collect()] == ["b"]
+    assert [json.loads(r.json) for r in sinks.json_rows(left.select("k")).collect()] == [{"k": "b"}]
