@@ -7,7 +7,7 @@
    are good and how each heuristic votes on good and on bad ones, and so each pattern's posterior.
 3. The posteriors are the targets of a logistic scorer that is linear in hashed features: byte
    trigrams of the text and quantised repetition counts. It is fitted on ``fit_documents``
-   documents, drawn by hash, and scores every document; it sees what the heuristics do not count,
+   documents, drawn by hash and each text once, and scores every document; it sees what the heuristics do not count,
    and decides where they don't vote.
 
 A null text is an empty one. A text without words scores 0. Where no documents have words, or the
@@ -196,6 +196,7 @@ def fit(df: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUMENT
     rows = df.select(filled(text_col)).where(F.length(F.trim("text")) > 0)
     if n > fit_documents:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * fit_documents / n))
+    rows = rows.distinct()  # a text that a third of all rows have is drawn once or not at all
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
