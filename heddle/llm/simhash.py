@@ -13,8 +13,15 @@ longer prefixes are then tested, and the full Hamming distance last. A fingerpri
 number of keys, so the work grows with the number of different fingerprints, and a key is met by
 few of them, also in very large tables.
 
-On request, links also need a Jaccard similarity of the shingle sets, computed on the texts of the
-pairs that the fingerprints link.
+On request, links of ``near_duplicates`` also need a Jaccard similarity of the shingle sets,
+computed on the texts of the pairs that the fingerprints link.
+
+``deduplicate`` links by that similarity alone, whatever the distance of the fingerprints. Its nodes
+are shingle sets. Candidates come from prefix filtering, which misses no pair: in any one order of
+all shingles, two sets of similarity t share one of the first n - ceil(t * n) + 1 of their n shingles.
+The order has shingles that a sample of the texts repeats last, so few sets meet at one. Sets that meet are
+first compared with the least of them, then only those with each other that are in different
+groups by then, so a large group of near copies costs little more than its size.
 
 Copies have one fingerprint and are one node; links are between different fingerprints. Nothing
 is capped. Ids may repeat (each row gets its own fingerprint and component); a null id never
@@ -24,21 +31,28 @@ without words have fingerprint zero and link like any other.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from heddle.llm.common import filled, map_batches, materialise
+from heddle.llm.common import filled, map_batches, materialise, small_batches
 from heddle.llm.components import connected_components
 
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at once, to bound memory on very long texts.
 BLOCK = 1 << 15
+#: Texts in the sample that tells which shingles are common, and how many of them make one so.
+SAMPLE_TEXTS, COMMON = 4000, 3
+#: Up to so many nodes, the search for their texts sends the nodes to the texts.
+FEW = 200_000
+#: Against rounding in bounds on sizes of sets, which must never be too strict.
+SLACK = 1e-6
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -57,12 +71,30 @@ def fingerprint(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The hashes of a text's different shingles, sorted."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join, parts = xxhash.xxh64_digest, b" ".join, []
+    for start in range(0, max(1, len(words) - width + 1), BLOCK):
+        part = words[start : start + BLOCK + width - 1]
+        shingles: Iterable[bytes] = map(join, zip(*(part[k:] for k in range(width)), strict=False)) if len(words) >= width else [join(words)]
+        parts.append(np.unique(np.frombuffer(b"".join([digest(x, SEED) for x in shingles]), np.uint64)))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def set_name(text: bytes, width: int) -> int:
+    """Unsigned hash of a text's shingle set."""
+    return xxhash.xxh64_intdigest(shingle_hashes(text, width).tobytes(), SEED)
+
+
+def fingerprints(df: DataFrame, width: int, id_col: str, text_col: str, name: Callable[[bytes, int], int] = fingerprint) -> DataFrame:
+    """(id, fp): the fingerprint, or another name of the text's node, as a signed long."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(x, width) for x in batch.column("text").to_pylist()], np.uint64)
+            found = np.array([name(x, width) for x in batch.column("text").to_pylist()], np.uint64)
             return pa.record_batch([batch.column("id"), pa.array(found.view(np.int64), pa.int64())], ["id", "fp"])
 
         return one
@@ -119,12 +151,14 @@ def shingle_set(text: bytes, width: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
 
 
-def similar(pairs: DataFrame, df: DataFrame, similarity: float, width: int, text_col: str) -> DataFrame:
-    """The pairs of fingerprints for whose texts the shingle sets have this Jaccard similarity
-    (of a fingerprint's texts, the least in their order). Other texts are not looked at."""
+def similar(pairs: DataFrame, df: DataFrame, similarity: float, width: int, text_col: str, name: Callable[[bytes, int], int] = fingerprint) -> DataFrame:
+    """The pairs of nodes for whose texts the shingle sets have this Jaccard similarity
+    (of a node's texts, the least in their order). Other texts are not looked at."""
     pairs = materialise(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("__fp")).unionAll(pairs.select("b")).distinct()
-    rows = _with_fingerprint(df.select(filled(text_col)), width, "text")
+    ends = materialise(pairs.select(F.col("a").alias("__fp")).unionAll(pairs.select("b")).distinct())
+    if ends.count() <= FEW:
+        ends = F.broadcast(ends)
+    rows = _with_fingerprint(df.select(filled(text_col)), width, "text", name)
     found = materialise(rows.join(ends, "__fp").groupBy("__fp").agg(F.min("text").alias("text")))
     left, right = found.toDF("a", "text_a"), found.toDF("b", "text_b")
 
@@ -139,6 +173,99 @@ def similar(pairs: DataFrame, df: DataFrame, similarity: float, width: int, text
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), make, "a long, b long")
 
 
+def common_shingles(df: DataFrame, n: int, width: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that COMMON texts or more of a sample have, at
+    most SAMPLE_TEXTS / COMMON times the shingles of a text."""
+    rows = df.select(filled(text_col))
+    if n > SAMPLE_TEXTS:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_TEXTS / n))
+    rows = rows.distinct()
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingle_hashes((x or "").encode(), width) for x in batch.column("text").to_pylist()]
+            return pa.record_batch([pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["shingle"])
+
+        return one
+
+    counted = map_batches(rows, make, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    hashes = counted.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], counted.column("n").to_numpy()[order]
+
+
+def prefixes(df: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray], text_col: str) -> DataFrame:
+    """(shingle, node, size, place): the first shingles of each set, which sets of this similarity
+    share one of. A set may come out once a task."""
+    keys, counts = common
+
+    def ordered(found: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return found
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        return found[np.argsort(np.where(keys[at] == found, counts[at], 0), kind="stable")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            shingles, nodes, sizes, lengths = [np.zeros(0, np.uint64)], [], [], []
+            for x in batch.column("text").to_pylist():
+                found = shingle_hashes((x or "").encode(), width)
+                node = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+                if not len(found) or node in seen:
+                    continue
+                seen.add(node)
+                length = len(found) - math.ceil(similarity * len(found) - SLACK) + 1
+                shingles.append(ordered(found)[:length])
+                nodes.append(node)
+                sizes.append(len(found))
+                lengths.append(len(shingles[-1]))
+            places = np.concatenate([np.arange(0), *(np.arange(k) for k in lengths)])
+            columns = [np.concatenate(shingles).view(np.int64), np.repeat(np.array(nodes, np.uint64), lengths).view(np.int64), np.repeat(np.array(sizes, np.int64), lengths), places]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "node", "size", "place"])
+
+    small_batches(df.sparkSession)
+    return df.select(filled(text_col)).mapInArrow(run, "shingle long, node long, size long, place long")
+
+
+def _can_reach(similarity: float, a: Column, b: Column) -> Column:
+    """Whether two sets of which this is the first common shingle can have the similarity, by their
+    sizes and by what comes after it."""
+    sizes = F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - SLACK
+    most = F.least(a["size"] - a["place"], b["size"] - b["place"])
+    return sizes & (most >= similarity / (1 + similarity) * (a["size"] + b["size"]) - SLACK)
+
+
+def similar_pairs(df: DataFrame, n: int, width: int, similarity: float, text_col: str) -> DataFrame:
+    """(a, b): pairs of shingle sets of this similarity, enough of them to connect all that any
+    such pairs connect."""
+    here = F.struct("node", "size", "place")
+    of = Window.partitionBy("shingle")
+    rows = prefixes(df, width, similarity, common_shingles(df, n, width, text_col), text_col)
+    met = rows.select("shingle", here.alias("it"), F.min(here).over(of).alias("head"), F.max("node").over(of).alias("last"))
+    met = materialise(met.where(F.col("head.node") != F.col("last")).select("shingle", "it", "head").distinct())
+    it, head = F.col("it"), F.col("head")
+    star = met.where((it["node"] != head["node"]) & _can_reach(similarity, it, head)).select(head["node"].alias("a"), it["node"].alias("b"))
+    linked = materialise(similar(star, df, similarity, width, text_col, set_name))
+    labels = connected_components(linked)
+    at = met.join(labels, it["node"] == labels.node, "left").select("shingle", "it", "head", F.coalesce("label", it["node"]).alias("label"))
+    split = at.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    at = materialise(at.join(split, "shingle"))
+    x, y = at.toDF("shingle", "x", "head", "x_label"), at.select("shingle", F.col("it").alias("y"), F.col("label").alias("y_label"))
+    rest = x.join(y, "shingle").where((F.col("x.node") < F.col("y.node")) & (F.col("x_label") != F.col("y_label")) & (F.col("x.node") != head["node"]))
+    rest = rest.where(_can_reach(similarity, F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return linked.unionAll(similar(rest, df, similarity, width, text_col, set_name))
+
+
+def _grouped(df: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """As _labelled, with shingle sets as nodes and similarity alone as links."""
+    rows = materialise(fingerprints(df, width, id_col, text_col, set_name))
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("root"))
+    labels = connected_components(similar_pairs(df, rows.count(), width, similarity, text_col))
+    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "root", F.coalesce("label", "fp").alias("label"))
+    return rows, materialise(named)
+
+
 def _labelled(df: DataFrame, width: int, max_diff: int, similarity: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, fp), and for each fingerprint (fp, root, label): its first id and its group."""
     rows = materialise(fingerprints(df, width, id_col, text_col))
@@ -163,27 +290,32 @@ def near_duplicates(df: DataFrame, width: int = 5, max_diff: int = 2, similarity
 
 def deduplicate(df: DataFrame, width: int = 5, max_diff: int = 6, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of near-duplicates: that of the smallest id (null last),
-    then fingerprint. Of rows that repeat with their id, one stays."""
-    rows, named = _labelled(df, width, max_diff, similarity, id_col, text_col)
+    then name of the node. Of rows that repeat with their id, one stays. Texts link at this Jaccard
+    similarity of their shingle sets; only with none, at max_diff bits of their fingerprints."""
+    name = fingerprint if similarity is None else set_name
+    if similarity is None:
+        rows, named = _labelled(df, width, max_diff, None, id_col, text_col)
+    else:
+        rows, named = _grouped(df, width, similarity, id_col, text_col)
     counted = rows.groupBy("id", "fp").agg(F.count("*").alias("n")).join(named.select("fp", "label"), "fp")
     counted = materialise(counted)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp"))
     groups = materialise(counted.groupBy("label").agg(first.alias("first"), F.sum("n").alias("rows")).where("rows > 1"))
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("fp") == F.col("first.fp"))
     more = materialise(counted.join(groups, "label").select("id", "fp", is_first.alias("first")))
-    with_fp = _with_fingerprint(df, width, text_col)
+    with_fp = _with_fingerprint(df, width, text_col, name)
     action = more.select(F.col("id").alias("__id"), F.col("fp").alias("__of"), F.col("first").alias("__first"))
     joined = with_fp.join(action, with_fp[id_col].eqNullSafe(action["__id"]) & (with_fp["__fp"] == action["__of"]), "left")
     nth = F.row_number().over(Window.partitionBy(id_col, "__fp").orderBy(F.lit(0)))
     return joined.where(F.coalesce("__first", F.lit(True))).withColumn("__nth", nth).where("__nth = 1").select(*df.columns)
 
 
-def _with_fingerprint(df: DataFrame, width: int, text_col: str) -> DataFrame:
-    """All columns of ``df``, and __fp."""
+def _with_fingerprint(df: DataFrame, width: int, text_col: str, name: Callable[[bytes, int], int] = fingerprint) -> DataFrame:
+    """All columns of ``df``, and __fp: the fingerprint, or another name of the text's node."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint((x or "").encode(), width) for x in batch.column(text_col).to_pylist()], np.uint64)
+            found = np.array([name((x or "").encode(), width) for x in batch.column(text_col).to_pylist()], np.uint64)
             return batch.append_column("__fp", pa.array(found.view(np.int64), pa.int64()))
 
         return one

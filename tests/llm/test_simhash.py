@@ -102,3 +102,24 @@ def test_similarity_is_of_shingle_sets(spark):
     a, b = (shingle_set(" ".join(x).encode(), 5) for x in (words, near))
     assert len(a & b) / len(a | b) > 0.8
     assert 1 in kept and 3 in kept and 4 not in kept
+
+
+def copies_at(rng, words, share):
+    """Words with a run of them replaced, so that the fingerprint may go far and similarity stays."""
+    n = int(len(words) * share)
+    at = rng.randrange(len(words) - n)
+    return words[:at] + [f"c{rng.randrange(10**9)}" for _ in range(n)] + words[at + n :]
+
+
+def test_groups_are_those_of_jaccard_alone(spark):
+    rng = random.Random(8)
+    texts = [" ".join(["common phrase that stands on all pages"] * (k % 2) + [f"w{rng.randrange(10**9)}" for _ in range(3)]) for k in range(30)]
+    for k in range(25):
+        words = [f"w{k}x{rng.randrange(400)}" for _ in range(rng.choice((12, 60, 300)))]
+        texts += [" ".join(copies_at(rng, words, share)) for share in (0, 0.02, 0.06, 0.09, 0.1, 0.11, 0.2)]
+    sets = {k: shingle_set(x.encode(), 5) for k, x in enumerate(texts)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    far = [(a, b) for a, b in pairs if (fingerprint(texts[a].encode(), 5) ^ fingerprint(texts[b].encode(), 5)).bit_count() > 6]
+    assert len(far) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in deduplicate(df).collect()} == set(groups(sets, pairs).values())
