@@ -12,8 +12,9 @@ line exactly would shuffle every (line, site) pair of the corpus, so:
 3. Positions of boilerplate lines are joined to each document by hashes alone, gathered a document
    at a time, and cut from its text, which is shuffled once.
 
-A document that would lose more than ``max_share`` of its characters is a copy of others rather
-than a page with boilerplate: it is left as it is, for near-duplicate removal to keep one of.
+A document that would lose more than ``max_share`` of its characters is left as it is; with 1, every
+boilerplate line goes. With ``min_texts``, a line must also stand in so many different texts, so that
+copies of one text on many sites do not empty each other.
 
 Lines are compared without white space at either end; blank lines and lines shorter than
 ``min_chars`` are kept. A null text
@@ -66,23 +67,25 @@ def meet(lines: DataFrame, some: DataFrame) -> DataFrame:
     return salted.join(copies, ["h1", "h2", "salt"]).drop("salt")
 
 
-def spread(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(h1, h2) of the lines on min_sites or more different sites."""
+def spread(lines: DataFrame, min_sites: int, of: str = "site") -> DataFrame:
+    """(h1, h2) of the lines on min_sites or more different sites, or other values of a column."""
     h = ["h1", "h2"]
-    sketched = lines.groupBy(*h).agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    sketched = lines.groupBy(*h).agg(F.hll_sketch_agg(of, F.lit(LG_K)).alias("sketch"))
     sketched = materialise(sketched.select(*h, F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites / (1 + BAND * ERROR) - 1))
     margin = BAND * ERROR * min_sites + 1
     sure = sketched.where(F.col("sites") >= min_sites + margin).select(*h)
     near = sketched.where(F.col("sites") < min_sites + margin).select(*h)
-    pairs = meet(lines.where("site is not null").select(*h, "site", "r1"), near).select(*h, "site").distinct()
+    pairs = meet(lines.where(F.col(of).isNotNull()).select(*h, F.col(of).alias("member"), "r1"), near).select(*h, "member").distinct()
     exact = pairs.groupBy(*h).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(*h)
     return sure.unionAll(exact)
 
 
-def drop_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, site_col: str = "source", text_col: str = "text", removed_col: str = "n_removed") -> DataFrame:
+def drop_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, site_col: str = "source", text_col: str = "text", removed_col: str = "n_removed", min_texts: int = 1) -> DataFrame:
     """``df`` with boilerplate lines cut from its texts, and the number of them as a new column."""
     lines = line_rows(df, min_chars, site_col, text_col)
     found = materialise(spread(lines, min_sites))
+    if min_texts > 1:
+        found = materialise(spread(meet(lines.select("h1", "h2", "r1"), found), min_texts, "r1"))
     places = meet(lines.select("h1", "h2", "r1", "r2", "pos"), found)
     cuts = materialise(places.groupBy("r1", "r2").agg(F.collect_set("pos").alias("__cut")).withColumnsRenamed({"r1": "__c1", "r2": "__c2"}))
     keyed = df.withColumns({"__r1": F.xxhash64(text_col), "__r2": F.xxhash64(F.lit("row"), F.col(text_col))})

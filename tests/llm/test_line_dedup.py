@@ -75,3 +75,13 @@ def test_whole_table(spark, small):
 def test_main_path_is_native(spark, small):
     plan = line_dedup.drop_boilerplate(table(spark, small, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pipeline_cuts_whatever_share(spark):
+    import corpus_pipeline
+
+    feet = "\n".join(f"Foot line {k} stands on every page of all sites." for k in range(6))
+    rows = [(k, f"Body {k} is short.\n{feet}", "en", f"s{k}", 0) for k in range(6)] + [(10 + k, "One text that is the same on every site.", "en", f"s{k}", 0) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()}
+    assert got == {k: f"Body {k} is short." if k < 10 else text for k, text, *_ in rows}
