@@ -163,6 +163,17 @@ def attribution(spark: SparkSession, d: str) -> DataFrame:
     return lookup.attribution(rows, "ids", dim, "l_orderkey")
 
 
+@query("""with e as (select l_orderkey, l_linenumber as line, l_suppkey as s, l_partkey as p, unnest([l_suppkey + 1000000, l_suppkey, l_partkey % 100]) as id, unnest([0, 1, 2]) as spot from lineitem)
+select l_orderkey, arg_min(s_name, (line, s, p, spot)) as outlet from e join supplier on s_suppkey = id group by l_orderkey""")
+def attribution_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every order, by the ids of all its rows in the order of line, supplier and part."""
+    ids = F.array(F.col("l_suppkey") + 1_000_000, "l_suppkey", F.col("l_partkey") % 100)
+    line = F.struct("l_linenumber", "l_suppkey", "l_partkey", ids.alias("ids"))
+    rows = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    dim = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("outlet"))
+    return lookup.attribution(rows.select("l_orderkey", F.flatten("lines.ids").alias("ids")), "ids", dim, "l_orderkey")
+
+
 @query("""select c.c_custkey, coalesce(r.o_orderstatus, 'NO RUN') as o_orderstatus from customer c left join (
  select o_custkey, o_orderstatus from (select *, row_number() over (partition by o_custkey order by case o_orderstatus when 'F' then 2 when 'P' then 1 else 0 end desc, o_orderkey desc) as r from orders) where r = 1) r on r.o_custkey = c.c_custkey""")
 def roadmap(spark: SparkSession, d: str) -> DataFrame:
