@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.operators import caches, health
-from heddle.plans.catalog import query
+from heddle.plans.catalog import ORACLES, query
 from heddle.sources.tables import load
 
 #: Event types of the table play fetch outcomes.
@@ -67,6 +67,17 @@ def section_order(spark: SparkSession, d: str) -> DataFrame:
     return health.probe_order(rows, "outlet").select("outlet", "idx", "dead", "place")
 
 
+@query(ORACLES["section_order"].replace(" where user_id % 10 < 3 + (user_id // 10) % 5", "").replace("user_id // 10 as outlet, user_id % 10 as idx", "cast(floor(sqrt(user_id)) as bigint) as outlet, user_id as idx"))
+def section_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """section_order of every user, in groups whose size grows with the id."""
+    ev = _events(spark, d)
+    last = health.last_days(ev, ["user_id"], ["ts", "event_id"], "outcome", "day")
+    run = health.streaks(ev, ["user_id"], ["ts", "event_id"], "outcome", "day")
+    u = F.col("user_id")
+    rows = last.join(run, "user_id", "left").select(F.floor(F.sqrt(u)).alias("outlet"), u.alias("idx"), F.coalesce(F.col("n") >= 2, F.lit(False)).alias("dead"), F.when(u % 4 != 0, F.col("last_day")).alias("last_probe"))
+    return health.probe_order(rows, "outlet").select("outlet", "idx", "dead", "place")
+
+
 @query("""select event_id, coalesce(ts < last_ts + interval 3600 second, false) as hit from (
  select event_id, ts, last_value(case when event_type <> 'error' then ts end ignore nulls) over (partition by user_id, event_type order by ts, event_id rows between unbounded preceding and 1 preceding) as last_ts from events)""")
 def ttl_cache_hits(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from heddle.plans import catalog
 KEYS = {
     "score_mentions_all": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]),
     "attribution_all": ("lineitem", ["l_orderkey"]),
+    "section_order_all": ("events", ["user_id"]),
 }
 
 
