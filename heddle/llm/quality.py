@@ -45,6 +45,8 @@ SENTENCE_END = re.compile(r"[.!?]+(?:\s|$)")
 #: A vote of a heuristic that a text gives too little to go by. It says nothing of the text.
 NONE = 2
 SHORT = 12
+#: Words among which different ones are counted, so that long texts are judged as short ones are.
+WINDOW = 400
 HEURISTICS = ("symbols", "capitals", "adjacent", "function_words", "sentences", "exclamation", "separators", "vocabulary")
 
 
@@ -71,10 +73,17 @@ def votes(text: str) -> tuple[int, ...]:
         1 if 3 <= length <= 40 else NONE if n < SHORT else -1 if length >= 80 else 0,
         against(int(seen[33]) / n, 0.1),
         against(int(seen[124]) / n, 0.05),
-        NONE if n < 30 else -1 if len(set(words)) < 0.2 * min(n, 400) else 0,
+        NONE if n < 30 else -1 if variety(words) < 0.2 else 0,
     )
 
 
+def variety(words: list[str]) -> float:
+    """Different words as a share of all, in windows of WINDOW words; the last one ends with the text."""
+    n = len(words)
+    starts = [*range(0, max(n - WINDOW, 0), WINDOW), max(n - WINDOW, 0)]
+    return sum(len(set(words[k : k + WINDOW])) for k in starts) / (len(starts) * max(min(n, WINDOW), 1))
+
+
 @dataclass
 class LabelModel:
     """P(good) and, by heuristic and class (bad, good), P(vote) for votes -1, 0, 1, given that
@@ -119,7 +128,7 @@ def features(text: str) -> np.ndarray:
     words = text.split()
     n, extra = len(words), np.zeros(EXTRA, np.float32)
     extra[int(15 * sum(map(eq, words, words[1:])) / max(n - 1, 1))] = 1
-    extra[16 + int(15 * len(set(words)) / min(max(n, 1), 400)) % 16] = 1
+    extra[16 + int(15 * variety(words))] = 1
     extra[32 + min(15, n.bit_length())] = 1
     lines = text.split("\n")
     extra[48 + int(15 * (1 - len(set(lines)) / len(lines)))] = 1

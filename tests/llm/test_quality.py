@@ -51,3 +51,14 @@ def test_features_are_bounded():
         f = quality.features(text)
         assert len(f) == quality.DIMENSIONS + quality.EXTRA and np.isfinite(f).all()
         assert len(quality.votes(text)) == len(quality.HEURISTICS)
+
+
+def test_vocabulary_of_long_texts():
+    from heddle.llm.quality import DIMENSIONS, HEURISTICS, features, votes
+
+    mark = lambda x: features(x)[DIMENSIONS + 16 : DIMENSIONS + 32].argmax()
+    assert mark(" ".join(f"w{k}" for k in range(440))) == mark(" ".join(f"w{k}" for k in range(400))) == 15
+    cycle = " ".join(f"w{k % 70}" for k in range(20_000))
+    assert votes(cycle)[HEURISTICS.index("vocabulary")] == -1
+    long = " ".join(f"w{k % 75}x{k // 400}" for k in range(20_000))
+    assert votes(long)[HEURISTICS.index("vocabulary")] == -1
