@@ -123,3 +123,10 @@ def test_groups_are_those_of_jaccard_alone(spark):
     assert len(far) > 20
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in deduplicate(df).collect()} == set(groups(sets, pairs).values())
+
+
+def test_texts_with_one_fingerprint_are_tested(spark):
+    texts = [" ".join(["run"] * 200 + [f"w{k}x{j}" for j in range(40)]) for k in range(3)]
+    assert len({fingerprint(x.encode(), 5) for x in texts}) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in deduplicate(df).collect()} == {0, 1, 2}
