@@ -13,33 +13,44 @@ longer prefixes are then tested, and the full Hamming distance last. A fingerpri
 number of keys, so the work grows with the number of different fingerprints, and a key is met by
 few of them, also in very large tables.
 
-On request, links of ``near_duplicates`` also need a Jaccard similarity of the shingle sets,
-computed on the texts of the pairs that the fingerprints link.
-
-``deduplicate`` links by that similarity alone, whatever the distance of the fingerprints. Its nodes
-are shingle sets. Candidates come from prefix filtering, which misses no pair: in any one order of
-all shingles, two sets of similarity t share one of the first n - ceil(t * n) + 1 of their n shingles.
-The order has shingles that a sample of the texts repeats last, so few sets meet at one. Sets that meet are
-first compared with the least of them, then only those with each other that are in different
-groups by then, so a large group of near copies costs little more than its size.
-
-Copies have one fingerprint and are one node; links are between different fingerprints. Nothing
+On request, links of ``near_duplicates`` also need a Jaccard similarity of the shingle sets. Its
+nodes are then pairs of fingerprint and shingle set, and different texts of one fingerprint are
+compared like those of fingerprints that link.
+
+``deduplicate`` links by that similarity alone. At a Jaccard similarity of 0.8 the 64 bits differ in
+10 on average, which leaves segments of four bits: too short for a join key in a large table. So
+its fingerprint is longer. The shingle hashes are dealt out to the segments of a ring, and a segment's
+value is its least hash, equal in both texts with a probability of their similarity. Pigeonring
+filtering is as above: some chain of consecutive segments has no difference, and it is the join key.
+Chains lengthen with the number of texts (``chain_length``), so that keys stay selective, and
+the ring is as long as ``ring_size`` says, so that a pair at the threshold has no such chain in
+fewer than one of 10**8 cases. A small set has too few hashes for a ring; its keys are those of its
+first shingles that any set of this similarity must share one of (with n shingles, the first
+n - ceil(t * n) + 1 in any one order of all). Shingles that a sample of the texts repeats come last
+in that order, so few sets meet at them. Sets that meet at a key form a group with the least of
+them, its head. A group's texts are compared in blocks with their head and with each other; then, in
+a group of several blocks, those that are not yet in its head's component with all others. The
+similarity is always computed on the texts, and pairs are never written, only links that join
+components.
+
+Copies have one fingerprint and are one node; links are between different nodes. Nothing
 is capped. Ids may repeat (each row gets its own fingerprint and component); a null id never
 gives a component its name unless all ids in it are null. A null text is an empty one. Documents
-without words have fingerprint zero and link like any other.
+without words have fingerprint zero and link like any other; as shingle sets they are equal. A
+very long text is hashed in blocks of shingles. No rows give no rows. ``near_duplicates`` reads no
+other columns; ``deduplicate`` passes them through, and refuses names that begin with ``__heddle``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from heddle.llm.common import filled, map_batches, materialise, small_batches
 from heddle.llm.components import connected_components
@@ -49,7 +60,16 @@ BITS, SEED = 64, 42
 BLOCK = 1 << 15
 #: Texts in the sample that tells which shingles are common, and how many of them make one so.
 SAMPLE_TEXTS, COMMON = 4000, 3
-#: Up to so many nodes, the search for their texts sends the nodes to the texts.
+#: Sets up to this size have keys of single shingles; larger ones, and those that can be similar to
+#: larger ones, have keys of chains.
+SMALL_SET = 128
+#: How often a pair at the threshold may share no chain.
+MISSES = 1e-8
+#: Texts, and shingles, that a block of a group has at most, about.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 17
+#: Shingles whose occurrences in a block are multiplied at once.
+COLUMNS = 4096
+#: A table of up to so many (id, hash) rows is broadcast to the texts; a larger one is joined by a shuffle.
 FEW = 200_000
 #: Against rounding in bounds on sizes of sets, which must never be too strict.
 SLACK = 1e-6
@@ -84,17 +104,75 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
-def set_name(text: bytes, width: int) -> int:
-    """Unsigned hash of a text's shingle set."""
-    return xxhash.xxh64_intdigest(shingle_hashes(text, width).tobytes(), SEED)
+def set_name(hashes: np.ndarray) -> int:
+    """Unsigned hash of a shingle set."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def chain_length(n: int) -> int:
+    """Segments of a chain, for n texts: two up to a million, one more for each hundredfold."""
+    return max(2, math.ceil(math.log10(max(n, 1)) / 2 - 1))
+
+
+def no_chain(size: int, similarity: float, chain: int) -> float:
+    """A bound on the probability that of so many segments, each equal with this one, no ``chain``
+    consecutive ones are equal: that of a row of them, which a ring's is below."""
+    run = [1.0] + [0.0] * (chain - 1)  # by the number of equal ones at the end
+    for _ in range(size):
+        run = [(1 - similarity) * sum(run), *(similarity * x for x in run[:-1])]
+    return sum(run)
+
+
+def ring_size(similarity: float, chain: int) -> int:
+    """Segments of the fingerprint, a multiple of eight."""
+    return next((m for m in range(8, 512, 8) if no_chain(m, similarity, chain) <= MISSES), 512)
+
 
+def ring(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The least of a set's sorted hashes in each segment; an empty segment has the next one's,
+    with the distance mixed in."""
+    segment = (hashes % np.uint64(size)).astype(np.int64)
+    least = np.zeros(size, np.uint64)
+    least[segment[::-1]] = hashes[::-1]  # the first of a segment is written last
+    full = np.zeros(size, bool)
+    full[segment] = True
+    if not full.all():
+        at = np.flatnonzero(full)
+        following = at[np.searchsorted(at, np.arange(size)) % len(at)]
+        least = least[following] + ((following - np.arange(size)) % size).astype(np.uint64) * MIX[0]
+    return least
 
-def fingerprints(df: DataFrame, width: int, id_col: str, text_col: str, name: Callable[[bytes, int], int] = fingerprint) -> DataFrame:
-    """(id, fp): the fingerprint, or another name of the text's node, as a signed long."""
+
+#: Odd numbers that mix keys.
+MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def keys_of(hashes: np.ndarray, similarity: float, segments: int, chain: int, common: np.ndarray) -> np.ndarray:
+    """Keys of a shingle set; sets of this similarity share one."""
+    n, out = len(hashes), []
+    if not n:
+        return hashes
+    if n <= SMALL_SET:
+        ordered = hashes
+        if len(common):
+            late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+            ordered = np.concatenate([hashes[~late], hashes[late]])
+        out.append(ordered[: n - math.ceil(similarity * n - SLACK) + 1])
+    if n >= similarity * SMALL_SET - SLACK:
+        # by the hashes alone: if common shingles came last, what differs in near copies would come first
+        least, mixed = ring(hashes, segments), np.arange(segments, dtype=np.uint64) * MIX[3]
+        for k in range(chain):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX[1] + np.roll(least, -k) * MIX[2]
+        out.append(mixed ^ (mixed >> np.uint64(31)))
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
+def fingerprints(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp): the fingerprint as a signed long."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([name(x, width) for x in batch.column("text").to_pylist()], np.uint64)
+            found = np.array([fingerprint(x, width) for x in batch.column("text").to_pylist()], np.uint64)
             return pa.record_batch([batch.column("id"), pa.array(found.view(np.int64), pa.int64())], ["id", "fp"])
 
         return one
@@ -151,30 +229,29 @@ def shingle_set(text: bytes, width: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
 
 
-def similar(pairs: DataFrame, df: DataFrame, similarity: float, width: int, text_col: str, name: Callable[[bytes, int], int] = fingerprint) -> DataFrame:
-    """The pairs of nodes for whose texts the shingle sets have this Jaccard similarity
-    (of a node's texts, the least in their order). Other texts are not looked at."""
-    pairs = materialise(pairs.distinct())
-    ends = materialise(pairs.select(F.col("a").alias("__fp")).unionAll(pairs.select("b")).distinct())
-    if ends.count() <= FEW:
-        ends = F.broadcast(ends)
-    rows = _with_fingerprint(df.select(filled(text_col)), width, "text", name)
-    found = materialise(rows.join(ends, "__fp").groupBy("__fp").agg(F.min("text").alias("text")))
-    left, right = found.toDF("a", "text_a"), found.toDF("b", "text_b")
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes for whose texts (node, text) the shingle sets have this Jaccard
+    similarity."""
+    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = ([shingle_set((x or "").encode(), width) for x in batch.column(c).to_pylist()] for c in ("text_a", "text_b"))
-            keep = [len(x & y) >= similarity * len(x | y) for x, y in zip(*sets, strict=True)]
+            keep, last, x = [], None, set()
+            for s, t in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                if s != last:
+                    x, last = shingle_set(s.encode(), width), s
+                y = shingle_set(t.encode(), width)
+                both = len(x & y)
+                keep.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return one
 
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), make, "a long, b long")
+    return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), make, "a long, b long")
 
 
-def common_shingles(df: DataFrame, n: int, width: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles that COMMON texts or more of a sample have, at
+def common_shingles(df: DataFrame, n: int, width: int, text_col: str) -> np.ndarray:
+    """Sorted hashes of the shingles that COMMON texts or more of a sample have, at
     most SAMPLE_TEXTS / COMMON times the shingles of a text."""
     rows = df.select(filled(text_col))
     if n > SAMPLE_TEXTS:
@@ -188,136 +265,239 @@ def common_shingles(df: DataFrame, n: int, width: int, text_col: str) -> tuple[n
 
         return one
 
-    counted = map_batches(rows, make, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).toArrow()
-    hashes = counted.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], counted.column("n").to_numpy()[order]
+    counted = map_batches(rows, make, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(counted.select("shingle").toArrow().column("shingle").to_numpy().view(np.uint64))
+
 
+def _text_hash(text_col: str) -> Column:
+    """With the id it names a row's text, without Python."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
-def prefixes(df: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray], text_col: str) -> DataFrame:
-    """(shingle, node, size, place): the first shingles of each set, which sets of this similarity
-    share one of. A set may come out once a task."""
-    keys, counts = common
 
-    def ordered(found: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return found
-        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-        return found[np.argsort(np.where(keys[at] == found, counts[at], 0), kind="stable")]
+def shingle_rows(df: DataFrame, width: int, similarity: float, n: int, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, node, size, keys): of each row's text the hash, the shingle set's name and number
+    of shingles, and its keys, which are empty where the task has given this set's."""
+    chain = chain_length(n)
+    segments = ring_size(similarity, chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            shingles, nodes, sizes, lengths = [np.zeros(0, np.uint64)], [], [], []
+            nodes, sizes, keys, ends = [], [], [np.zeros(0, np.uint64)], [0]
             for x in batch.column("text").to_pylist():
-                found = shingle_hashes((x or "").encode(), width)
-                node = xxhash.xxh64_intdigest(found.tobytes(), SEED)
-                if not len(found) or node in seen:
-                    continue
-                seen.add(node)
-                length = len(found) - math.ceil(similarity * len(found) - SLACK) + 1
-                shingles.append(ordered(found)[:length])
-                nodes.append(node)
+                found = shingle_hashes(x, width)
+                nodes.append(set_name(found))
                 sizes.append(len(found))
-                lengths.append(len(shingles[-1]))
-            places = np.concatenate([np.arange(0), *(np.arange(k) for k in lengths)])
-            columns = [np.concatenate(shingles).view(np.int64), np.repeat(np.array(nodes, np.uint64), lengths).view(np.int64), np.repeat(np.array(sizes, np.int64), lengths), places]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "node", "size", "place"])
+                new = nodes[-1] not in seen
+                if new:
+                    seen.add(nodes[-1])
+                    keys.append(keys_of(found, similarity, segments, chain, common))
+                ends.append(ends[-1] + (len(keys[-1]) if new else 0))
+            named = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64), pa.int64()))
+            yield pa.record_batch([batch.column("id"), batch.column("hash"), named, pa.array(sizes, pa.int64()), lists], ["id", "hash", "node", "size", "keys"])
 
     small_batches(df.sparkSession)
-    return df.select(filled(text_col)).mapInArrow(run, "shingle long, node long, size long, place long")
-
-
-def _can_reach(similarity: float, a: Column, b: Column) -> Column:
-    """Whether two sets of which this is the first common shingle can have the similarity, by their
-    sizes and by what comes after it."""
-    sizes = F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - SLACK
-    most = F.least(a["size"] - a["place"], b["size"] - b["place"])
-    return sizes & (most >= similarity / (1 + similarity) * (a["size"] + b["size"]) - SLACK)
+    rows = df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("hash"), filled(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, node long, size long, keys array<long>")
+
+
+def _some(table: DataFrame) -> DataFrame:
+    """A materialised table of few columns as a join's side: broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
+def _texts_of(df: DataFrame, rows: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) for the ends of the pairs; of a node's rows, that of the least id and hash."""
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    least = rows.join(ends, "node").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("row"))
+    least = materialise(least.select("node", F.col("row.id").alias("id"), F.col("row.hash").alias("hash")))
+    whole = df.select(F.col(id_col).alias("of"), _text_hash(text_col).alias("of_hash"), filled(text_col))
+    found = whole.join(_some(least), F.col("of").eqNullSafe(F.col("id")) & (F.col("of_hash") == F.col("hash")))
+    return materialise(found.groupBy("node").agg(F.first("text").alias("text")))
+
+
+def _joined(hashes: list[np.ndarray], label: np.ndarray, asked: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (places in the list) by which sets of this similarity join the labelled groups that
+    they are in; at least one of the linked is asked for. The first set is compared first, and
+    what it joins is not compared with each other."""
+    size = np.array([len(h) for h in hashes])
+    flat, owner = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), size)
+    _, column, found_in = np.unique(flat, return_inverse=True, return_counts=True)
+    some = found_in[column] > 1  # others are in no intersection
+    dense = np.cumsum(found_in > 1) - 1
+    owner, column = owner[some], dense[column[some]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + COLUMNS, COLUMNS))
+    left, right, label = [], [], label.copy()
+
+    def compare(those: np.ndarray) -> None:
+        both = np.zeros((len(those), len(hashes)), np.float32)
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            part = np.zeros((len(hashes), COLUMNS), np.float32)
+            part[owner[lo:hi], column[lo:hi] - k * COLUMNS] = 1
+            both += part[those] @ part.T
+        near = both >= similarity * (size[those][:, None] + size[None, :] - both) - SLACK
+        near &= (label[those][:, None] != label[None, :]) & (size[those] > 0)[:, None]
+        for a, b in zip(*np.nonzero(near), strict=True):
+            a = those[a]
+            if label[a] != label[b]:
+                left.append(int(a))
+                right.append(int(b))
+                label[label == label[b]] = label[a]
+
+    if asked[0]:
+        compare(np.array([0]))
+    rest = np.flatnonzero(asked & (label != label[0])) if asked[0] else np.flatnonzero(asked)
+    for at in range(0, len(rest), BLOCK_TEXTS):
+        compare(rest[at : at + BLOCK_TEXTS])
+    return left, right
+
+
+def _compare(rows: DataFrame, similarity: float, width: int) -> DataFrame:
+    """From rows (head, i, j, node, label, asked, text), sorted so that those of one block
+    follow each other, the head first: (a, b), the links that join labels."""
+    names = ("node", "label", "asked", "text")
+
+    def work(block: dict[str, list]) -> pa.RecordBatch:
+        at = {node: k for k, node in reversed(list(enumerate(block["node"])))}  # a node may come once as asked for
+        first = sorted(at.values())
+        asked = {node for node, a in zip(block["node"], block["asked"], strict=True) if a}
+        nodes = [block["node"][k] for k in first]
+        hashes = [shingle_hashes(block["text"][k].encode(), width) for k in first]
+        label = np.array([block["label"][k] for k in first], np.int64)
+        a, b = _joined(hashes, label, np.array([x in asked for x in nodes]), similarity)
+        return pa.record_batch([pa.array([nodes[k] for k in x], pa.int64()) for x in (a, b)], ["a", "b"])
 
-
-def similar_pairs(df: DataFrame, n: int, width: int, similarity: float, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, block = None, {}
+        for batch in batches:
+            groups = zip(*(batch.column(c).to_pylist() for c in ("head", "i", "j")), strict=True)
+            for group, *values in zip(groups, *(batch.column(c).to_pylist() for c in names), strict=True):
+                if group != of:
+                    if of is not None:
+                        yield work(block)
+                    of, block = group, {c: [] for c in names}
+                for c, x in zip(names, values, strict=True):
+                    block[c].append(x)
+        if of is not None:
+            yield work(block)
+
+    small_batches(rows.sparkSession)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(partitions, "head", "i", "j")
+    dealt = dealt.sortWithinPartitions("head", "i", "j", F.col("node") != F.col("head"), "node", F.col("asked").desc())
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar_pairs(df: DataFrame, rows: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """(a, b): pairs of shingle sets of this similarity, enough of them to connect all that any
     such pairs connect."""
-    here = F.struct("node", "size", "place")
-    of = Window.partitionBy("shingle")
-    rows = prefixes(df, width, similarity, common_shingles(df, n, width, text_col), text_col)
-    met = rows.select("shingle", here.alias("it"), F.min(here).over(of).alias("head"), F.max("node").over(of).alias("last"))
-    met = materialise(met.where(F.col("head.node") != F.col("last")).select("shingle", "it", "head").distinct())
-    it, head = F.col("it"), F.col("head")
-    star = met.where((it["node"] != head["node"]) & _can_reach(similarity, it, head)).select(head["node"].alias("a"), it["node"].alias("b"))
-    linked = materialise(similar(star, df, similarity, width, text_col, set_name))
-    labels = connected_components(linked)
-    at = met.join(labels, it["node"] == labels.node, "left").select("shingle", "it", "head", F.coalesce("label", it["node"]).alias("label"))
-    split = at.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    at = materialise(at.join(split, "shingle"))
-    x, y = at.toDF("shingle", "x", "head", "x_label"), at.select("shingle", F.col("it").alias("y"), F.col("label").alias("y_label"))
-    rest = x.join(y, "shingle").where((F.col("x.node") < F.col("y.node")) & (F.col("x_label") != F.col("y_label")) & (F.col("x.node") != head["node"]))
-    rest = rest.where(_can_reach(similarity, F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return linked.unionAll(similar(rest, df, similarity, width, text_col, set_name))
-
-
-def _grouped(df: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """As _labelled, with shingle sets as nodes and similarity alone as links."""
-    rows = materialise(fingerprints(df, width, id_col, text_col, set_name))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("root"))
-    labels = connected_components(similar_pairs(df, rows.count(), width, similarity, text_col))
-    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "root", F.coalesce("label", "fp").alias("label"))
-    return rows, materialise(named)
-
-
-def _labelled(df: DataFrame, width: int, max_diff: int, similarity: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, fp), and for each fingerprint (fp, root, label): its first id and its group."""
-    rows = materialise(fingerprints(df, width, id_col, text_col))
-    nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("root")))
-    pairs = links(nodes.select("fp"), max_diff)
-    if similarity is not None:
-        pairs = similar(pairs, df, similarity, width, text_col)
-    labels = connected_components(pairs)
-    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "root", F.coalesce("label", "fp").alias("label"))
-    return rows, materialise(named)
+    keyed = rows.select(F.explode("keys").alias("key"), "node", "size")
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
+    members = keyed.join(heads, "key").select("head", "node", "size").distinct()  # the head is one
+    shape = members.groupBy("head").agg(F.count("*").alias("texts"), F.sum("size").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    members = members.join(shape.select("head", blocks.cast("int").alias("blocks")), "head")
+    members = materialise(members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    pairs = members.select(F.col("head").alias("a"), F.col("node").alias("b"))
+    texts = _texts_of(df, rows, pairs, id_col, text_col)
+
+    # each block with its head
+    own = members.where("node <> head").select("head", "i", F.lit(0).alias("j"), "node")
+    led = members.select("head", "blocks").distinct().select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), F.col("head").alias("node"))
+    asked = own.unionAll(led).withColumns({"label": F.col("node"), "asked": F.lit(True)})
+    linked = materialise(_compare(asked.join(texts, "node"), similarity, width))
+
+    # in groups of several blocks, those apart from the head's component with all
+    labels = materialise(connected_components(linked))
+    many = members.where("blocks > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_head = many.where("node = head").select("head", F.col("label").alias("head_label"))
+    many = materialise(many.join(of_head, "head").withColumn("asked", F.col("label") != F.col("head_label")))
+    apart = many.where("asked").groupBy("head").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("parts"))
+    many = many.join(apart, "head")
+    kinds = ["head", "i", "j", "node", "label", "asked"]
+    all_ = many.withColumns({"asked": F.lit(False), "j": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}).select(*kinds)
+    part = F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts")).cast("int")
+    ask = many.where("asked").withColumns({"j": part, "i": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}).select(*kinds)
+    rest = materialise(all_.unionAll(ask))
+    if rest.isEmpty():
+        return linked
+    return linked.unionAll(_compare(rest.join(texts, "node"), similarity, width))
 
 
 def near_duplicates(df: DataFrame, width: int = 5, max_diff: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint hex string, component_id) for each row. With ``similarity``, links also
     need that Jaccard similarity of the shingle sets."""
-    rows, named = _labelled(df, width, max_diff, similarity, id_col, text_col)
+    if similarity is None:
+        rows = materialise(fingerprints(df, width, id_col, text_col).withColumn("node", F.col("fp")))
+    else:
+        rows = materialise(_prints_and_sets(df, width, id_col, text_col))
+    prints = materialise(rows.select("fp").distinct())
+    pairs = links(prints, max_diff)
+    if similarity is not None:
+        pairs = _between_sets(df, rows, pairs, similarity, width, id_col, text_col)
+    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("root")))
+    labels = connected_components(pairs)
+    named = materialise(nodes.join(labels, "node", "left").select("node", "root", F.coalesce("label", "node").alias("label")))
     least = named.groupBy("label").agg(F.min("root").alias("component_id"))
-    of = materialise(named.select("fp", "label").join(least, "label").select("fp", "component_id"))
+    of = materialise(named.select("node", "label").join(least, "label").select("node", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+    return rows.join(of, "node").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
-def deduplicate(df: DataFrame, width: int = 5, max_diff: int = 6, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group of near-duplicates: that of the smallest id (null last),
-    then name of the node. Of rows that repeat with their id, one stays. Texts link at this Jaccard
-    similarity of their shingle sets; only with none, at max_diff bits of their fingerprints."""
-    name = fingerprint if similarity is None else set_name
-    if similarity is None:
-        rows, named = _labelled(df, width, max_diff, None, id_col, text_col)
-    else:
-        rows, named = _grouped(df, width, similarity, id_col, text_col)
-    counted = rows.groupBy("id", "fp").agg(F.count("*").alias("n")).join(named.select("fp", "label"), "fp")
-    counted = materialise(counted)
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp"))
-    groups = materialise(counted.groupBy("label").agg(first.alias("first"), F.sum("n").alias("rows")).where("rows > 1"))
-    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("fp") == F.col("first.fp"))
-    more = materialise(counted.join(groups, "label").select("id", "fp", is_first.alias("first")))
-    with_fp = _with_fingerprint(df, width, text_col, name)
-    action = more.select(F.col("id").alias("__id"), F.col("fp").alias("__of"), F.col("first").alias("__first"))
-    joined = with_fp.join(action, with_fp[id_col].eqNullSafe(action["__id"]) & (with_fp["__fp"] == action["__of"]), "left")
-    nth = F.row_number().over(Window.partitionBy(id_col, "__fp").orderBy(F.lit(0)))
-    return joined.where(F.coalesce("__first", F.lit(True))).withColumn("__nth", nth).where("__nth = 1").select(*df.columns)
-
-
-def _with_fingerprint(df: DataFrame, width: int, text_col: str, name: Callable[[bytes, int], int] = fingerprint) -> DataFrame:
-    """All columns of ``df``, and __fp: the fingerprint, or another name of the text's node."""
+def _prints_and_sets(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, fp, node): a row's fingerprint, and a name of it and its shingle set."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([name((x or "").encode(), width) for x in batch.column(text_col).to_pylist()], np.uint64)
-            return batch.append_column("__fp", pa.array(found.view(np.int64), pa.int64()))
+            values = batch.column("text").to_pylist()
+            prints = np.array([fingerprint(x, width) for x in values], np.uint64)
+            sets = np.array([set_name(shingle_hashes(x, width)) for x in values], np.uint64)
+            columns = [batch.column("id"), batch.column("hash"), *(pa.array(c.view(np.int64), pa.int64()) for c in (prints, sets ^ prints * MIX[0]))]
+            return pa.record_batch(columns, ["id", "hash", "fp", "node"])
 
         return one
 
-    return map_batches(df, make, StructType([*df.schema.fields, StructField("__fp", LongType())]))
+    rows = df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("hash"), filled(text_col).cast("binary").alias("text"))
+    return map_batches(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, hash long, fp long, node long")
+
+
+def _between_sets(df: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs of nodes, of linked fingerprints or of one, that have the similarity."""
+    nodes = materialise(rows.select("fp", "node").distinct())
+    x, y = nodes.toDF("a_fp", "a"), nodes.toDF("b_fp", "b")
+    both = pairs.distinct().toDF("a_fp", "b_fp").join(x, "a_fp").join(y, "b_fp").select("a", "b")
+    same = x.join(y, F.col("a_fp") == F.col("b_fp")).where("a < b").select("a", "b")
+    found = materialise(both.unionAll(same))
+    return similar(found, _texts_of(df, rows, found, id_col, text_col), similarity, width)
+
+
+def deduplicate(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near-duplicates: that of the smallest id (null last),
+    then name of the shingle set, then hash of the text. Of rows that repeat with their id, one
+    stays. Texts link at this Jaccard similarity of their shingle sets."""
+    n = df.count()
+    common = common_shingles(df, n, width, text_col)
+    rows = materialise(shingle_rows(df, width, similarity, n, common, id_col, text_col))
+    labels = connected_components(similar_pairs(df, rows, width, similarity, id_col, text_col))
+    counted = rows.groupBy("id", "hash", "node").agg(F.count("*").alias("n"))
+    counted = materialise(counted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node", "hash"))
+    groups = counted.groupBy("label").agg(first.alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
+    more = materialise(counted.join(groups, "label").select("id", "hash", "n", is_first.alias("first")))
+
+    names = ["__heddle_id", "__heddle_hash"]
+    if {*names} & {*df.columns}:
+        raise ValueError("names that begin with __heddle are taken")
+    hashed = df.withColumn("__heddle_text", _text_hash(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(names[0])) & (F.col("__heddle_text") == F.col(names[1]))
+    drop = materialise(more.where("not first or n > 1").select("id", "hash").toDF(*names))
+    kept = hashed.join(_some(drop), same, "left_anti").select(*df.columns)
+    repeated = materialise(more.where("first and n > 1").select("id", "hash").toDF(*names))
+    if repeated.isEmpty():
+        return kept
+    them = hashed.join(_some(repeated), same).groupBy(*names).agg(F.first(F.struct(*df.columns)).alias("row"))
+    return kept.unionAll(them.select("row.*"))

@@ -1,10 +1,11 @@
+import itertools
 import random
 
 import xxhash
 from helpers import no_rows, odd_rows, table
 
 from heddle.llm.components import connected_components
-from heddle.llm.simhash import deduplicate, fingerprint, links, near_duplicates, shingle_set
+from heddle.llm.simhash import SMALL_SET, chain_length, deduplicate, fingerprint, keys_of, links, near_duplicates, no_chain, ring_size, shingle_hashes, shingle_set
 
 
 def slow_fingerprint(text, width):
@@ -98,7 +99,7 @@ def test_similarity_is_of_shingle_sets(spark):
     near[200] = "changed"
     far = [w if k % 8 else "z" + w for k, w in enumerate(words)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words).upper())], "doc_id long, text string")
-    kept = {r.doc_id for r in deduplicate(df, max_diff=6).collect()}
+    kept = {r.doc_id for r in deduplicate(df).collect()}
     a, b = (shingle_set(" ".join(x).encode(), 5) for x in (words, near))
     assert len(a & b) / len(a | b) > 0.8
     assert 1 in kept and 3 in kept and 4 not in kept
@@ -115,7 +116,7 @@ def test_groups_are_those_of_jaccard_alone(spark):
     rng = random.Random(8)
     texts = [" ".join(["common phrase that stands on all pages"] * (k % 2) + [f"w{rng.randrange(10**9)}" for _ in range(3)]) for k in range(30)]
     for k in range(25):
-        words = [f"w{k}x{rng.randrange(400)}" for _ in range(rng.choice((12, 60, 300)))]
+        words = [f"w{k}x{rng.randrange(400)}" for _ in range(rng.choice((12, 60, 120, 150, 300, 1200)))]
         texts += [" ".join(copies_at(rng, words, share)) for share in (0, 0.02, 0.06, 0.09, 0.1, 0.11, 0.2)]
     sets = {k: shingle_set(x.encode(), 5) for k, x in enumerate(texts)}
     pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
@@ -130,3 +131,41 @@ def test_texts_with_one_fingerprint_are_tested(spark):
     assert len({fingerprint(x.encode(), 5) for x in texts}) == 1
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in deduplicate(df).collect()} == {0, 1, 2}
+
+
+def test_similar_sets_share_a_key():
+    rng, none = random.Random(11), shingle_hashes(b"", 5)
+    size = ring_size(0.8, 2)
+    assert no_chain(size, 0.8, 2) <= 1e-8 and size < ring_size(0.8, 3) < ring_size(0.6, 3)
+    assert [chain_length(10**k) for k in (0, 6, 7, 8, 9, 10)] == [2, 2, 3, 3, 4, 4]
+    few = sum(not any(x and y for x, y in itertools.pairwise([rng.random() < 0.5 for _ in range(8)])) for _ in range(20_000))
+    assert abs(few / 20_000 - no_chain(8, 0.5, 2)) < 0.02
+    for _ in range(1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((7, 30, 100, SMALL_SET, SMALL_SET + 10, 500)))]
+        other = copies_at(rng, words, rng.choice((0.02, 0.08, 0.1)))
+        a, b = (shingle_hashes(" ".join(x).encode(), 5) for x in (words, other))
+        both = len(set(a.tolist()) & set(b.tolist()))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            assert set(keys_of(a, 0.8, size, 2, none).tolist()) & set(keys_of(b, 0.8, size, 2, none).tolist())
+
+
+def test_near_duplicates_with_similarity(spark):
+    run = " ".join(["run"] * 200)
+    texts = [f"{run} " + " ".join(f"w{k}x{j}" for j in range(n)) for k in range(3) for n in (40, 41)] + [""] * 3
+    assert len({fingerprint(x.encode(), 5) for x in texts[:6]}) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, 5, 2, 0.8).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
+
+
+def test_groups_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr("heddle.llm.simhash.BLOCK_TEXTS", 8)
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(copies_at(rng, copies_at(rng, words, 0.06), 0.05)) for _ in range(90)]
+    sets = {k: shingle_set(x.encode(), 5) for k, x in enumerate(texts)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    expected = groups(sets, pairs)
+    assert 1 < len(set(expected.values())) < 90
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in deduplicate(df).collect()} == set(expected.values())
