@@ -12,14 +12,14 @@ line exactly would shuffle every (line, site) pair of the corpus, so:
 3. Positions of boilerplate lines are joined to each document by hashes alone, gathered a document
    at a time, and cut from its text, which is shuffled once.
 
-A document that would lose more than ``max_share`` of its characters is left as it is; with 1, every
-boilerplate line goes. With ``min_texts``, a line must also stand in so many different texts, so that
-copies of one text on many sites do not empty each other.
-
-Lines are compared without white space at either end; blank lines and lines shorter than
-``min_chars`` are kept. A null text
-stays null, a null site is no site, repeated rows and ids are each treated alone, other columns
-pass through unchanged, and no rows give no rows.
+A line must also stand in ``min_texts`` different texts, counted in the same way, so that copies of
+one text on many sites do not empty each other. Every line that meets both thresholds is cut, whatever
+share of a text it makes and however short it is.
+
+Lines are compared without white space at either end; blank lines are kept. A null text stays null, a
+null site is no site, repeated rows and ids are each treated alone, other columns pass through
+unchanged, also those whose names begin like the ones used here, but for ``removed_col``, which is
+replaced. A text of any length is split into lines in one row; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import materialise
 
-MIN_SITES, MIN_CHARS, MAX_SHARE = 5, 20, 0.5
-#: Rows of one line meet what is known of it in so many tasks.
+MIN_SITES, MIN_TEXTS = 5, 5
+#: Rows of one line meet what is known of it in so many tasks at least; skewed joins are split further.
 SALTS = 32
 #: 2 ** LG_K registers a sketch; its relative standard error is about 1.04 / sqrt(2 ** LG_K).
 LG_K, BAND = 10, 8
@@ -50,56 +50,66 @@ def _normal(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def line_rows(df: DataFrame, min_chars: int, site_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, site, row, pos) for the lines long enough to be compared. ``row`` names the
-    documents that have the same text and site."""
+def _row_hashes(text_col: str) -> list[Column]:
+    return [F.xxhash64(text_col), F.xxhash64(F.lit("row"), F.col(text_col))]
+
+
+def line_rows(df: DataFrame, site_col: str, text_col: str) -> DataFrame:
+    """(h1, h2, site, r1, r2, pos) for the lines that are not blank: hashes of the line, of its site
+    and of its text, which names the documents that have it."""
+    r1, r2 = _row_hashes(text_col)
+    site = F.when(F.col(site_col).isNotNull(), F.xxhash64(F.col(site_col).cast("string")))
     # equal lines of a document are all kept: positions are needed, not only whether one is there
-    wide = df.select(F.col(site_col).cast("string").alias("site"), F.xxhash64(text_col).alias("r1"), F.xxhash64(F.lit("row"), F.col(text_col)).alias("r2"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
-    wide = wide.withColumn("line", _normal(F.col("line"))).where(F.length("line") >= min_chars)
+    lines = F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
+    wide = df.select(site.alias("site"), r1.alias("r1"), r2.alias("r2"), lines)
+    wide = wide.withColumn("line", _normal(F.col("line"))).where(F.length("line") > 0)
     return wide.select(*_hashes(F.col("line")), "site", "r1", "r2", "pos")
 
 
-def meet(lines: DataFrame, some: DataFrame) -> DataFrame:
+def meet(lines: DataFrame, some: DataFrame, salted_by: list[str]) -> DataFrame:
     """The line rows whose hashes are among ``some``. A line may stand in a third of all documents,
-    so its rows are dealt out by document, and its hashes are copied to each part."""
-    salted = lines.withColumn("salt", F.pmod("r1", F.lit(SALTS)))
+    so its rows are dealt out by other columns too, and its hashes are copied to each part."""
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64(*salted_by), F.lit(SALTS)))
     copies = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     return salted.join(copies, ["h1", "h2", "salt"]).drop("salt")
 
 
-def spread(lines: DataFrame, min_sites: int, of: str = "site") -> DataFrame:
-    """(h1, h2) of the lines on min_sites or more different sites, or other values of a column."""
+def spread(lines: DataFrame, at_least: int, of: str) -> DataFrame:
+    """(h1, h2) of the lines with so many different sites, or other values of a column."""
     h = ["h1", "h2"]
     sketched = lines.groupBy(*h).agg(F.hll_sketch_agg(of, F.lit(LG_K)).alias("sketch"))
-    sketched = materialise(sketched.select(*h, F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites / (1 + BAND * ERROR) - 1))
-    margin = BAND * ERROR * min_sites + 1
-    sure = sketched.where(F.col("sites") >= min_sites + margin).select(*h)
-    near = sketched.where(F.col("sites") < min_sites + margin).select(*h)
-    pairs = meet(lines.where(F.col(of).isNotNull()).select(*h, F.col(of).alias("member"), "r1"), near).select(*h, "member").distinct()
-    exact = pairs.groupBy(*h).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(*h)
-    return sure.unionAll(exact)
-
-
-def drop_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, site_col: str = "source", text_col: str = "text", removed_col: str = "n_removed", min_texts: int = 1) -> DataFrame:
-    """``df`` with boilerplate lines cut from its texts, and the number of them as a new column."""
-    lines = line_rows(df, min_chars, site_col, text_col)
-    found = materialise(spread(lines, min_sites))
+    counted = sketched.select(*h, F.hll_sketch_estimate("sketch").alias("members"))
+    counted = materialise(counted.where(F.col("members") >= at_least / (1 + BAND * ERROR) - 1))
+    margin = BAND * ERROR * at_least + 1
+    sure = counted.where(F.col("members") >= at_least + margin).select(*h)
+    near = counted.where(F.col("members") < at_least + margin).select(*h)
+    pairs = lines.where(F.col(of).isNotNull()).select(*h, F.col(of).alias("member"), "r1", "pos")
+    pairs = meet(pairs, near, ["r1", "pos"]).select(*h, "member").distinct()
+    exact = pairs.groupBy(*h).agg(F.count("*").alias("members")).where(F.col("members") >= at_least)
+    return sure.unionAll(exact.select(*h))
+
+
+def drop_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, site_col: str = "source", text_col: str = "text", removed_col: str = "n_removed") -> DataFrame:
+    """``df`` with boilerplate lines cut from its texts, and the number of them as a column."""
+    lines = line_rows(df, site_col, text_col)
+    found = materialise(spread(lines, min_sites, "site"))
+    here = materialise(meet(lines.select("h1", "h2", "r1", "r2", "pos"), found, ["r1", "pos"]).distinct())
     if min_texts > 1:
-        found = materialise(spread(meet(lines.select("h1", "h2", "r1"), found), min_texts, "r1"))
-    places = meet(lines.select("h1", "h2", "r1", "r2", "pos"), found)
-    cuts = materialise(places.groupBy("r1", "r2").agg(F.collect_set("pos").alias("__cut")).withColumnsRenamed({"r1": "__c1", "r2": "__c2"}))
-    keyed = df.withColumns({"__r1": F.xxhash64(text_col), "__r2": F.xxhash64(F.lit("row"), F.col(text_col))})
-    joined = keyed.join(cuts, (F.col("__r1") == F.col("__c1")) & (F.col("__r2") == F.col("__c2")), "left")
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains("__cut", i)), "\n")
-    joined = joined.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept))
-    enough = F.coalesce(F.length("__kept") >= (1 - max_share) * F.length(text_col), F.lit(False))
-    text = F.when(enough, F.col("__kept")).otherwise(F.col(text_col))
-    removed = F.when(enough, F.size("__cut")).otherwise(0).cast("long")
-    names = [F.col(c) if c != text_col else text.alias(text_col) for c in df.columns]
-    return joined.select(*names, removed.alias(removed_col))
-
-
-ORACLE = rf"""
+        here = here.join(spread(here, min_texts, "r1"), ["h1", "h2"])
+    cuts = materialise(here.groupBy("r1", "r2").agg(F.collect_set("pos").alias("cut")))
+    names = {"r1": "__heddle_c1", "r2": "__heddle_c2", "cut": "__heddle_cut"}
+    r1, r2 = _row_hashes(text_col)
+    keyed = df.withColumns({"__heddle_r1": r1, "__heddle_r2": r2})
+    same = (F.col("__heddle_r1") == F.col("__heddle_c1")) & (F.col("__heddle_r2") == F.col("__heddle_c2"))
+    joined = keyed.join(cuts.withColumnsRenamed(names), same, "left")
+    cut = F.col("__heddle_cut")
+    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains(cut, i)), "\n")
+    text = F.when(cut.isNotNull(), kept).otherwise(F.col(text_col))
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in df.columns if c != removed_col]
+    return joined.select(*columns, F.coalesce(F.when(cut.isNotNull(), F.size(cut)), F.lit(0)).cast("long").alias(removed_col))
+
+
+ORACLE = f"""
 with numbered as (
   select doc_id, source, text, string_split(text, chr(10)) as parts from documents
 ), lines as (
@@ -107,17 +117,18 @@ with numbered as (
 ), compared as (
   select *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as t from lines
 ), wide as (
-  select t from compared where length(t) >= {MIN_CHARS} group by t having count(distinct source) >= {MIN_SITES}
+  select t from compared where t <> '' group by t
+  having count(distinct source) >= {MIN_SITES} and count(distinct text) >= {MIN_TEXTS}
 ), marked as (
   select c.*, w.t is not null as bad from compared c left join wide w on c.t = w.t
 ), cut as (
-  select doc_id, any_value(text) as text, count(*) filter (bad) as n_bad,
+  select doc_id, count(*) filter (bad) as n_bad,
          coalesce(string_agg(line, chr(10) order by pos) filter (not bad), '') as kept
   from marked group by doc_id
 )
 select d.doc_id,
-       cast(case when length(c.kept) >= {1 - MAX_SHARE} * length(d.text) then c.n_bad else 0 end as bigint) as n_removed,
-       cast(length(case when length(c.kept) >= {1 - MAX_SHARE} * length(d.text) then c.kept else d.text end) as bigint) as n_kept_chars,
-       sha256(case when length(c.kept) >= {1 - MAX_SHARE} * length(d.text) then c.kept else d.text end) as text_sha256
+       cast(coalesce(c.n_bad, 0) as bigint) as n_removed,
+       cast(length(c.kept) as bigint) as n_kept_chars,
+       sha256(c.kept) as text_sha256
 from documents d left join cut c using (doc_id)
 """

@@ -15,22 +15,21 @@ def site_rows(spark, n=8):
     return spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
-def brute(rows, min_sites, min_chars, max_share):
-    sites = defaultdict(set)
+def brute(rows, min_sites, min_texts=1):
+    sites, texts = defaultdict(set), defaultdict(set)
     norm = lambda x: x.strip(" \t\r\v\f")
     for _, text, source in rows:
         for line in (text or "").split("\n"):
-            if len(norm(line)) >= min_chars and source is not None:
+            texts[norm(line)].add(text)
+            if source is not None:
                 sites[norm(line)].add(source)
-    bad = {x for x, s in sites.items() if len(s) >= min_sites}
+    bad = {x for x, s in sites.items() if x and len(s) >= min_sites and len(texts[x]) >= min_texts}
     for i, text, _ in rows:
         if text is None:
             yield i, None, 0
-            continue
-        lines = text.split("\n")
-        kept = "\n".join(x for x in lines if norm(x) not in bad)
-        cut = sum(norm(x) in bad for x in lines)
-        yield (i, kept, cut) if cut and len(kept) >= (1 - max_share) * len(text) else (i, text, 0)
+        else:
+            lines = text.split("\n")
+            yield i, "\n".join(x for x in lines if norm(x) not in bad), sum(norm(x) in bad for x in lines)
 
 
 def run(df, **options):
@@ -46,10 +45,17 @@ def test_lines_on_many_sites_go(spark):
 
 
 def test_thresholds_are_exact(spark):
-    for n in range(2, 14):
+    for n in (2, 6, 7, 8, 13):
         rows = [(r.doc_id, r.text, r.source) for r in site_rows(spark, n).collect()] * 2
         df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-        assert run(df, min_sites=7) == Counter(brute(rows, 7, 20, 0.5))
+        assert run(df, min_sites=7) == Counter(brute(rows, 7, 5))
+
+
+def test_short_lines_go_and_whole_texts_too(spark):
+    rows = [(k, "Short.\n" + "\n".join(f"Shared {j}." for j in range(k % 4)), f"s{k}") for k in range(12)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, source string")
+    got = run(df, min_sites=3, min_texts=3)
+    assert got == Counter(brute(rows * 2, 3, 3)) and {x for _, x, _ in got} == {"", "Shared 1.", "Shared 1.\nShared 2."}
 
 
 def test_copies_are_left_alone(spark):
@@ -60,8 +66,11 @@ def test_copies_are_left_alone(spark):
 def test_odd_rows(spark):
     df = odd_rows(spark)
     rows = [(r.doc_id, r.text, r.source) for r in df.collect()]
-    assert run(df, min_sites=2) == Counter(brute(rows, 2, 20, 0.5))
+    for texts in (1, 2):
+        assert run(df, min_sites=2, min_texts=texts) == Counter(brute(rows, 2, texts))
     assert line_dedup.drop_boilerplate(df).columns == [*df.columns, "n_removed"]
+    twice = line_dedup.drop_boilerplate(df.withColumn("n_removed", F.lit("clash")))
+    assert twice.columns == [*df.columns, "n_removed"] and {r.n_removed for r in twice.collect()} == {0}
     assert line_dedup.drop_boilerplate(no_rows(spark)).count() == 0
 
 
@@ -69,7 +78,7 @@ def test_whole_table(spark, small):
     got, expected = compare(QUERIES["op5_line_dedup"](spark, small), ORACLES["op5_line_dedup"], small)
     assert got == expected
     rows = [(r.doc_id, r.text, r.source) for r in table(spark, small, "documents").collect()]
-    assert run(table(spark, small, "documents")) == Counter(brute(rows, 5, 20, 0.5))
+    assert run(table(spark, small, "documents")) == Counter(brute(rows, 5, 5))
 
 
 def test_main_path_is_native(spark, small):
