@@ -10,8 +10,9 @@ def test_trees_cover_the_text():
     rng = random.Random(1)
     for _ in range(300):
         text = "".join(rng.choice(["A b. ", "c! ", "word ", "\n", "x" * 200, "é", ". "]) for _ in range(rng.randint(0, 60)))
-        _, sections = merkle.tree(text)
-        assert sum(n for _, ps in sections for _, leaves in ps for _, n in leaves) == (len(text) + 1 if text else 0)
+        root = merkle.tree(text)
+        assert root.size == sum(n.size for s in root.children for p in s.children for n in p.children) == len(text)
+        assert merkle.parse(merkle.render(root)) == root
         assert merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(text)) == 1.0
 
 
@@ -20,7 +21,7 @@ def test_roots_and_edits():
     a = "\n".join(lines)
     lines[30] = "Line 30 was changed. And then another one!"
     b = "\n".join(lines)
-    assert merkle.tree(a)[0] != merkle.tree(b)[0]
+    assert merkle.tree(a).digest != merkle.tree(b).digest
     ((s, e, s2, e2),) = merkle.edits(a, b)
     assert a[s:e].strip() == "Line 30 says one thing." and b[s2:e2].strip() == "Line 30 was changed."
     assert merkle.edits(a, a) == []
@@ -29,6 +30,50 @@ def test_roots_and_edits():
     assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1.0
 
 
+def test_order_matters():
+    paragraphs = [f"Paragraph {k} has a first sentence. It has a second one, too." for k in range(40)]
+    a = "\n".join(paragraphs)
+    for x, y in ((3, 30), (10, 11), (0, 39)):
+        swapped = paragraphs.copy()
+        swapped[x], swapped[y] = swapped[y], swapped[x]
+        likeness = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint("\n".join(swapped)))
+        assert 0.9 < likeness < 1
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint("\n".join(paragraphs[::-1]))) < 0.1
+
+
+def longest_common(a, b):
+    """Characters of a longest common subsequence of spans."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(best[j] + x.size if x.digest == y.digest else max(best[j + 1], row[j]))
+        best = row
+    return best[-1]
+
+
+def test_descent_against_brute_force():
+    rng = random.Random(5)
+    flat = lambda root: [n for s in root.children for p in s.children for n in p.children]
+    close = 0
+    for _ in range(300):
+        lines = [" ".join(f"Word{rng.randrange(10**6)} {j}." for j in range(rng.randint(1, 4))) for _ in range(rng.randint(2, 25))]
+        other = [x for x in lines if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 3)):
+            other.insert(rng.randint(0, len(other)), rng.choice(lines))
+        a, b = merkle.tree("\n".join(lines)), merkle.tree("\n".join(other))
+        most = 2 * longest_common(flat(a), flat(b)) / (a.size + b.size)
+        got = merkle.alike(a, b)
+        assert got <= most + 1e-9 and (got == 1) == (lines == other)
+        close += got >= 0.9 * most
+        text, changed, at, out = "\n".join(lines), "\n".join(other), 0, []
+        for s, e, s2, e2 in merkle.edits(text, changed):
+            out += [text[at:s], changed[s2:e2]]
+            at = e
+        assert "".join([*out, text[at:]]) == changed
+    assert close > 270
+
+
 def brute(rows):
     rows = sorted((i, x or "") for i, x in rows)
     for k, (i, x) in enumerate(rows):
@@ -36,7 +81,8 @@ def brute(rows):
         half = len(x) // 2
         e = x[: len(x) - half] + y[:half]
         fx, fe, fy = map(merkle.fingerprint, (x, e, y))
-        yield i, len(x), hashlib.sha256(e.encode()).hexdigest(), fx, fe, merkle.likeness(fx, fe), merkle.likeness(fx, fy)
+        runs = ",".join(f"{s}-{t}:{s2}-{t2}" for s, t, s2, t2 in merkle.edits(x, e))
+        yield i, len(x), hashlib.sha256(e.encode()).hexdigest(), fx, fe, merkle.likeness(fx, fe), merkle.likeness(fx, fy), runs
 
 
 def test_whole_table(spark, small):
