@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from helpers import LONG, ODD, no_rows, odd_rows, table
@@ -23,6 +24,30 @@ def test_chunks_splice_to_the_whole():
         assert long_ids(tokenizer(PATH), text, rng.choice([8, 20, 50]), rng.choice([2, 5, 16])) == whole(text)
 
 
+def test_places_are_cut_in_any_surroundings():
+    rng = random.Random(6)
+    kinds = "aZéßΣσЖ日本のカ가힣שعकก09٣!?.,'-=<>|。「」 \n\t\u0301\u3099\u1161\u11a8\u09be\u00a0\u0085İŉﬁ½Ⅷ"
+    parts = [*kinds, "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "e\u0301", "=\u0338"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 120)))
+        assert long_ids(tokenizer(PATH), text, rng.choice([6, 12, 30]), rng.choice([2, 4, 9])) == whole(text), text
+    wide = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    for _ in range(2000):
+        text = "".join(rng.choice(wide if rng.random() < 0.6 else kinds) for _ in range(80))
+        assert long_ids(tokenizer(PATH), text, 12, 4) == whole(text), text
+
+
+@pytest.mark.parametrize("alphabet", ["etaoin", "的一是不了人我在有他。", "abcXYZ019+/", "กขคงจา", "=-*#", "の日本カ"])
+def test_time_is_linear_without_white_space(alphabet):
+    text = "".join(random.Random(7).choices(alphabet, k=2_000_000))
+    began = time.process_time()
+    expected = whole(text)
+    library = time.process_time() - began
+    began = time.process_time()
+    assert long_ids(tokenizer(PATH), text) == expected
+    assert time.process_time() - began < 10 * library
+
+
 def test_words_join_to_the_whole(monkeypatch):
     monkeypatch.setattr(word_memo, "MEMO_WORDS", 30)
     memo, rng = word_memo.WordMemo(tokenizer(PATH)), random.Random(2)
