@@ -2,13 +2,20 @@
 
 Three patterns give the base spans: assignments, access keys and long hex strings. What they find
 in a bounded sample of documents labels credentials by kind; generated examples of published key
-formats are added. For each kind an automaton is inferred from its examples (see grammar), one
-more from other long tokens of the sample. Each long token of each whole text that overlaps no
-base span is then scored: its log likelihood under the best kind less that under ordinary tokens.
-One above ``MARGIN`` is a span of kind ``format``.
-
-A null text is an empty one; ids may be null or repeat. Without documents, or without labelled
-ones, the generated examples alone are learnt from.
+formats are added. For each kind an automaton is inferred from its examples, however few (see
+grammar), one more from other long tokens of the sample. Each long token of each whole text, base spans'
+included, is then scored: its log likelihood under the best kind less that under ordinary tokens. One
+above ``MARGIN`` that overlaps no base span is a span of kind ``format``; so a credential of a format
+that the corpus labels elsewhere is found where no pattern says so.
+
+The sample is about ``FIT_DOCUMENTS`` documents by hash of their text; of each kind it gives
+``FIT_EXAMPLES`` different values by hash, ``FIT_CHARS`` characters of them in all, and four times as many
+ordinary tokens.
+
+A null text is an empty one; ids may be null or repeat, and each row is scanned alone. Without documents, or
+without labelled ones, the generated examples alone are learnt from; no rows give no rows. A text of
+any length is scanned in one piece, and so is a token of it. Columns besides the id and the
+text are not read by ``find`` and ``scan``; ``redact`` passes them through.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import filled, map_batches, texts
+from heddle.llm.common import filled, map_batches, materialise, texts
 from heddle.llm.grammar import TO_CLASS, Automaton
 
 KINDS = ("assign", "access", "hex", "format")
@@ -31,8 +38,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 CANDIDATE = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Documents whose base spans are the labelled sample, and examples learnt from for each kind.
-FIT_DOCUMENTS, FIT_EXAMPLES = 20_000, 400
+#: Documents whose base spans are the labelled sample; examples of each kind, and characters of them, learnt from.
+FIT_DOCUMENTS, FIT_EXAMPLES, FIT_CHARS = 20_000, 400, 40_000
 #: Log of how much likelier a credential's format must be than an ordinary token's.
 MARGIN = 6.0
 
@@ -78,14 +85,32 @@ class Model:
         return best - self.ordinary.log_likelihood(classes)
 
 
-def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
-    """Base spans, and tokens apart from them that have a credential's format."""
+def _value(text: str, start: int, end: int, kind: str) -> str:
+    """The credential of a base span: of an assignment what is assigned."""
+    return ASSIGN.match(text, start)[2] if kind == "assign" else text[start:end]
+
+
+def _apart(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
+    return all(end <= s or e <= start for s, e, _ in base)
+
+
+def scored(text: str, model: Model) -> tuple[list[tuple[int, int, str]], float]:
+    """Base spans and tokens apart from them that have a credential's format, and the best score of
+    all candidates: long tokens and the values of base spans."""
     base = base_spans(text)
-    more = []
+    more, best = [], float("-inf")
+    for s, e, kind in base:
+        best = max(best, model.score(_value(text, s, e, kind)))
     for m in CANDIDATE.finditer(text):
-        if all(m.end() <= s or e <= m.start() for s, e, _ in base) and model.score(m[0]) >= MARGIN:
+        score = model.score(m[0])
+        best = max(best, score)
+        if score >= MARGIN and _apart(m.start(), m.end(), base):
             more.append((m.start(), m.end(), "format"))
-    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
+    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base, best
+
+
+def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
+    return scored(text, model)[0]
 
 
 def generated(n: int) -> dict[str, list[str]]:
@@ -107,22 +132,39 @@ def harmless(n: int) -> list[str]:
     return [x for x in out if CANDIDATE.fullmatch(x)]
 
 
+def _by_hash(values: list[str]) -> list[str]:
+    return sorted(values, key=lambda x: hashlib.sha256(x.encode()).digest())
+
+
+def _common_prefix(values: list[str]) -> str:
+    first, last = min(values), max(values)
+    n = next((k for k, (a, b) in enumerate(zip(first, last, strict=False)) if a != b), min(len(first), len(last)))
+    return first[:n]
+
+
 def fit(labelled: dict[str, list[str]], ordinary: list[str]) -> Model:
     """Automata of each kind of labelled credentials, and of ordinary tokens."""
     kinds = []
-    for _, examples in sorted(labelled.items()):
-        examples = sorted(examples, key=lambda x: hashlib.sha256(x.encode()).digest())[:FIT_EXAMPLES]
-        if len(examples) < 20:
-            continue
-        first, last = min(examples), max(examples)
-        prefix = first[: next((k for k, (a, b) in enumerate(zip(first, last, strict=False)) if a != b), 0)]
-        kinds.append((prefix if len(prefix) > 2 else "", Automaton([x[len(prefix) if len(prefix) > 2 else 0 :] for x in examples])))
-    ordinary = sorted(ordinary, key=lambda x: hashlib.sha256(x.encode()).digest())[: 4 * FIT_EXAMPLES]
+    for _, values in sorted(labelled.items()):
+        examples = _by_hash(values)[:FIT_EXAMPLES]
+        if examples:
+            # one example tells no prefix from the rest
+            prefix = _common_prefix(examples) if len(set(examples)) > 1 else ""
+            prefix = prefix if len(prefix) > 2 else ""
+            kinds.append((prefix, Automaton([x[len(prefix) :] for x in examples])))
+    ordinary = _by_hash(ordinary)[: 4 * FIT_EXAMPLES]
     words = [x for x in ordinary if x.isalpha()]
     spare = [*map(str.upper, words), *map(str.title, words), *harmless(FIT_EXAMPLES)]
     return Model(kinds, Automaton(ordinary + spare))
 
 
+def _drawn(found: DataFrame, examples: int, chars: int) -> DataFrame:
+    """Of each kind so many values by hash, and of these the first with so many characters in all."""
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    few = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= examples)
+    return few.withColumn("chars", F.sum(F.length("value")).over(order)).where(F.col("chars") <= chars).select("kind", "value")
+
+
 def fit_on(df: DataFrame, text_col: str = "text", documents: int = FIT_DOCUMENTS) -> Model:
     """A model from what the base patterns find in about ``documents`` documents, by hash."""
     n = df.count()
@@ -137,36 +179,45 @@ def fit_on(df: DataFrame, text_col: str = "text", documents: int = FIT_DOCUMENTS
                 base = base_spans(x)
                 for s, e, kind in base:
                     kinds.append(kind)
-                    values.append(ASSIGN.match(x, s)[2] if kind == "assign" else x[s:e])
+                    values.append(_value(x, s, e, kind))
                 for m in CANDIDATE.finditer(x):
-                    if all(m.end() <= s or e <= m.start() for s, e, _ in base):
+                    if _apart(m.start(), m.end(), base):
                         kinds.append("ordinary")
                         values.append(m[0])
             return pa.record_batch([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
         return one
 
-    found = map_batches(rows, make, "kind string, value string").where(F.length("value") <= 256).distinct()
-    limit = F.when(F.col("kind") == "ordinary", 4 * FIT_EXAMPLES).otherwise(FIT_EXAMPLES)
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    found = materialise(map_batches(rows, make, "kind string, value string").distinct())
+    some = _drawn(found.where("kind <> 'ordinary'"), FIT_EXAMPLES, FIT_CHARS)
+    others = _drawn(found.where("kind = 'ordinary'"), 4 * FIT_EXAMPLES, 4 * FIT_CHARS)
     labelled: dict[str, list[str]] = generated(FIT_EXAMPLES) | {kind: [] for kind in (*KINDS[:3], "ordinary")}
-    for r in found.withColumn("nth", nth).where(F.col("nth") <= limit).collect():  # at most 7 * FIT_EXAMPLES rows
+    for r in some.unionAll(others).collect():  # at most 7 * FIT_EXAMPLES rows of 7 * FIT_CHARS characters
         labelled[r["kind"]].append(r["value"])
     return fit(labelled, labelled.pop("ordinary"))
 
 
 def find(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans array<struct<start, end, kind>>) for each row."""
+    """(id, spans array<struct<start, end, kind>>, best_score) for each row; the score is null for a
+    text without candidates."""
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [[{"start": s, "end": e, "kind": k} for s, e, k in spans(x, model)] for x in texts(batch)]
-            return pa.record_batch([batch.column("id"), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])))], ["id", "spans"])
+            found, best = [], []
+            for x in texts(batch):
+                here, score = scored(x, model)
+                found.append([{"start": s, "end": e, "kind": k} for s, e, k in here])
+                best.append(score if score > float("-inf") else None)
+            columns = [batch.column("id"), pa.array(found, pa.list_(span)), pa.array(best, pa.float64())]
+            return pa.record_batch(columns, ["id", "spans", "best_score"])
 
         return one
 
     rows = df.select(F.col(id_col).alias("id"), filled(text_col))
-    return map_batches(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<start: bigint, end: bigint, kind: string>>").withColumnRenamed("id", id_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, spans array<struct<start: bigint, end: bigint, kind: string>>, best_score double"
+    return map_batches(rows, make, schema).withColumnRenamed("id", id_col)
 
 
 def redact(df: DataFrame, model: Model, text_col: str = "text", mark: str = "[{}]") -> DataFrame:
@@ -194,10 +245,13 @@ def redact(df: DataFrame, model: Model, text_col: str = "text", mark: str = "[{}
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fit on ``df``, then (id, n_assign, n_access, n_hex, base_sha256, spans, n_format)."""
+    """Fit on ``df``, then (id, n_assign, n_access, n_hex, base_sha256, spans, n_format, best_score)."""
     found = find(df, fit_on(df, text_col), id_col, text_col)
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     joined = lambda c: F.array_join(F.transform(c, text), ",")
-    base = F.filter("spans", lambda s: s["kind"] != "format")
-    return found.select(F.col(id_col), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), count("format").alias("n_format"))
+    base = joined(F.filter("spans", lambda s: s["kind"] != "format"))
+    counts = [count(kind) for kind in KINDS]
+    return found.select(
+        F.col(id_col), *counts[:3], F.sha2(base, 256).alias("base_sha256"), joined("spans").alias("spans"), counts[3], "best_score"
+    )

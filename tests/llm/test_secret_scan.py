@@ -75,3 +75,55 @@ def test_whole_table(spark, small):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for *_, k in base) for kind in s.KINDS[:3])
         assert ",".join(x for x in r.spans.split(",") if x and not x.startswith("format")) == joined
+
+
+def planted(n_labelled, n_bare):
+    """Documents with credentials of formats that the generator does not have: labelled in
+    assignments, and others bare in prose, with where these stand; and long tokens that are none."""
+    rng = random.Random(31)
+    upper, base36 = "ABCDEFGHJKMNPQRSTVWXYZ23456789", "abcdefghijklmnopqrstuvwxyz0123456789"
+    formats = {
+        "grouped": lambda: "-".join("".join(rng.choices(upper, k=5)) for _ in range(5)),
+        "prefixed": lambda: "zq9_" + "".join(rng.choices(base36, k=28)),
+        "hyphened": lambda: "live-" + "".join(rng.choices("0123456789", k=6)) + "-" + "".join(rng.choices(base36, k=20)),
+    }
+    words = lambda: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(30))
+    rows, bare, harmless = [], {}, 0
+    for make in formats.values():
+        for _ in range(n_labelled):
+            rows.append((len(rows), f'{words()} api_key = "{make()}" {words()}'))
+        for _ in range(n_bare):
+            start, key = words() + " ", make()
+            bare[len(rows)] = (len(start), len(start) + len(key))
+            rows.append((len(rows), f"{start}{key} {words()}"))
+    for x in s.harmless(20)[:150]:
+        rows.append((len(rows), f"{words()} {x} {words()} {''.join(rng.choices('etaoinshrdlu', k=20))}"))
+        harmless += 2
+    return rows, bare, harmless
+
+
+def test_formats_that_the_corpus_labels_are_found_elsewhere(spark):
+    for n_labelled, least in ((60, 0.95), (8, 0.8)):
+        rows, bare, harmless = planted(n_labelled, 30)
+        got = s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        found = {(r.doc_id, *map(int, x.split(":")[1:])) for r in got for x in r.spans.split(",") if x.startswith("format")}
+        true = {(i, *span) for i, span in bare.items()}
+        print(n_labelled, len(found & true) / len(true), len(found - true), harmless)
+        assert len(found & true) >= least * len(true)
+        assert len(found - true) <= 0.02 * harmless
+        values = [r.best_score for r in got if r.n_assign]
+        assert sum(x >= s.MARGIN for x in values) >= least * len(values)
+
+
+def test_few_and_long_examples():
+    one = s.fit({"a": ["tk-" + "0123456789" * 3], "none": []}, [])
+    assert len(one.kinds) == 1 and one.score("tk-" + "9876543210" * 3) > one.score("t" * 33)
+    assert s._common_prefix(["abc", "abcd"]) == "abc"
+
+
+def test_long_values_are_learnt_from(spark):
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choices("ABCDEF0123456789+/", k=400))
+    rows = [(k, f"token={key()}") for k in range(30)] + [(100 + k, f"see {key()}") for k in range(10)]
+    got = {r.doc_id: r.n_format for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[100 + k] for k in range(10)) >= 9
