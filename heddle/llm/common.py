@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows in one Arrow batch. Whole texts travel in them, so it bounds a Python worker's memory.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch. Whole texts travel in them, so they bound a Python worker's memory; a
+#: longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for tables of long texts."""
+    """Keep Arrow batches small enough for tables of long texts. Spark reads these settings when a plan
+    runs, which is after the operator has returned, so they stay set for the session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def materialise(df: DataFrame) -> DataFrame:

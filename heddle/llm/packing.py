@@ -17,7 +17,8 @@ within a length come from counts of (length, salt) cells and row numbers inside
 length that a third of all pieces have is spread over many tasks.
 
 A null text is an empty one: its piece is the end id alone. Ids may be null or repeat; each row
-is a document of its own. No rows give no pieces.
+is a document of its own. Other columns are not read. No rows give no pieces. A text of any length is
+encoded whole, in one task.
 """
 
 from __future__ import annotations
@@ -34,19 +35,22 @@ from heddle.llm.common import filled, materialise, small_batches, texts
 CAPACITY, END_ID = 2048, 0
 #: Pieces of one length that share a salt, about.
 CELL_ROWS = 200_000
+#: Rows of the plan up to which it is broadcast; it has some thousands.
+FEW = 200_000
 
 Pattern = tuple[int, ...]
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32) for each piece of each row's ids and end id."""
+    """(id, piece, start, length, ids_crc32, turn) for each piece of each row's ids and end id; turn numbers
+    the pieces of a task."""
     end = end_id.to_bytes(4, "little")
-    names = ["id", "piece", "start", "length", "ids_crc32"]
+    names = ["id", "piece", "start", "length", "ids_crc32", "turn"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from heddle.llm.word_memo import word_memo
 
-        memo = word_memo(path)
+        memo, turn = word_memo(path), 0
         for batch in batches:
             rows, cut = [], []
             for k, ids in enumerate(memo.batch(texts(batch))):
@@ -56,11 +60,14 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                     rows.append(k)
                     cut.append((j, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = zip(*cut, strict=True) if cut else [[]] * 4
-            yield pa.record_batch([batch.column("id").take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names)
+            values = [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            turns = pa.array(range(turn, turn + len(rows)), pa.int64())
+            turn += len(rows)
+            yield pa.record_batch([batch.column("id").take(pa.array(rows, pa.int64())), *values, turns], names)
 
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), filled(text_col))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, turn long")
 
 
 def _pair_above(left: dict[int, int], low: int, high: int) -> bool:
@@ -192,14 +199,17 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to rows of ``pieces``, which must be cheap to read again."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    table = spark.createDataFrame(slots(plan(histogram, capacity)), "length long, lo long, hi long, sequence long, each long, at long")
+    found = slots(plan(histogram, capacity))
+    table = spark.createDataFrame(found, "length long, lo long, hi long, sequence long, each long, at long")
+    table = F.broadcast(table) if len(found) <= FEW else table
     salts = max(8, sum(histogram.values()) // CELL_ROWS)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # by the place in a task, so that rows that repeat are dealt out too
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("turn"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32", "turn")
     ranked = salted.withColumn("number", F.row_number().over(inside) - 1).join(cells, ["length", "salt"]).withColumn("rank", F.col("number") + F.col("before"))
-    found = ranked.join(F.broadcast(table), (ranked.length == table.length) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    found = ranked.join(table, (ranked.length == table.length) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
     return found.select("id", "piece", "start", ranked.length, "ids_crc32", (F.col("sequence") + F.expr("(rank - lo) div each")).alias("sequence_id"), (F.col("at") + F.pmod(nth, F.col("each")) * ranked.length).alias("offset"))
 

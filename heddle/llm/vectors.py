@@ -2,20 +2,26 @@
 
 Each vector is scaled to length one, so cosine c is the distance sqrt(2 - 2c). A hash function
 projects on a Gaussian direction, shifts, and quantises to cells of ``WIDTH``; a table's bucket is
-the tuple of ``k`` cells. Vectors that share a bucket of any table get an exact cosine in double
-precision. ``k`` and the number of tables follow from the number of vectors as the theory has it:
-k so that two unrelated vectors share a bucket about once per vector and table, and as many tables
+the tuple of ``k`` cells. ``k`` and the number of tables follow from the number of vectors as the theory
+has it: k so that a vector meets about ``STRANGERS`` unrelated ones in a bucket, and as many tables
 as find a pair *at* the threshold with probability ``recall``; nearer pairs are found more surely.
 All vectors are hashed, and no bucket is capped.
 
-Equal vectors are one node with a count. A bucket of more than ``BLOCK`` nodes is dealt out as
-pairs of blocks, by hash of the node, so that every two nodes meet in one block pair, and no task
+Strangers are sorted out before any vector is shuffled: a bucket's rows carry ``SIGNS`` signs of further
+projections, of which two vectors differ in a share of angle / pi, and a semi-join keeps the rows that
+have another in their bucket with few enough differing signs (``most_signs``: a pair at the threshold
+has more in fewer than one of 10**9 cases). What is kept gets an exact cosine in double precision.
+
+Equal vectors are one node with a count, named by hashes. A bucket of more than ``BLOCK`` nodes is dealt
+out as pairs of blocks, by hash of the node, so that every two nodes meet in one block pair, and no task
 holds more than two blocks. Pairs are not written: a block gives the number of links to add to
 each node, counting a pair in the first table only where both share a bucket, and a star for each
 connected group of its nodes.
 
 Null, empty and zero vectors and those with a null or non-finite component link with nothing, nor
-do vectors of different dimension with each other. Ids may repeat: rows are counted, not ids.
+do vectors of different dimension with each other. Very large and very small components are
+scaled by a power of two first. Ids may be null or repeat: rows are counted, not ids. No rows give no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ WIDTH, BLOCK, SEED = 2.5, 512, 20240229
 #: Groups up to this size are compared for many groups at once.
 SMALL = 24
 ROWS_PER_BATCH = 8192
+#: Unrelated vectors that one meets in a bucket, about; signs that tell them apart.
+STRANGERS, SIGNS = 128, 128
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -46,10 +54,20 @@ def collision(distance: float, width: float = WIDTH) -> float:
 def parameters(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """(k, tables) for n vectors."""
     near, far = collision(math.sqrt(2 - 2 * threshold)), collision(math.sqrt(2))
-    k = max(3, int(math.log(max(n, 2)) / -math.log(far)))
+    k = max(3, int(math.log(max(n / STRANGERS, 2)) / -math.log(far)))
     return k, math.ceil(math.log(1 - recall) / math.log(1 - near**k))
 
 
+def most_signs(threshold: float) -> int:
+    """Signs that a pair at the threshold differs in but for one case in 10**9."""
+    p = math.acos(threshold) / math.pi
+    there, most = 0.0, -1
+    while there < 1 - 1e-9:
+        most += 1
+        there += math.comb(SIGNS, most) * p**most * (1 - p) ** (SIGNS - most)
+    return most
+
+
 class Hasher:
     """Bucket keys of vectors of one dimension, the same in every process."""
 
@@ -59,14 +77,20 @@ class Hasher:
         self.directions = rng.standard_normal((dim, k * tables))
         self.shifts = rng.uniform(0, WIDTH, k * tables)
         self.mix = rng.integers(1, 2**62, k, np.int64) | 1
+        self.signs = rng.standard_normal((dim, SIGNS))
+        self.of = np.int64(0x2545F4914F6CDD1D) * np.arange(1, tables + 1, dtype=np.int64) ^ np.int64(dim << 40)
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
-        """(rows, tables) bucket keys."""
+        """(rows, tables) bucket keys, which differ between tables and dimensions."""
         cells = np.floor((unit @ self.directions + self.shifts) / WIDTH).astype(np.int64).reshape(-1, self.tables, self.k)
-        mixed = (cells * self.mix).sum(axis=2, dtype=np.int64)
+        mixed = (cells * self.mix).sum(axis=2, dtype=np.int64) + self.of
         mixed ^= mixed >> 29
         return mixed * np.int64(0x9E3779B97F4A7C1 | 1)
 
+    def sketch(self, unit: np.ndarray) -> np.ndarray:
+        """(rows, SIGNS / 64) signs as longs."""
+        return np.packbits(unit @ self.signs > 0, axis=1).view(np.int64)
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -74,11 +98,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _units(x: np.ndarray) -> np.ndarray:
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    x = np.ldexp(x, -exponent)  # exact, and the squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _bucket_rows(nodes: DataFrame, k: int, tables: int) -> DataFrame:
-    """(dim, t, key, node): a row for each node and table."""
+    """(bucket, t, node, s1, s2): a row for each node and table, with the node's signs."""
+    names = ["bucket", "t", "node", "s1", "s2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
@@ -89,15 +116,16 @@ def _bucket_rows(nodes: DataFrame, k: int, tables: int) -> DataFrame:
                 hasher = hashers.setdefault(int(dim), Hasher(int(dim), k, tables))
                 for at in range(0, part.num_rows, 512):
                     piece = part.slice(at, 512)
-                    keys = hasher.keys(_units(_matrix(piece.column("vector"))))
-                    node = np.repeat(piece.column("node").to_numpy(), tables)
-                    yield pa.record_batch([pa.array(np.full(len(node), dim, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(keys))), pa.array(keys.reshape(-1)), pa.array(node)], ["dim", "t", "key", "node"])
+                    unit = _units(_matrix(piece.column("vector")))
+                    table = np.tile(np.arange(tables, dtype=np.int32), len(unit))
+                    repeated = [np.repeat(x, tables) for x in (piece.column("node").to_numpy(), *hasher.sketch(unit).T)]
+                    yield pa.record_batch([pa.array(x) for x in (hasher.keys(unit).reshape(-1), table, *repeated)], names)
 
-    return nodes.select("node", "vector").mapInArrow(run, "dim int, t int, key long, node long")
+    return nodes.select("node", "vector").mapInArrow(run, "bucket long, t int, node long, s1 long, s2 long")
 
 
 def _compare(rows: DataFrame, k: int, tables: int, threshold: float) -> DataFrame:
-    """From rows (dim, t, key, i, j, block, node, n, vector), sorted so that a block pair's rows
+    """From rows (bucket, t, i, j, side, node, n, vector), sorted so that a block pair's rows
     follow each other: (node, add, to), links to add to a node, or an edge to another."""
 
     def pairs_of(group: np.ndarray, unit: np.ndarray, meets) -> tuple[np.ndarray, np.ndarray]:
@@ -123,13 +151,13 @@ def _compare(rows: DataFrame, k: int, tables: int, threshold: float) -> DataFram
 
     def work(block: pa.Table, hashers: dict[int, Hasher]) -> list[tuple]:
         out = []
-        dims = block.column("dim").to_numpy()
+        dims = np.concatenate([c.value_lengths().to_numpy() for c in block.column("vector").chunks])
         for dim in np.unique(dims):
             part = block.filter(pa.array(dims == dim)).combine_chunks()
-            t, key, i, j, side = (part.column(c).to_numpy() for c in ("t", "key", "i", "j", "side"))
+            bucket, t, i, j, side = (part.column(c).to_numpy() for c in ("bucket", "t", "i", "j", "side"))
             node, n = part.column("node").to_numpy(), part.column("n").to_numpy()
             unit = _units(_matrix(part.column("vector").chunk(0)))
-            new = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
             # two blocks are compared with each other only; one with itself
             a, b = pairs_of(np.cumsum(new), unit, lambda a, b: (i[a] == j[a]) | (side[a] != side[b]))
             if not len(a):
@@ -175,10 +203,10 @@ def _compare(rows: DataFrame, k: int, tables: int, threshold: float) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = [batch.column(c).to_numpy() for c in ("dim", "t", "key", "i", "j")]
+            ids = [batch.column(c).to_numpy() for c in ("bucket", "i", "j")]
             change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0))
             first = [c[0] for c in ids]
-            if kept and first != [kept[-1].column(c)[-1].as_py() for c in ("dim", "t", "key", "i", "j")]:
+            if kept and first != [kept[-1].column(c)[-1].as_py() for c in ("bucket", "i", "j")]:
                 yield from done(pa.Table.from_batches(kept))
                 kept = []
             if len(change):
@@ -197,10 +225,11 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.92, id
     """(id, n_links, component_id, kept) for each row."""
     spark = df.sparkSession
     v = F.col("vector")
-    norm = F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    good = F.coalesce((norm > 0) & (norm < float("inf")) & ~F.isnan(norm), F.lit(False))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).withColumn("good", good)
-    nodes = rows.where("good").groupBy("vector").agg(F.count("*").alias("n"), F.min("id").alias("root"))
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    finite = (largest > 0) & (largest < float("inf")) & ~F.isnan(largest) & ~F.exists(v, lambda x: x.isNull())
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).withColumn("good", F.coalesce(finite, F.lit(False)))
+    rows = rows.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit("second"), "vector")})
+    nodes = rows.where("good").groupBy("h1", "h2", "vector").agg(F.count("*").alias("n"), F.min("id").alias("root"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
     k, tables = parameters(nodes.count(), threshold, recall)
 
@@ -208,15 +237,17 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.92, id
     spark.conf.set(conf, str(ROWS_PER_BATCH))
     try:
         keyed = materialise(_bucket_rows(nodes, k, tables))
-        bucket = ["dim", "t", "key"]
-        shared = keyed.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1")
-        met = keyed.join(shared, bucket).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-        met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        others = keyed.select("bucket", F.col("node").alias("other"), F.col("s1").alias("o1"), F.col("s2").alias("o2"))
+        differing = F.bit_count(F.col("s1").bitwiseXOR(F.col("o1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("o2")))
+        near = (keyed["bucket"] == others["bucket"]) & (F.col("node") != F.col("other")) & (differing <= most_signs(threshold))
+        met = materialise(keyed.join(others, near, "left_semi").select("bucket", "t", "node"))
+        sizes = met.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        met = met.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-        met = met.select(*bucket, *pair, (F.col("block") > F.col("other")).alias("side"), "node")
+        met = met.select("bucket", "t", *pair, (F.col("block") > F.col("other")).alias("side"), "node")
         full = met.join(nodes.select("node", "n", "vector"), "node")
-        group = [*bucket, "i", "j"]
+        group = ["bucket", "i", "j"]
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         full = full.repartition(partitions, *group).sortWithinPartitions(*group, "node")
         found = materialise(_compare(full, k, tables, threshold))
@@ -225,11 +256,13 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.92, id
 
     labels = connected_components(found.where("to >= 0").select(F.col("node").alias("a"), F.col("to").alias("b")))
     added = found.where("to < 0").groupBy("node").agg(F.sum("add").alias("more"))
-    named = nodes.join(added, "node", "left").join(labels, "node", "left")
-    named = materialise(named.select("vector", "root", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("label", "node").alias("label")))
+    named = nodes.select("node", "h1", "h2", "n", "root").join(added, "node", "left").join(labels, "node", "left")
+    links = (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")
+    named = materialise(named.select("h1", "h2", "root", links, F.coalesce("label", "node").alias("label")))
     least = named.groupBy("label").agg(F.min("root").alias("component_id"))
-    named = materialise(named.join(least, "label").select("vector", "n_links", "component_id"))
-    linked = rows.where("good").join(named, "vector").select("id", "n_links", "component_id")
+    named = materialise(named.join(least, "label").select("h1", "h2", "n_links", "component_id"))
+    linked = rows.where("good").select("id", "h1", "h2").join(named, ["h1", "h2"]).select("id", "n_links", "component_id")
     alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     both = linked.unionAll(alone)
-    return both.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return both.select(F.col("id").alias(id_col), "n_links", "component_id", kept)

@@ -70,3 +70,22 @@ def test_parameters_follow_the_number_of_vectors():
     sizes = [vectors.parameters(n, 0.9, 0.92) for n in (10, 1000, 100_000, 10**9)]
     assert sizes == sorted(sizes)
     assert vectors.collision(0.1) > vectors.collision(1.0) > vectors.collision(2.0)
+
+
+def test_components_of_any_magnitude(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [5e-324, 1e-323]), (4, [1.0, 2.0]), (5, [1e308, -1e308])]
+    got = as_rows(vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
+def test_signs_of_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((4000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((4000, 32))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    hasher = vectors.Hasher(32, 3, 2)
+    differ = lambda x, y: np.bitwise_count((hasher.sketch(x) ^ hasher.sketch(y)).view(np.uint64)).sum(axis=1)
+    most = vectors.most_signs(0.9)
+    assert differ(a, b).max() <= most and (differ(a, np.roll(a, 1, axis=0)) <= most).mean() < 0.02
