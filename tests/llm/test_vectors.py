@@ -88,4 +88,4 @@ def test_signs_of_pairs_at_the_threshold():
     hasher = vectors.Hasher(32, 3, 2)
     differ = lambda x, y: np.bitwise_count((hasher.sketch(x) ^ hasher.sketch(y)).view(np.uint64)).sum(axis=1)
     most = vectors.most_signs(0.9)
-    assert differ(a, b).max() <= most and (differ(a, np.roll(a, 1, axis=0)) <= most).mean() < 0.02
+    assert differ(a, b).max() <= most and (differ(a, np.roll(a, 1, axis=0)) <= most).mean() < 0.05
