@@ -26,7 +26,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ WIDTH, BLOCK, SEED = 2.5, 512, 20240229
 SMALL = 24
 ROWS_PER_BATCH = 8192
 #: Unrelated vectors that one meets in a bucket, about; signs that tell them apart.
-STRANGERS, SIGNS = 128, 128
+STRANGERS, SIGNS = 128, 256
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -104,8 +106,8 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def _bucket_rows(nodes: DataFrame, k: int, tables: int) -> DataFrame:
-    """(bucket, t, node, s1, s2): a row for each node and table, with the node's signs."""
-    names = ["bucket", "t", "node", "s1", "s2"]
+    """(bucket, node, s0, ...): a row for each node and table, with the node's signs."""
+    signs = [f"s{k}" for k in range(SIGNS // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
@@ -117,15 +119,14 @@ def _bucket_rows(nodes: DataFrame, k: int, tables: int) -> DataFrame:
                 for at in range(0, part.num_rows, 512):
                     piece = part.slice(at, 512)
                     unit = _units(_matrix(piece.column("vector")))
-                    table = np.tile(np.arange(tables, dtype=np.int32), len(unit))
                     repeated = [np.repeat(x, tables) for x in (piece.column("node").to_numpy(), *hasher.sketch(unit).T)]
-                    yield pa.record_batch([pa.array(x) for x in (hasher.keys(unit).reshape(-1), table, *repeated)], names)
+                    yield pa.record_batch([pa.array(x) for x in (hasher.keys(unit).reshape(-1), *repeated)], ["bucket", "node", *signs])
 
-    return nodes.select("node", "vector").mapInArrow(run, "bucket long, t int, node long, s1 long, s2 long")
+    return nodes.select("node", "vector").mapInArrow(run, ", ".join(f"{c} long" for c in ("bucket", "node", *signs)))
 
 
 def _compare(rows: DataFrame, k: int, tables: int, threshold: float) -> DataFrame:
-    """From rows (bucket, t, i, j, side, node, n, vector), sorted so that a block pair's rows
+    """From rows (bucket, i, j, side, node, n, vector), sorted so that a block pair's rows
     follow each other: (node, add, to), links to add to a node, or an edge to another."""
 
     def pairs_of(group: np.ndarray, unit: np.ndarray, meets) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +155,7 @@ def _compare(rows: DataFrame, k: int, tables: int, threshold: float) -> DataFram
         dims = np.concatenate([c.value_lengths().to_numpy() for c in block.column("vector").chunks])
         for dim in np.unique(dims):
             part = block.filter(pa.array(dims == dim)).combine_chunks()
-            bucket, t, i, j, side = (part.column(c).to_numpy() for c in ("bucket", "t", "i", "j", "side"))
+            bucket, i, j, side = (part.column(c).to_numpy() for c in ("bucket", "i", "j", "side"))
             node, n = part.column("node").to_numpy(), part.column("n").to_numpy()
             unit = _units(_matrix(part.column("vector").chunk(0)))
             new = np.r_[True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
@@ -169,7 +170,8 @@ def _compare(rows: DataFrame, k: int, tables: int, threshold: float) -> DataFram
             for at in range(0, len(a), 65536):
                 s = slice(at, at + 65536)
                 met = keys[a_[s]] == keys[b_[s]]
-                first[s] = met.argmax(axis=1) >= t[a[s]]
+                here = keys[a_[s]] == bucket[a[s]][:, None]
+                first[s] = met.argmax(axis=1) >= here.argmax(axis=1)
             a, b = a[first], b[first]
             if not len(a):
                 continue
@@ -237,15 +239,16 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.92, id
     spark.conf.set(conf, str(ROWS_PER_BATCH))
     try:
         keyed = materialise(_bucket_rows(nodes, k, tables))
-        others = keyed.select("bucket", F.col("node").alias("other"), F.col("s1").alias("o1"), F.col("s2").alias("o2"))
-        differing = F.bit_count(F.col("s1").bitwiseXOR(F.col("o1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("o2")))
-        near = (keyed["bucket"] == others["bucket"]) & (F.col("node") != F.col("other")) & (differing <= most_signs(threshold))
-        met = materialise(keyed.join(others, near, "left_semi").select("bucket", "t", "node"))
+        one, other = keyed.alias("one"), keyed.alias("other")
+        pairs = [F.bit_count(F.col(f"one.s{x}").bitwiseXOR(F.col(f"other.s{x}"))) for x in range(SIGNS // 64)]
+        near = (F.col("one.node") != F.col("other.node")) & (functools.reduce(operator.add, pairs) <= most_signs(threshold))
+        met = one.join(other, (F.col("one.bucket") == F.col("other.bucket")) & near, "left_semi")
+        met = materialise(met.select("bucket", "node"))
         sizes = met.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         met = met.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-        met = met.select("bucket", "t", *pair, (F.col("block") > F.col("other")).alias("side"), "node")
+        met = met.select("bucket", *pair, (F.col("block") > F.col("other")).alias("side"), "node")
         full = met.join(nodes.select("node", "n", "vector"), "node")
         group = ["bucket", "i", "j"]
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
