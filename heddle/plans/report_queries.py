@@ -30,7 +30,7 @@ def _quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {PACKAGES}, {CHECKS} select conv_id, check_name, case when good then 'pass' else 'fail' end as result, details from ck")
-def quality_judge(spark: SparkSession, d: str) -> DataFrame:
+def turn_checks(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d).withColumnRenamed("check", "check_name")
 
 
