@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,25 +29,38 @@ def title_key(title: Column, least: int = 12) -> Column:
     return F.when(F.length(t) >= least, t)
 
 
-def first_wins(rows: DataFrame, pool: str, seq: str, key: str, title: str) -> DataFrame:
-    """Candidates of each pool that repeat neither a key nor a title. In the order of seq: a known
-    key drops a row; so does a known title, without registering the row's key. This depends on
-    the rows before, so a pool, which is a bounded list of candidates, is one pandas group."""
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        keys: set[str] = set()
-        titles: set[str] = set()
-        kept = []
-        for at, (k, t) in enumerate(zip(*(group.sort_values(seq)[c] for c in (key, title)), strict=True)):
-            if k in keys or (t is not None and t in titles):
-                continue
-            keys.add(k)
-            if t is not None:
-                titles.add(t)
-            kept.append(at)
-        return group.sort_values(seq).iloc[kept]
-
-    return rows.groupBy(pool).applyInPandas(walk, rows.schema)
+def first_wins(rows: DataFrame, pool: str, seq: str, key: str, title: str, ahead: str | None = None, cap: int | None = None) -> DataFrame:
+    """Candidates of each pool that repeat neither a key nor a title of one that is kept before. In the order of
+    seq, those with ``ahead`` first: a known key drops a row; so does a known title (null is none), and then the
+    row's key stays free. With ``cap``, rows that aren't ahead are kept only while fewer are.
+
+    This depends on the rows before, so a pool streams through one task in its order. It is short
+    by then: of equal key and title only the first can be kept, so an aggregation leaves no others.
+    What a task remembers is the keys and titles of the rows that it keeps."""
+    first = F.col(ahead) if ahead else F.lit(False)
+    narrow = rows.groupBy(pool, key, title, first.alias("__ahead")).agg(F.min(seq).alias(seq))
+    names = [pool, seq, "__ahead", key, title]
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = narrow.select(*names).repartition(partitions, pool).sortWithinPartitions(pool, F.col("__ahead").desc(), seq)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, keys, titles = (), set(), set()
+        for batch in batches:
+            kept = []
+            for p, before, k, t in zip(*(batch.column(c).to_pylist() for c in (pool, "__ahead", key, title)), strict=True):
+                if (p,) != of:
+                    of, keys, titles = (p,), set(), set()
+                full = cap is not None and not before and len(keys) >= cap
+                kept.append(not (full or k in keys or (t is not None and t in titles)))
+                if kept[-1]:
+                    keys.add(k)
+                    titles.update(() if t is None else (t,))
+            yield batch.select([pool, seq]).filter(pa.array(kept, pa.bool_()))
+
+    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in (pool, seq))
+    chosen = dealt.mapInArrow(walk, kinds).toDF("__pool", "__seq")
+    same = rows[pool].eqNullSafe(F.col("__pool")) & (rows[seq] == F.col("__seq"))
+    return rows.join(chosen, same, "left_semi")
 
 
 def opinions_first(rows: DataFrame, group: str, is_opinion: Column, seq: str) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from heddle.sources.tables import load
 
-SITES = ["www.eluniversal.example", "espn.example", "m.news24.example", "sportwetten.example", "resultater.nrk.example", "record.example"]
-SECTIONS = ["sport", "world", "deportes", "economia", "video", "futbol/noticias", "tag", "nacionales/futbol"]
+SITES = ["www.harbour-gazette.example", "kickoff.example", "m.daily-lantern.example", "sportwetten.example", "resultater.fjord.example", "ledger.example"]
+SECTIONS = ["sport", "world", "deportes", "economia", "video", "futbol/tardes", "tag", "nacionales/futbol"]
 SLUGS = [
-    "match-report-cronica", "first-take-on-the-defeat", "press-review-today", "world-ranking-update", "best-memes", "jordanian-dinar-demand", "they-beat-jordan-again", "argentina-stunned-jordan-side",
-    "live-stream-tonight", "recap-2-1-win", "daily-round-up", "short", "league-results-standings", "opinion-de-la-semana",
+    "match-report-from-the-harbour", "first-take-by-our-own-desk", "press-review-of-monday", "world-ranking-has-moved", "ten-memes-of-the-night", "jordanian-olive-harvest", "how-they-beat-jordan-by-the-sea",
+    "argentina-sank-jordan-late", "live-stream-of-the-regatta", "recap-2-1-under-rain", "friday-round-up", "brief", "league-results-standings", "opinion-on-the-new-roof",
 ]
-TITLES = ["Jordan v Argentina", "Markets today", "Crónica: Argentina 2-1 Jordan", "What they say", "Kommentar zum Spiel"]
+TITLES = ["Jordan and Argentina meet", "Harvest prices today", "Crónica del viernes: Jordan 2-1", "Four voices on it", "Kommentar am Montag"]
 #: The match that the hits are compared with.
 DAY, SCORE = "2022-06-12", "2-1"
 
@@ -29,8 +29,9 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     tail: Column = F.when(k % 6 == 0, F.concat(F.lit("/"), (k + 100000).cast("string"))).when(k % 6 == 1, F.concat(F.lit("-"), (k % 500).cast("string"))).when(k % 6 == 2, ".html").otherwise("")
     query = F.when(k % 10 == 3, "?page=2").when(k % 10 == 4, "?page=").otherwise("")
     url = F.concat(F.lit("https://"), pick(SITES, F.floor(k / 3)), F.lit("/"), pick(SECTIONS, F.floor(k / 2)), F.when(k % 3 == 0, F.concat(F.lit("/"), day)).otherwise(""), F.lit("/"), slug, tail, query)
+    title = F.concat(pick(TITLES, F.floor(k / 7)), F.when(k % 3 != 0, F.concat(F.lit(", part "), (k % 41).cast("string"), F.lit(" of it"))).otherwise(""))
     published = F.when(k % 5 == 0, F.date_format(F.add_months("o_orderdate", 300), "yyyy-MM-dd"))
-    return load(spark, d, "orders").select(k.alias("hit_id"), url.alias("url"), pick(TITLES, F.floor(k / 7)).alias("title"), published.alias("published"))
+    return load(spark, d, "orders").select(k.alias("hit_id"), url.alias("url"), title.alias("title"), published.alias("published"))
 
 
 def _list(values: list[str]) -> str:
@@ -46,7 +47,7 @@ HITS = f"""hits as (select o_orderkey as hit_id, 'https://' || {_list(SITES)}[1
  || case when o_orderkey % 4 = 1 then strftime(o_orderdate + interval 300 month, '-%Y%m%d') else '' end
  || case o_orderkey % 6 when 0 then '/' || (o_orderkey + 100000) when 1 then '-' || (o_orderkey % 500) when 2 then '.html' else '' end
  || case o_orderkey % 10 when 3 then '?page=2' when 4 then '?page=' else '' end as url,
- {_list(TITLES)}[1 + o_orderkey // 7 % {len(TITLES)}] as title,
+ {_list(TITLES)}[1 + o_orderkey // 7 % {len(TITLES)}] || case when o_orderkey % 3 <> 0 then ', part ' || (o_orderkey % 41) || ' of it' else '' end as title,
  case when o_orderkey % 5 = 0 then strftime(o_orderdate + interval 300 month, '%Y-%m-%d') end as published from orders)"""
 
 #: Host, path and its segments of a URL; folded blobs of the two in either order.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import fixed, urls
 from heddle.functions.text import fold_python, match_blob
-from heddle.operators import lookup, ranking
+from heddle.operators import lookup, pools, ranking
 from heddle.plans.catalog import query
 from heddle.plans.hits import DAY, HITS, PARTS, SCORE, SLUG, URL_DATE, hits, sql_any_word, sql_words
 from heddle.sources.tables import load, page_links as links_of, page_text as text_of
@@ -85,9 +85,10 @@ def url_dates(spark: SparkSession, d: str) -> DataFrame:
 def hit_flags(spark: SparkSession, d: str) -> DataFrame:
     url, title = F.col("url"), F.col("title")
     flags = {"opinion": urls.is_opinion, "roundup": urls.is_roundup, "ranking": urls.is_ranking, "social": urls.is_social, "non_reaction": urls.is_non_reaction, "report": urls.hints_report}
-    rows = hits(spark, d).withColumn("blob", match_blob(F.concat_ws(" ", url, title)))
     blob = F.col("blob")
-    return rows.select("hit_id", *(f(url, title, blob).alias(n) for n, f in flags.items()), urls.is_other_section(url).alias("other_section"), urls.is_tribute(url, title, ("Jordan", "JO"), blob).alias("tribute"))
+    rows = hits(spark, d).select("hit_id", "url", "title", F.explode(F.array(match_blob(F.concat_ws(" ", url, title)))).alias("blob"))
+    tribute = urls.is_tribute(url, title, ("Jordan", "JO"), blob).alias("tribute")
+    return rows.select("hit_id", *(f(url, title, blob).alias(n) for n, f in flags.items()), urls.is_other_section(url).alias("other_section"), tribute)
 
 
 @query(rf"""with {HITS}, s as (select hit_id, {SLUG} as slug from hits) select hit_id, regexp_matches(slug, '(^|[^0-9])[0-9]{{1,2}}\s*[-: ]\s*[0-9]{{1,2}}([^0-9]|$)') as has_score,
@@ -109,35 +110,45 @@ def match_context(spark: SparkSession, d: str) -> DataFrame:
 ALIASES = ("jordan", "argentina", "world")
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    url, title = F.col("url"), F.col("title")
-    blob = F.col("blob")
-    return hits(spark, d).withColumn("blob", match_blob(F.concat_ws(" ", url, title))).withColumns({
-        "host": urls.host(url), "article": urls.is_article(url), "key": urls.article_key(url), "old": urls.too_old(url, F.lit(DAY)) | urls.published_before(F.col("published"), F.lit(DAY)),
-        "prematch": urls.is_prematch(url, F.lit(DAY)), "non_reaction": urls.is_non_reaction(url, title, blob), "other_section": urls.is_other_section(url), "has_score": urls.hints_score(url, title), "roundup": urls.is_roundup(url, title, blob),
-        "relevance": ranking.relevance(blob, tuple(map(fold_python, ALIASES))),
-    })
-
-
-SCORED = rf"""{HITS}, {PARTS}, {KEYED}, scored as (select hit_id, host, {ARTICLE} as article, {KEY} as key,
- coalesce(try_cast({URL_DATE} as date) < date '{DAY}' - 2, false) or coalesce(published < '{DAY}', false) as old, coalesce(try_cast({URL_DATE} as date) < date '{DAY}' - 1, false) as prematch,
+SCORED = rf"""{HITS}, {PARTS}, {KEYED}, scored as (select hit_id, host, {ARTICLE} as article, {KEY} as key, contains(url, '/deportes/') as section, {CONTEXT} as in_context,
+ case when length(trim(regexp_replace(lower(title), '\s+', ' ', 'g'))) >= 12 then trim(regexp_replace(lower(title), '\s+', ' ', 'g')) end as title_key,
+ coalesce(try_cast({URL_DATE} as date) < date '{DAY}' - 2, false) as too_old, coalesce(published < '{DAY}', false) as published_before, coalesce(try_cast({URL_DATE} as date) < date '{DAY}' - 1, false) as prematch,
  {sql_any_word("blob", fixed.ROUNDUP + fixed.RANKING + fixed.SOCIAL)} as non_reaction, {sql_any_word("blob", fixed.ROUNDUP)} as roundup,
  not list_has_any(list_transform(segs, lambda s: lower(s)), {sql_words(fixed.SPORTS_SEGMENTS)}) and list_has_any(list_transform(segs, lambda s: lower(s)), {sql_words(fixed.OTHER_SEGMENTS)}) as other_section,
  regexp_matches({SLUG}, '(^|[^0-9])[0-9]{{1,2}}\s*[-: ]\s*[0-9]{{1,2}}([^0-9]|$)') as has_score,
  contains(blob, 'jordan')::int + contains(blob, 'argentina')::int + contains(blob, 'world')::int as relevance from spotted)"""
-
-
-@query(f"""with {SCORED}, ok as (select * from scored where article and not old), first as (select * from (select *, row_number() over (partition by key order by hit_id) as n from ok) where n = 1)
-select host, hit_id, key, rank from (select *, row_number() over (partition by host order by prematch, non_reaction, other_section, relevance desc, hit_id) as rank from first) where rank <= 8""")
+ALLOWED = ("harbour-gazette.example", "kickoff.example", "daily-lantern.example", "fjord.example")
+
+
+@query(f"""with recursive {SCORED}, good as (
+  select *, row_number() over (partition by host order by section desc, hit_id) as r from scored
+  where not too_old and (section or (article and not published_before and in_context and regexp_matches(host, '(^|[.])({"|".join(x.replace(".", "[.]") for x in ALLOWED)})$')))
+), walk as (
+  select distinct host, cast(0 as bigint) as n, cast(0 as bigint) as r, cast([] as varchar[]) as keys, cast([] as varchar[]) as titles from good
+  union all
+  select w.host, w.n + 1, min(g.r), list_append(any_value(w.keys), arg_min(g.key, g.r)), list_append(any_value(w.titles), arg_min(coalesce(g.title_key, ''), g.r))
+  from walk w join good g on g.host = w.host and g.r > w.r and (g.section or w.n < {pools.pool_cap()})
+   and not list_contains(w.keys, g.key) and (g.title_key is null or not list_contains(w.titles, g.title_key)) group by w.host, w.n
+), kept as (select g.* from walk w join good g on g.host = w.host and g.r = w.r)
+select host, hit_id, key, rank from (select *, row_number() over (partition by host order by prematch, non_reaction, other_section, relevance desc, section desc, hit_id) as rank from kept) where rank <= {fixed.ARTICLES}""")
 def pool_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """The media pool: filters, first of each article, then the eight best of each site."""
-    first = ranking.first_of(_scored(spark, d).where("article and not old"), ["key"], ["hit_id"])
-    return ranking.top_per(first, ["host"], ranking.pool_order("hit_id"), fixed.ARTICLES).select("host", "hit_id", "key", "rank")
+    """The media pool of each site; its own section's links come before what searches find."""
+    rows = hits(spark, d).withColumns({"host": urls.host(F.col("url")), "section": F.contains("url", F.lit("/deportes/"))})
+    match = {"own": ("Jordan", "JO"), "opponent": ("Argentina",), "signals": ("mundial", "world")}
+    return pools.collected(rows, "host", "hit_id", F.lit(DAY), F.array(*map(F.lit, ALLOWED)), **match, aliases=ALIASES)
 
 
-@query(f"""with {SCORED} select host, hit_id, rank from (select *, row_number() over (partition by host order by not has_score, prematch, roundup, relevance desc, hit_id) as rank from scored where article and not old) where rank <= 3""")
+@query(f"""with {SCORED} select host, hit_id, rank from (select *, row_number() over (partition by host order by not has_score, prematch, roundup, relevance desc, hit_id) as rank from scored
+ where article and not too_old and not published_before) where rank <= 3""")
 def facts_pool(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scored(spark, d).where("article and not old")
+    url, title, blob = F.col("url"), F.col("title"), F.col("blob")
+    old = urls.too_old(url, F.lit(DAY)) | urls.published_before(F.col("published"), F.lit(DAY))
+    rows = hits(spark, d).where(urls.is_article(url) & ~old)
+    rows = rows.select("hit_id", "url", "title", F.explode(F.array(match_blob(F.concat_ws(" ", url, title)))).alias("blob"))
+    rows = rows.select(
+        "hit_id", urls.host(url).alias("host"), urls.hints_score(url, title).alias("has_score"), urls.is_prematch(url, F.lit(DAY)).alias("prematch"),
+        urls.is_roundup(url, title, blob).alias("roundup"), ranking.relevance(blob, tuple(map(fold_python, ALIASES))).alias("relevance"),
+    )
     return ranking.top_per(rows, ["host"], ranking.facts_order("hit_id"), fixed.FACT_ARTICLES).select("host", "hit_id", "rank")
 
 
