@@ -108,20 +108,6 @@ def score_consistent(texts: DataFrame, entity: str, text: str, home: Column, awa
     return each.groupBy(entity).agg((~F.bool_or(F.size("__s") > 0) | F.bool_or(mentions_score(F.col("__s"), home, away))).alias("consistent"))
 
 
-def media_checks(quotes: DataFrame, entity: str) -> DataFrame:
-    """(entity, blocking) of a media package's quotes (country, outlet, url, text, mood)."""
-    per = quotes.groupBy(entity).agg(
-        F.count_distinct("country").alias("countries"), F.bool_and((F.coalesce("outlet", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")).alias("named"), F.max(F.length("text")).alias("longest"),
-    )
-    moods = quotes.groupBy(entity, "country").agg(F.bool_or("mood").alias("mood"), F.count("*").alias("n")).groupBy(entity).agg(F.bool_or(F.col("mood") & (F.col("n") < 2)).alias("bad_mood"))
-    rows = per.join(moods, entity)
-    names = F.array(
-        F.when(F.col("countries") < 2, "both_countries_present"), F.when(~F.col("named"), "every_quote_has_outlet_and_url"),
-        F.when(F.col("longest") > FAIR_USE, "quote_within_fair_use_length"), F.when(F.col("bad_mood"), "mood_requires_two_sources"),
-    )
-    return rows.select(entity, F.array_join(F.array_compact(names), ",").alias("blocking"))
-
-
 def preflight(matches: DataFrame, references: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """(key, failures): a match (home, away, score) with what would stop a run: no teams, the same
     team twice, no score, no evidence, references (key, kind, id) to evidence (key, id) that isn't there."""

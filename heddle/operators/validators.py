@@ -73,15 +73,6 @@ def goal_verdict(team: Column, home: Column, away: Column, player: Column, minut
     return first_failure(ladder)
 
 
-def copy_verdict(rows: DataFrame, evidence: DataFrame, entity: str, ids: str, text: str, banned: tuple[str, ...]) -> DataFrame:
-    """(entity, verdict): claim ids within the evidence, and no banned phrase."""
-    each = rows.select(entity, F.explode_outer(ids).alias("id")).join(evidence.select("id").distinct().withColumn("__known", F.lit(True)), "id", "left")
-    known = each.groupBy(entity).agg(F.bool_and(F.col("__known").isNotNull()).alias("__known"), F.count("id").alias("__n"))
-    joined = rows.select(entity, text).join(known, entity, "left")
-    ladder = [(F.col("__n") > 0, "no_claims"), (F.col("__known"), "unknown_claims"), (F.size(banned_hits(F.col(text), banned)) == 0, "banned")]
-    return joined.select(entity, first_failure(ladder).alias("verdict"))
-
-
 def draft_mismatch(home: Column, away: Column, day: Column, want_home: Column, want_away: Column, want_day: Column) -> Column:
     """Why a draft is on another match: "teams", "date", or null. Without expected teams or a date
     that part isn't compared; a date that can't be read is a mismatch."""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from heddle.functions import fixed
 from heddle.operators import assembly
 from heddle.plans.catalog import query
-from heddle.plans.evidence_queries import MENTIONS, text_countries
 from heddle.plans.hits import HITS, PARTS, SLUG, hits, sql_any_word
 from heddle.sources.tables import load
 
@@ -59,21 +58,6 @@ def media_panels(spark: SparkSession, d: str) -> DataFrame:
     return assembly.panel(rows, "conv_id", "turn", "evidence_id", F.col("text"), F.col("turn") % 5 != 4, ("idiot",))
 
 
-@query("""select o_custkey, not bool_or(o_orderkey % 4 <> 3) or bool_or(o_orderkey % 4 = 0) as consistent from orders group by o_custkey""")
-def score_consistency(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, "They lost 1:2.").when(k == 1, "A 3-0 win.").when(k == 2, "It was 0-0.").otherwise("At the break it was 1-0.")
-    return assembly.score_consistent(load(spark, d, "orders").select("o_custkey", text.alias("text")), "o_custkey", "text", F.lit("2"), F.lit("1"))
-
-
-@query("""with q as (select conv_id, role as country, case when turn = 4 then '' else 'o' end as outlet, length(text) as n, turn = 0 as mood from conversations), p as (select conv_id, count(distinct country) as countries, bool_and(outlet <> '') as named, max(n) as longest from q group by conv_id),
-m as (select conv_id, bool_or(mood and n < 2) as bad from (select conv_id, country, bool_or(mood) as mood, count(*) as n from q group by all) group by conv_id)
-select conv_id, concat_ws(',', case when countries < 2 then 'both_countries_present' end, case when not named then 'every_quote_has_outlet_and_url' end, case when longest > 420 then 'quote_within_fair_use_length' end, case when bad then 'mood_requires_two_sources' end) as blocking from p join m using (conv_id)""")
-def media_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "conversations").select("conv_id", F.col("role").alias("country"), F.when(F.col("turn") == 4, "").otherwise("o").alias("outlet"), F.lit("u").alias("url"), "text", (F.col("turn") == 0).alias("mood"))
-    return assembly.media_checks(rows, "conv_id")
-
-
 @query("""with m as (select o_orderkey as k, o_orderkey % 7 as h from orders), e as (select distinct l_orderkey as k, l_linenumber as id from lineitem), r as (select o_orderkey as k, 'goal' as kind, 1 + o_orderkey % 3 as id from orders union all select o_orderkey, 'event', 1 from orders),
 dg as (select k, string_agg(distinct kind || ':' || id, ',' order by kind || ':' || id) as dangling from r where (k, id) not in (select (k, id) from e) group by k)
 select m.k, concat_ws(';', case when h = 0 then 'no_teams' when h = 1 then 'same_team' end, case when h = 2 then 'no_score' end, case when m.k not in (select k from e) then 'no_evidence' end, case when dangling is not null then 'dangling ' || dangling end) as failures from m left join dg using (k)""")
@@ -86,12 +70,6 @@ def fixture_preflight(spark: SparkSession, d: str) -> DataFrame:
     return assembly.preflight(matches, references, evidence, "k")
 
 
-@query(f"""{MENTIONS} select o_orderkey, case when o_orderkey % 5 = 2 then 'insufficient_evidence' end as status, case o_orderkey % 5 when 0 then 'GERMANY' when 1 then 'INDIA' when 3 then 'OTHER STATES' when 4 then 'FRANCE' end as home,
- case o_orderkey % 5 when 0 then 'FRANCE' when 1 then 'UNITED STATES' when 3 then 'BRAZIL' when 4 then 'GERMANY' end as away, case when o_orderkey % 5 <> 2 then 'C' end as tier, case when o_orderkey % 5 <> 2 then 'low' end as confidence from t""")
-def operator_facts(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.operator_facts(load(spark, d, "orders"), text_countries(spark, d), "o_orderkey")
-
-
 @query("""select s_suppkey, regexp_extract(u, '^https?://(?:www[.])?([^/:?#]+)', 1) as domain, case when s_suppkey % 3 = 0 then '12.06.2026' when s_suppkey % 3 = 1 then 'soon' else '' end as day, case when s_suppkey % 2 = 0 then '2–1' else '' end as score,
  case when s_suppkey % 2 = 0 then 'eBay' else 'Word' end as word, s_suppkey % 4 in (0, 1) as rendered from (select *, case s_suppkey % 3 when 0 then 'https://www.a.example:1/x' when 1 then 'http://b.example?y' else 'ftp://c' end as u from supplier)""")
 def display_values(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from heddle.plans import assembly_queries, evidence_queries, health_queries, judge_queries, pipeline_queries, report_queries, text_queries, url_queries  # noqa: F401
+    from heddle.plans import assembly_queries, draft_queries, evidence_queries, health_queries, io_queries, judge_queries, pipeline_queries, report_queries, text_queries, url_queries  # noqa: F401
 
 
 _load()

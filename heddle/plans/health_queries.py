@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.operators import caches, health
-from heddle.plans.catalog import ORACLES, query
+from heddle.plans.catalog import query
 from heddle.sources.tables import load
 
 #: Event types of the table play fetch outcomes.
@@ -53,23 +53,12 @@ def freshness_reprobe(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("user_id", "last_day", "last_real_day", fresh.alias("fresh"), health.is_dead(F.col("outcome"), F.col("n"), fresh).alias("dead"), F.coalesce(F.col("n") >= 3, F.lit(False)).alias("advisory"))
 
 
-@query(f"""with {FRESH}, s as (select user_id // 10 as outlet, user_id % 10 as idx, coalesce(n >= 2, false) as dead, case when user_id % 4 <> 0 then last_day end as last_probe from last left join streak using (user_id) where user_id % 10 < 3 + (user_id // 10) % 5),
+@query(f"""with {FRESH}, s as (select cast(floor(sqrt(user_id)) as bigint) as outlet, user_id as idx, coalesce(n >= 2, false) as dead, case when user_id % 4 <> 0 then last_day end as last_probe from last left join streak using (user_id)),
 w as (select *, count(*) over (partition by outlet) as n, row_number() over (partition by outlet order by dead::int, idx) as live from s), l as (select *, not dead and live < 4 as lead from w),
 x as (select *, row_number() over (partition by outlet, lead order by last_probe is not null, last_probe, idx) as x from l)
 select outlet, idx, dead, row_number() over (partition by outlet order by case when n <= 4 then dead::int when lead then 0 when x = 1 then 1 else 2 end, idx) as place from x""")
 def section_order(spark: SparkSession, d: str) -> DataFrame:
-    ev = _events(spark, d)
-    last = health.last_days(ev, ["user_id"], ["ts", "event_id"], "outcome", "day")
-    run = health.streaks(ev, ["user_id"], ["ts", "event_id"], "outcome", "day")
-    u = F.col("user_id")
-    rows = last.join(run, "user_id", "left").where(u % 10 < 3 + F.floor(u / 10) % 5)
-    rows = rows.select(F.floor(u / 10).alias("outlet"), (u % 10).alias("idx"), F.coalesce(F.col("n") >= 2, F.lit(False)).alias("dead"), F.when(u % 4 != 0, F.col("last_day")).alias("last_probe"))
-    return health.probe_order(rows, "outlet").select("outlet", "idx", "dead", "place")
-
-
-@query(ORACLES["section_order"].replace(" where user_id % 10 < 3 + (user_id // 10) % 5", "").replace("user_id // 10 as outlet, user_id % 10 as idx", "cast(floor(sqrt(user_id)) as bigint) as outlet, user_id as idx"))
-def section_order_all(spark: SparkSession, d: str) -> DataFrame:
-    """section_order of every user, in groups whose size grows with the id."""
+    """Every user, in groups whose size grows with the id."""
     ev = _events(spark, d)
     last = health.last_days(ev, ["user_id"], ["ts", "event_id"], "outcome", "day")
     run = health.streaks(ev, ["user_id"], ["ts", "event_id"], "outcome", "day")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.text import fold
-from heddle.operators import lookup, pipelines, ranking, validators
+from heddle.operators import lookup, pipelines, ranking
 from heddle.plans.catalog import query
-from heddle.sources.registry import registry
 from heddle.sources.sinks import shared_folder
 from heddle.sources.tables import load
 from heddle.streaming import health as stream
@@ -37,93 +34,16 @@ def facts_chain(spark: SparkSession, d: str) -> DataFrame:
     return ranking.first_of(rows, ["k"], ["priority", "o_orderkey"])
 
 
-@query("""select k, o_orderkey from (select o_custkey % 300 as k, o_orderkey, row_number() over (partition by o_custkey % 300 order by o_orderkey) as r from orders where o_orderkey % 7 in (1, 4)) where r = 1""")
-def resurrect_rejected(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey") % 7
-    text = F.when(k == 1, "They won 2-1 at home").when(k == 4, "A 1:2 defeat.").when(k == 5, "2-1 at the break").when(k == 6, "dated 2022-12-01").otherwise("no score, 3-3")
-    rows = load(spark, d, "orders").select((F.col("o_custkey") % 300).alias("k"), "o_orderkey", text.alias("text"))
-    return pipelines.rescue(rows, "k", "o_orderkey", "text", F.lit("2"), F.lit("1")).select("k", "o_orderkey")
-
-
 @query("select doc_id from documents where doc_id not in (select doc_id from labels where toxic = 1)")
 def recurate_pool(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.recurate(load(spark, d, "documents").select("doc_id"), load(spark, d, "labels").where("toxic = 1"), "doc_id")
 
 
-@query("""with q as (select * from (values (0, 'small ring economy', '2022-06-01'), (1, 'blue bolt', '2022-06-02'), (2, 'zz yy', null), (3, 'hot gear economy', null)) t(query_id, text, date_hint)),
-qt as (select distinct query_id, unnest(string_split(text, ' ')) as token from q), pt as (select distinct p_partkey, unnest(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+')) as token from part),
-m as (select query_id, p_partkey, count(*) as n from qt join pt using (token) where length(token) > 1 group by all having count(*) >= 2), b as (select query_id, arg_min(p_partkey, (-n, p_partkey)) as match_id from m group by query_id)
-select q.query_id, case when match_id is null then 'insufficient_evidence' when date_hint is not null and date_hint <> '2022-06-0' || (1 + match_id % 2) then 'needs_human_review' else 'resolved' end as status, match_id from q left join b using (query_id)""")
-def match_resolution(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(0, "small ring economy", "2022-06-01"), (1, "blue bolt", "2022-06-02"), (2, "zz yy", None), (3, "hot gear economy", None)], "query_id int, text string, date_hint string")
-    docs = load(spark, d, "part").select(F.col("p_partkey").alias("match_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.concat(F.lit("2022-06-0"), (1 + F.col("p_partkey") % 2).cast("string")).alias("day"))
-    return pipelines.resolution(asked, docs, F.split("text", " "), F.split(F.lower("name"), "[^a-z0-9]+"))
-
-
-@query("""with d as (select o_orderkey, case o_orderkey % 4 when 0 then 'A' when 1 then 'B' else 'C' end as home, case o_orderkey % 4 when 0 then 'B' when 1 then 'A' else 'B' end as away, case o_orderkey % 5 when 0 then '2022-06-12' when 1 then '2022-06-13' when 2 then '2022-06-15' when 3 then '' else 'soon' end as day from orders)
-select o_orderkey, case when home = 'C' then 'teams' when day in ('2022-06-15', 'soon') then 'date' end as mismatch from d""")
-def draft_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    k, m = F.col("o_orderkey") % 4, F.col("o_orderkey") % 5
-    home, away = F.when(k == 0, "A").when(k == 1, "B").otherwise("C"), F.when(k == 1, "A").otherwise("B")
-    day = F.when(m == 0, "2022-06-12").when(m == 1, "2022-06-13").when(m == 2, "2022-06-15").when(m == 3, "").otherwise("soon")
-    return load(spark, d, "orders").select("o_orderkey", validators.draft_mismatch(home, away, day, F.lit("B"), F.lit("A"), F.lit("2022-06-12")).alias("mismatch"))
-
-
-@query("""select c_custkey, case when c_custkey % 6 = 0 then 'empty_team' when c_custkey % 6 = 1 then 'same_team' when c_custkey % 6 = 2 then 'bad_score' else 'ok' end as facts,
- case c_custkey % 6 when 3 then 'foreign_team' when 4 then 'unknown_player' when 5 then 'dropped' else 'ok' end as goal from customer""")
-def facts_draft(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey") % 6
-    home, away = F.when(k == 0, " ").otherwise("Łódź"), F.when(k == 1, "ŁÓDŹ ").otherwise("Lens")
-    goal = validators.goal_verdict(F.when(k == 3, "Lyon").otherwise("LENS"), F.lit("Łódź"), F.lit("Lens"), F.when(k == 4, "Nobody").otherwise("José"), F.when(k == 5, 140).otherwise(30), F.lit("A goal by Jose  Maria."))
-    return load(spark, d, "customer").select("c_custkey", validators.facts_verdict(home, away, F.when(k == 2, "2:1").otherwise("2-1")).alias("facts"), goal.alias("goal"))
-
-
-@query("""with v as (select conv_id, turn, conv_id % 8 as k from conversations) select conv_id, turn, case k when 0 then 'empty_hook' when 1 then 'long_hook' when 2 then 'score_in_hook' when 3 then 'cta_no_question' when 4 then 'banned' when 5 then 'unknown_digits' when 6 then 'based_on_unknown' else 'ok' end as verdict from v""")
-def frame_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("conv_id") % 8
-    hook = F.when(k == 0, "").when(k == 1, F.repeat(F.lit("a"), 71)).when(k == 2, "Won 2-1").when(k == 4, "Niesamowity mecz").when(k == 5, "All 77 of them").otherwise("A hook")
-    frame = {"hook": hook, "title_body": F.lit("Body"), "caption": F.lit("Caption"), "cta": F.when(k == 3, "No").otherwise("Why?")}
-    based = F.array(F.when(k == 6, "x").otherwise("a"))
-    return load(spark, d, "conversations").select("conv_id", "turn", validators.frame_verdict(frame, F.lit("2-1"), F.lit("pool 12"), based, F.array(F.lit("a"), F.lit("b")), ("niesamowit",)).alias("verdict"))
-
-
-@query("""with v as (select conv_id, turn, conv_id % 7 as k from conversations) select conv_id, turn, case k when 0 then 'missing' when 1 then 'too_few_sentences' when 2 then 'cut_off' when 3 then 'unknown_digits' when 4 then 'repeats_score' when 5 then 'banned' else 'ok' end as verdict from v""")
-def summary_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("conv_id") % 7
-    five = "One. Two! Three? Four. Five"
-    text = F.when(k == 0, "null").when(k == 1, "One. Two.").when(k == 2, five + ". Six and").when(k == 3, five + " 99.").when(k == 4, five + " by 2:1.").when(k == 5, five + " magiczny.").otherwise(five + " in the 1/8.")
-    return load(spark, d, "conversations").select("conv_id", "turn", validators.summary_verdict(text, F.lit("article"), F.lit("pool 2 1"), F.lit("2-1"), ("magiczn",)).alias("verdict"))
-
-
-@query("""select o_custkey, case when bool_or(o_orderkey % 50 = 0) then 'unknown_claims' when o_custkey % 9 = 0 then 'banned' else 'ok' end as verdict from orders group by o_custkey""")
-def copy_draft(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("ids")).withColumn("text", F.when(F.col("o_custkey") % 9 == 0, "Magiczna noc").otherwise("A night"))
-    known = load(spark, d, "orders").where("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("id"))
-    return validators.copy_verdict(rows, known, "o_custkey", "ids", "text", ("magiczn",))
-
-
 @query("""select conv_id, string_agg(case when contains(lower(text), lower(role)) then 'RPA:' else role || ' (RPA):' end || chr(10) || text, chr(10) || chr(10) order by turn) as post from conversations group by conv_id""")
 def x_posts(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.x_post(load(spark, d, "conversations"), "conv_id", "turn", F.col("role"), F.lit("RPA"), F.col("text"))
 
 
-@query("""select n_nationkey, case n_nationkey % 4 when 0 then 'fallback' when 1 then n_name when 2 then 'local,full,' || n_name when 3 then 'l1,l2,full' end as variants from nation""")
-def name_variants(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey") % 4
-    none = F.array().cast("array<string>")
-    names = F.when(k == 0, none).when(k == 1, F.array("n_name")).when(k == 2, F.array(F.lit("x"), F.lit("full"), F.lit("local"), F.lit("local"))).otherwise(F.array(F.lit("x"), F.lit("full"), F.lit("l1"), F.lit("l2")))
-    english = F.when(k >= 2, F.col("n_name"))
-    return load(spark, d, "nation").select("n_nationkey", F.array_join(pipelines.name_variants(names, english, F.lit("fallback")), ",").alias("variants"))
-
-
-@query("""with t as (select o_orderkey, o_orderkey % 4 as k from orders) select o_orderkey, case k when 0 then 'Page 2-1 won' when 1 then 'raw 3:0' when 2 then 'Title. snippet 1-1' end as text from t""")
-def facts_texts(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey") % 4
-    page = F.when(k == 0, "Page 2-1 won").when(k == 1, "no score")
-    raw = F.when(k == 1, "raw 3:0").when(k == 2, "none")
-    return load(spark, d, "orders").select("o_orderkey", pipelines.facts_text(page, raw, F.when(k >= 2, "Title"), F.when(k == 2, "snippet 1-1").when(k == 3, "nothing")).alias("text"))
-
-
 @query("""with w as (select c_custkey, c_name, c_nationkey from customer), f as (select c_custkey, case when c_custkey % 3 = 0 then upper(n_name) when c_custkey % 3 = 1 then 'Nowhere' else lower(n_name) end as asked, n_name from w join nation on c_nationkey = n_nationkey)
 select c_custkey, case when c_custkey % 3 = 1 then asked else n_name end as canonical from f""")
 def canonical_names(spark: SparkSession, d: str) -> DataFrame:
@@ -141,15 +61,6 @@ def media_availability(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", pipelines.available(F.col("panels")).alias("status"))
 
 
-@query("""select * from (values ('Meksyk', 'ElUniversalMX', 'A', 'high', 'es'), ('Meksyk', 'ESPNDeportesMX', 'A', 'high', 'es'), ('Meksyk', 'RecordMX', 'B', 'medium', 'es'), ('RPA', 'News24ZA', 'A', 'high', 'en'), ('RPA', 'SuperSportZA', 'A', 'high', 'en'), ('RPA', 'IOLZA', 'B', 'high', 'en')) t(country, provider_id, tier, confidence, language)""")
-def dim_registry_load(spark: SparkSession, d: str) -> DataFrame:
-    """The packaged registry, parsed and checked."""
-    packaged = json.loads((Path(__file__).parent.parent / "sources" / "data" / "registry.json").read_text())
-    schema = "countries array<struct<country:string,language:string,outlets:array<struct<provider_id:string,name:string,tier:string,domains:array<string>,confidence:string,language:string>>>>"
-    _, outlets = registry(spark.createDataFrame([(json.dumps(packaged),)], "j string").select(F.from_json("j", schema).alias("r")).select("r.*"))
-    return outlets.select("country", "provider_id", "tier", "confidence", "language")
-
-
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = load(spark, d, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)

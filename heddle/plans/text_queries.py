@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import fixed, text
-from heddle.plans.catalog import ORACLES, query
+from heddle.plans.catalog import query
 from heddle.plans.hits import SCORE
 from heddle.sources.tables import load
 
@@ -32,15 +32,6 @@ def sanitize_transcripts(spark: SparkSession, d: str) -> DataFrame:
 SENTENCES = ["Final: {} at last", "Do przerwy {}, then more", "Nach dem Spiel {}", "elfmeterschießen {}", "It was {} after extra time", "Half-time {}"]
 
 
-@query(f"""with s as (select l_orderkey, l_linenumber, l_partkey, l_linenumber || '-' || cast(l_quantity as integer) % 20 as a, (l_partkey % 4) || '-' || (l_partkey % 3) as b from lineitem where l_orderkey % 4 = 0),
-k as (select *, l_partkey % 6 as x, (l_partkey // 6) % 6 as y from s),
-f as (select *, case when x in (0, 2) and try_cast(split_part(a, '-', 2) as integer) <= 15 then a end as p, case when y in (0, 2) then b end as q from k)
-select l_orderkey, l_linenumber, l_partkey, cast(case when p is null then 0 else 1 end + case when q is null or q = p then 0 else 1 end as bigint) as n_scores,
- coalesce(p in ('2-1', '1-2') or q in ('2-1', '1-2'), false) as has_final from (select *, row_number() over (partition by l_orderkey, l_linenumber, l_partkey order by a) as r from f) where r = 1""")
-def score_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(load(spark, d, "lineitem").where("l_orderkey % 4 = 0"))
-
-
 def _scored(rows: DataFrame) -> DataFrame:
     a = F.concat_ws("-", "l_linenumber", F.col("l_quantity").cast("int") % 20)
     b = F.concat_ws("-", F.col("l_partkey") % 4, F.col("l_partkey") % 3)
@@ -52,9 +43,12 @@ def _scored(rows: DataFrame) -> DataFrame:
     return one.select("l_orderkey", "l_linenumber", "l_partkey", F.size(found).cast("long").alias("n_scores"), text.mentions_score(found, F.lit(home), F.lit(away)).alias("has_final"))
 
 
-@query(ORACLES["score_mentions"].replace(" where l_orderkey % 4 = 0", ""))
-def score_mentions_all(spark: SparkSession, d: str) -> DataFrame:
-    """score_mentions over the whole table."""
+@query(f"""with s as (select l_orderkey, l_linenumber, l_partkey, l_linenumber || '-' || cast(l_quantity as integer) % 20 as a, (l_partkey % 4) || '-' || (l_partkey % 3) as b from lineitem),
+k as (select *, l_partkey % 6 as x, (l_partkey // 6) % 6 as y from s),
+f as (select *, case when x in (0, 2) and try_cast(split_part(a, '-', 2) as integer) <= 15 then a end as p, case when y in (0, 2) then b end as q from k)
+select l_orderkey, l_linenumber, l_partkey, cast(case when p is null then 0 else 1 end + case when q is null or q = p then 0 else 1 end as bigint) as n_scores,
+ coalesce(p in ('2-1', '1-2') or q in ('2-1', '1-2'), false) as has_final from (select *, row_number() over (partition by l_orderkey, l_linenumber, l_partkey order by a) as r from f) where r = 1""")
+def score_mentions(spark: SparkSession, d: str) -> DataFrame:
     return _scored(load(spark, d, "lineitem"))
 
 

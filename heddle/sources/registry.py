@@ -73,6 +73,23 @@ def providers_with(providers: DataFrame, capability: str) -> DataFrame:
     return providers.where(F.array_contains("capabilities", capability)).orderBy("tier", "provider_id")
 
 
+# Purposes and the capability that each asks for.
+PURPOSES = {"facts": "facts", "metrics": "metrics", "narratives": "narratives", "resolve": "resolve", "media_reaction": "media_reaction"}
+
+
+def trusted_for(asked: DataFrame, providers: DataFrame) -> DataFrame:
+    """Rows (provider_id, purpose) with ``trusted``: the provider is known and can do what the purpose asks for."""
+    capability = F.create_map(*(F.lit(x) for pair in PURPOSES.items() for x in pair))[F.col("purpose")]
+    can = providers.select("provider_id", F.explode("capabilities").alias("__can")).distinct()
+    joined = asked.withColumn("__asked", capability).join(can, (asked["provider_id"] == can["provider_id"]) & (F.col("__asked") == F.col("__can")), "left")
+    return joined.select(*(asked[c] for c in asked.columns), F.col("__can").isNotNull().alias("trusted"))
+
+
+def media_countries(providers: DataFrame) -> DataFrame:
+    """The countries of providers (country, capabilities) that can be asked for reactions."""
+    return providers.where(F.col("country").isNotNull() & F.array_contains("capabilities", PURPOSES["media_reaction"])).select("country").distinct()
+
+
 def read_schedule(spark: SparkSession, path: str) -> DataFrame:
     """(competition, day, home, away, venue, stage); rows without day, home or away are left out,
     and a file that is missing or can't be read gives no rows."""
