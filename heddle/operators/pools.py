@@ -50,8 +50,8 @@ def collected(
     that are left."""
     good = hits.where(fits(hits, day, domains, own, opponent, signals))
     keyed = good.select(pool, seq, "section", urls.article_key(F.col("url")).alias("key"), ranking.title_key(F.col("title")).alias("title"))
-    chosen = ranking.first_wins(keyed, pool, seq, "key", "title", "section", pool_cap(articles))
-    few = hits.join(chosen.select(pool, seq, "key"), [pool, seq])
+    chosen = ranking.first_keys(keyed, pool, seq, "key", "title", "section", pool_cap(articles))
+    few = hits.join(chosen, [pool, seq])
     ordered = with_order(few, day, aliases).withColumn("later", ~F.col("section"))
     order = [*ranking.pool_order("later"), F.col(seq)]
     return ranking.top_per(ordered, [pool], order, articles).select(pool, seq, "key", "rank")

@@ -29,10 +29,11 @@ def title_key(title: Column, least: int = 12) -> Column:
     return F.when(F.length(t) >= least, t)
 
 
-def first_wins(rows: DataFrame, pool: str, seq: str, key: str, title: str, ahead: str | None = None, cap: int | None = None) -> DataFrame:
-    """Candidates of each pool that repeat neither a key nor a title of one that is kept before. In the order of
-    seq, those with ``ahead`` first: a known key drops a row; so does a known title (null is none), and then the
-    row's key stays free. With ``cap``, rows that aren't ahead are kept only while fewer are.
+def first_keys(rows: DataFrame, pool: str, seq: str, key: str, title: str, ahead: str | None = None, cap: int | None = None) -> DataFrame:
+    """(pool, seq, key) of the candidates of each pool that repeat neither a key nor a title of one that is kept
+    before. In the order of seq, those with ``ahead`` first: a known key drops a row; so does a known title (null
+    is none), and then the row's key stays free. With ``cap``, rows that aren't ahead are kept only while
+    fewer are.
 
     This depends on the rows before, so a pool streams through one task in its order. It is short
     by then: of equal key and title only the first can be kept, so an aggregation leaves no others.
@@ -55,10 +56,15 @@ def first_wins(rows: DataFrame, pool: str, seq: str, key: str, title: str, ahead
                 if kept[-1]:
                     keys.add(k)
                     titles.update(() if t is None else (t,))
-            yield batch.select([pool, seq]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select([pool, seq, key]).filter(pa.array(kept, pa.bool_()))
 
-    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in (pool, seq))
-    chosen = dealt.mapInArrow(walk, kinds).toDF("__pool", "__seq")
+    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in (pool, seq, key))
+    return dealt.mapInArrow(walk, kinds)
+
+
+def first_wins(rows: DataFrame, pool: str, seq: str, key: str, title: str) -> DataFrame:
+    """The rows that ``first_keys`` names; seq is unique in a pool."""
+    chosen = first_keys(rows, pool, seq, key, title).select(F.col(pool).alias("__pool"), F.col(seq).alias("__seq"))
     same = rows[pool].eqNullSafe(F.col("__pool")) & (rows[seq] == F.col("__seq"))
     return rows.join(chosen, same, "left_semi")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from heddle.functions import fixed
 from heddle.operators import assembly, lookup, pipelines, validators
 from heddle.plans.catalog import query
-from heddle.plans.judge_queries import BANNED
+from heddle.plans.hits import BANNED
 from heddle.sources.registry import registry
 from heddle.sources.tables import load
 

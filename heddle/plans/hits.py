@@ -17,6 +17,8 @@ SLUGS = [
 TITLES = ["Jordan and Argentina meet", "Harvest prices today", "Crónica del viernes: Jordan 2-1", "Four voices on it", "Kommentar am Montag"]
 #: The match that the hits are compared with.
 DAY, SCORE = "2022-06-12", "2-1"
+#: Stems that no text of a draft may have.
+BANNED = ("idiot", "worthl", "scum", "the")
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of the judges: documents play packages, their lines slides, segments and quotes. All that a
+"""Queries of the judges: documents play packages, their lines slides, the first three also segments. All that a
 judge looks at is taken from the texts, in the query and in its SQL alike."""
 
 from __future__ import annotations
@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from heddle.functions import fixed
 from heddle.operators import judges, rules
 from heddle.plans.catalog import query
+from heddle.plans.hits import BANNED
 from heddle.sources.tables import load
 
-BANNED = ("idiot", "worthl", "scum", "the")
 HEADLINE, HOOK_LINE, CTA_LINE = 40, 60, 160
 
 _banned = "[" + ", ".join(
@@ -31,12 +31,12 @@ lines as (
 ), whole as (
   select doc_id, count(*) as n, arg_min(line, i) as first_line, arg_max(line, i) as last_line,
          arg_min(role, i) as first_role, arg_max(role, i) as last_role, arg_min(headline, i) as first_headline,
-         string_agg(line, ' ' order by i) as segment_text,
+         string_agg(line, ' ' order by i) filter (i < 3) as segment_text,
          string_agg(headline, ' ' order by i) || ' ' || string_agg(body, ' ' order by i) as slide_text
   from slides group by doc_id
 ), packages as (
-  select w.*, regexp_extract(first_line, '^([^.!?]*)', 1) as hook, regexp_extract(last_line, '([^.!?]*[.!?])$', 1) as cta,
-         regexp_extract(text, '([0-9]+)', 1) as main_number, regexp_extract(text, '([a-z]+://[^ ]+|[a-z0-9.]+@[a-z0-9.]+)', 1) as source_note,
+  select w.*, regexp_extract(first_line, '^([^.!?]*)', 1) as hook, case when right(last_line, 1) in ('.', '!', '?') then right(last_line, 40) else '' end as cta,
+         regexp_extract(text, '([0-9]+)', 1) as main_number, regexp_extract(text, '(@[a-z0-9.]+|://[^ ]+)', 1) as source_note,
          case when length(first_line) <= 120 then '0-3s' else '0-9s' end as first_range, lower(text) as low
   from whole w join documents using (doc_id)
 ), judged as (
@@ -61,9 +61,9 @@ def _packages(docs: DataFrame) -> DataFrame:
         "doc_id",
         part(first, "^([^.!?]*)").alias("thesis"),
         part(first, "^([^.!?]*)").alias("hook"),
-        part(last, "([^.!?]*[.!?])$").alias("cta"),
+        F.when(F.right(last, F.lit(1)).isin(".", "!", "?"), F.right(last, F.lit(40))).otherwise("").alias("cta"),
         first.alias("caption"),
-        part(F.col("text"), "([a-z]+://[^ ]+|[a-z0-9.]+@[a-z0-9.]+)").alias("source_note"),
+        part(F.col("text"), "(@[a-z0-9.]+|://[^ ]+)").alias("source_note"),
         part(F.col("text"), "([0-9]+)").alias("main_number_id"),
         F.col("text").alias("safe_assets"),
     )
@@ -72,7 +72,7 @@ def _packages(docs: DataFrame) -> DataFrame:
 def _shape(docs: DataFrame) -> DataFrame:
     slides = _slides(docs)
     time_range = F.when(F.length("line") <= 120, "0-3s").otherwise("0-9s").alias("time_range")
-    segments = slides.select("doc_id", "position", time_range, F.col("line").alias("text"))
+    segments = slides.where("position < 3").select("doc_id", "position", time_range, F.col("line").alias("text"))
     return judges.copy_shape(_packages(docs), segments, slides, "doc_id")
 
 
