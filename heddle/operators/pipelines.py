@@ -32,11 +32,6 @@ def recurate(pool: DataFrame, picks: DataFrame, key: str) -> DataFrame:
     return pool.join(picks.select(key).distinct(), key, "left_anti")
 
 
-def chain(candidates: DataFrame, key: str, priority: str) -> DataFrame:
-    """The first provider's row of each key."""
-    return ranking.first_of(candidates, [key], [priority])
-
-
 def corroborated_facts(drafts: DataFrame, key: str, provider: str, home: str, away: str, score: str, seq: str, least: int = 2) -> DataFrame:
     """(key, score, sources): scores turned to the order of the two names, that at least so many
     different providers give; the one with most, the first seen of equals."""
