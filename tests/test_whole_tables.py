@@ -5,9 +5,9 @@ import pytest
 from heddle.plans import catalog
 
 KEYS = {
-    "score_mentions_all": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]),
-    "attribution_all": ("lineitem", ["l_orderkey"]),
-    "section_order_all": ("events", ["user_id"]),
+    "score_mentions": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]),
+    "attribution": ("lineitem", ["l_orderkey"]),
+    "section_order": ("events", ["user_id"]),
 }
 
 
