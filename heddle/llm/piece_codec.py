@@ -17,7 +17,8 @@ The library's merge loop is not run over the text. Instead:
 Units repeat, so each worker remembers the last ones (bounded). Decoding is the library's own.
 
 Nulls and empty texts have no ids and decode to the empty text; ids may be null or repeat; one
-row comes out for each that goes in; other columns are not read.
+row comes out for each that goes in, and none for none; other columns are not read. A text of any
+length is encoded in one task, a unit at a time.
 """
 
 from __future__ import annotations

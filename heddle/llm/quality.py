@@ -12,7 +12,8 @@
 
 A null text is an empty one. A text without words scores 0. Where no documents have words, or the
 votes don't tell two kinds apart, all texts with words are kept. Ids may be null or repeat; each
-row is scored alone.
+row is scored alone, copies and ties alike. A text of any length is scored whole, in one task. No rows give no
+rows. ``score`` reads no other columns; ``keep_good`` passes them through.
 """
 
 from __future__ import annotations

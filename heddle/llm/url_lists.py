@@ -12,7 +12,8 @@ rows of a host that has a third of all captures are dealt out by day.
 
 Of a key's entries of one day, the last by action name counts. Entries with a null key, day or
 action are no entries. A capture whose URL is null or has no host, or whose day is null, matches
-nothing and passes. Repeated captures are judged alike; other columns are not read.
+nothing and passes. Repeated captures are judged alike, a URL of any length by its host; other columns are not
+read. Without entries every capture passes; no captures give no rows.
 """
 
 from __future__ import annotations
