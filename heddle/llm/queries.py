@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import table
 from heddle.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
+from heddle.llm.spelling import ORACLE as SPELLING_SQL
 from heddle.llm.url_lists import ORACLE as URL_LISTS_SQL
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -84,6 +85,25 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.runs import digests, looped
+
+    return digests(looped(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.spelling import variants, words_with_slips
+
+    return variants(words_with_slips(table(spark, sf_dir, "documents")))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.html_main import main_text
+
+    pages = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
@@ -95,9 +115,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_temporal_url_lists": op9_temporal_url_lists,
     "op10_piece_codec": op10_piece_codec,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_main_text": op13_main_text,
 }
 
 ORACLES: dict[str, str] = {
     "op9_temporal_url_lists": URL_LISTS_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
 }
