@@ -10,7 +10,8 @@ line exactly would shuffle every (line, site) pair of the corpus, so:
    errors on either side. Lines in between get exact distinct counts: only their (line, site)
    pairs are shuffled, distinct on the map side first.
 3. Positions of boilerplate lines are joined to each document by hashes alone, gathered a document
-   at a time, and cut from its text, which is shuffled once.
+   at a time, and turned into the stretches that stay; the text, which is shuffled once, is split and put together from
+   these, in time linear in its lines.
 
 A line must also stand in ``min_texts`` different texts, counted in the same way, so that copies of
 one text on many sites do not empty each other. Every line that meets both thresholds is cut, whatever
@@ -60,8 +61,9 @@ def line_rows(df: DataFrame, site_col: str, text_col: str) -> DataFrame:
     r1, r2 = _row_hashes(text_col)
     site = F.when(F.col(site_col).isNotNull(), F.xxhash64(F.col(site_col).cast("string")))
     # equal lines of a document are all kept: positions are needed, not only whether one is there
-    lines = F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
-    wide = df.select(site.alias("site"), r1.alias("r1"), r2.alias("r2"), lines)
+    # and the text is hashed before it is taken apart, not again for each line
+    whole = df.select(site.alias("site"), r1.alias("r1"), r2.alias("r2"), F.col(text_col).alias("text"))
+    wide = whole.select("site", "r1", "r2", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     wide = wide.withColumn("line", _normal(F.col("line"))).where(F.length("line") > 0)
     return wide.select(*_hashes(F.col("line")), "site", "r1", "r2", "pos")
 
@@ -89,6 +91,14 @@ def spread(lines: DataFrame, at_least: int, of: str) -> DataFrame:
     return sure.unionAll(exact.select(*h))
 
 
+def between(cut: str) -> Column:
+    """Of sorted positions, the stretches (start, n) of other lines before, between and after them; the last is as long as can be."""
+    at, end = F.col(cut), F.lit(1 << 30)
+    starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda k: k + 1))
+    stretch = F.zip_with(starts, F.concat(at, F.array(end)), lambda a, b: F.struct(a.alias("start"), (b - a).alias("n")))
+    return F.filter(stretch, lambda r: r["n"] > 0)
+
+
 def drop_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, site_col: str = "source", text_col: str = "text", removed_col: str = "n_removed") -> DataFrame:
     """``df`` with boilerplate lines cut from its texts, and the number of them as a column."""
     lines = line_rows(df, site_col, text_col)
@@ -96,17 +106,20 @@ def drop_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_texts: int =
     here = materialise(meet(lines.select("h1", "h2", "r1", "r2", "pos"), found, ["r1", "pos"]).distinct())
     if min_texts > 1:
         here = here.join(spread(here, min_texts, "r1"), ["h1", "h2"])
-    cuts = materialise(here.groupBy("r1", "r2").agg(F.collect_set("pos").alias("cut")))
-    names = {"r1": "__heddle_c1", "r2": "__heddle_c2", "cut": "__heddle_cut"}
+    per = here.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("cut"))
+    cuts = materialise(per.select("r1", "r2", F.size("cut").alias("n"), between("cut").alias("kept")))
+    names = {"r1": "__heddle_c1", "r2": "__heddle_c2", "n": "__heddle_n", "kept": "__heddle_kept"}
     r1, r2 = _row_hashes(text_col)
     keyed = df.withColumns({"__heddle_r1": r1, "__heddle_r2": r2})
     same = (F.col("__heddle_r1") == F.col("__heddle_c1")) & (F.col("__heddle_r2") == F.col("__heddle_c2"))
     joined = keyed.join(cuts.withColumnsRenamed(names), same, "left")
-    cut = F.col("__heddle_cut")
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains(cut, i)), "\n")
-    text = F.when(cut.isNotNull(), kept).otherwise(F.col(text_col))
+    n, kept = F.col("__heddle_n"), F.col("__heddle_kept")
+    # the text is split once: within the outer lambda its lines have a name, in the inner one an expression would be evaluated anew
+    parts = lambda lines: F.flatten(F.transform(kept, lambda r: F.slice(lines, r["start"] + 1, r["n"])))
+    rest = F.get(F.transform(F.array(_lines(F.col(text_col))), lambda lines: F.array_join(parts(lines), "\n")), F.lit(0))
+    text = F.when(n.isNotNull(), rest).otherwise(F.col(text_col))
     columns = [text.alias(c) if c == text_col else F.col(c) for c in df.columns if c != removed_col]
-    return joined.select(*columns, F.coalesce(F.when(cut.isNotNull(), F.size(cut)), F.lit(0)).cast("long").alias(removed_col))
+    return joined.select(*columns, F.coalesce(n, F.lit(0)).cast("long").alias(removed_col))
 
 
 ORACLE = f"""

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ from heddle.llm.common import filled, map_batches, texts
 
 MARK = "▁"
 #: Units, their parts and pairs of pieces that a worker remembers; beyond it the memory is emptied.
-MEMO_UNITS, MEMO_PARTS, MEMO_PAIRS = 300_000, 200_000, 400_000
+MEMO_UNITS, MEMO_PARTS, MEMO_PAIRS = 400_000, 400_000, 400_000
 #: Longer units are encoded anew each time.
 MEMO_CHARS = 40
 
@@ -100,6 +101,7 @@ class PieceCodec:
         self.missed = 0
         self.runs: dict[int, tuple[int, ...]] = {}
         self.cut_lines = "\n" not in self.single
+        self.decimal = [str(k) for k in range(len(model.pieces))]
 
     def spines(self, piece: str) -> tuple[list, list] | None:
         """The symbols that stand at the piece's right and left end while its characters merge,
@@ -151,7 +153,7 @@ class PieceCodec:
 
     def pieces(self, unit: str) -> list[str]:
         """The pieces of a unit, all of whose characters are in the vocabulary."""
-        size, score, fits = len(unit), self.score, self.fits
+        size, score, fits, compatible = len(unit), self.score, self.fits, self.compatible
         longest = [""] * size
         for end, (n, x) in self.auto.iter(unit):  # for one start, longer ones come later
             longest[end - n] = x
@@ -159,45 +161,44 @@ class PieceCodec:
         out: list[str] = []
         at, piece, before = 0, longest[0], ""
         while True:
-            while piece:
-                if piece in score and not failed >> (at + len(piece)) & 1:
-                    fit = fits.get((before, piece))
-                    if self.compatible(before, piece) if fit is None else fit:
-                        break
+            if not (failed and failed >> (at + len(piece)) & 1):
+                fit = fits.get((before, piece))
+                if compatible(before, piece) if fit is None else fit:
+                    out.append(piece)
+                    at += len(piece)
+                    if at == size:
+                        return out
+                    before, piece = piece, longest[at]
+                    continue
+            piece = piece[:-1]
+            while piece not in score:
+                if not piece:  # none is left here, so the piece before is shortened
+                    failed |= 1 << at
+                    piece = out.pop()
+                    at -= len(piece)
+                    before = out[-1] if out else ""
                 piece = piece[:-1]
-            if piece:
-                out.append(piece)
-                at += len(piece)
-                if at == size:
-                    return out
-                before, piece = piece, longest[at]
-            else:
-                failed |= 1 << at
-                piece = out.pop()
-                at -= len(piece)
-                before, piece = out[-1] if out else "", piece[:-1]
 
     def part_ids(self, part: str) -> tuple[int, ...]:
-        ids = self.parts.get(part)
-        if ids is None:
-            known = part[0] in self.single
-            ids = tuple([self.id[x] for x in self.pieces(part)] if known else [self.byte[b] for c in part for b in c.encode()])
-            if len(part) <= MEMO_CHARS:
-                if len(self.parts) >= MEMO_PARTS:
-                    self.parts.clear()
-                self.parts[part] = ids
+        known = part[0] in self.single
+        ids = tuple([self.id[x] for x in self.pieces(part)] if known else [self.byte[b] for c in part for b in c.encode()])
+        if len(part) <= MEMO_CHARS:
+            if len(self.parts) >= MEMO_PARTS:
+                self.parts.clear()
+            self.parts[part] = ids
         return ids
 
     def unit_ids(self, unit: str) -> tuple[int, ...]:
         """Ids of a unit, cut between neighbours that stand together in no piece. Characters
         outside the vocabulary are in no piece, so they are cut off too, and become bytes."""
-        inside, ids, start = self.inside, [], 0
-        for k in range(1, len(unit)):
-            if unit[k - 1 : k + 1] not in inside:
-                ids += self.part_ids(unit[start:k])
-                start = k
-        if unit:
-            ids += self.part_ids(unit[start:])
+        inside, known = self.inside, self.parts.get
+        cuts = [k for k, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in inside]
+        if not cuts:
+            return (known(unit) or self.part_ids(unit)) if unit else ()
+        ids: list[int] = []
+        for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True):
+            part = unit[a:b]
+            ids += known(part) or self.part_ids(part)
         return tuple(ids)
 
     def run_ids(self, n: int) -> tuple[int, ...]:
@@ -226,15 +227,21 @@ class PieceCodec:
         if not text:
             return []
         parts: list[tuple[int, ...]] = []
-        add, known, alone = parts.append, self.later.get, (self.id[MARK],)
+        take, known, alone = parts.append, self.later.get, (self.id[MARK],)
         text = text.replace(MARK, " ")
         for k, line in enumerate(text.split("\n") if self.cut_lines else [text]):
             words, waiting = line.split(" "), 0
             if k:
-                add((self.byte[10],))
+                take((self.byte[10],))
                 if words[0]:
-                    add(self.remembered(self.first, words[0], ""))
+                    take(self.remembered(self.first, words[0], ""))
                 words = words[1:]
+            if "" not in words:
+                found = list(map(known, words))
+                if None in found:
+                    found = [self.remembered(self.later, w, MARK) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+                parts += found
+                continue
             for w in words:
                 if not w:  # a mark, and another follows it
                     waiting += 1
@@ -242,16 +249,20 @@ class PieceCodec:
                 ids = known(w) or self.remembered(self.later, w, MARK)
                 if waiting:
                     if ids[:1] == alone:  # the last mark stays with the run
-                        add(self.run_ids(waiting + 1))
+                        take(self.run_ids(waiting + 1))
                         ids = ids[1:]
                     else:
-                        add(self.run_ids(waiting))
+                        take(self.run_ids(waiting))
                     waiting = 0
-                add(ids)
+                take(ids)
             if waiting:
-                add(self.run_ids(waiting))
+                take(self.run_ids(waiting))
         return list(chain.from_iterable(parts))
 
+    def decimals(self, ids: list[int]) -> bytes:
+        """Ids in decimal, joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids)).encode()
+
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
@@ -283,7 +294,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             for x in texts(batch):
                 ids = c.encode(x)
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(c.decimals(ids)).hexdigest())
                 of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             return pa.record_batch([batch.column("id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

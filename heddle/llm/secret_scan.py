@@ -14,7 +14,7 @@ ordinary tokens.
 
 A null text is an empty one; ids may be null or repeat, and each row is scanned alone. Without documents, or
 without labelled ones, the generated examples alone are learnt from; no rows give no rows. A text of
-any length is scanned in one piece, and so is a token of it. Columns besides the id and the
+any length is scanned in one piece, in time linear in its spans, and so is a token of it. Columns besides the id and the
 text are not read by ``find`` and ``scan``; ``redact`` passes them through.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -90,8 +91,15 @@ def _value(text: str, start: int, end: int, kind: str) -> str:
     return ASSIGN.match(text, start)[2] if kind == "assign" else text[start:end]
 
 
-def _apart(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
-    return all(end <= s or e <= start for s, e, _ in base)
+def _apart(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[re.Match, bool]]:
+    """Each candidate, and whether it overlaps no base span. Both are in order, so one walk over the spans does."""
+    k, n, covered = 0, len(base), 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while k < n and base[k][0] < end:  # covered: up to where the spans that begin before reach
+            covered = max(covered, base[k][1])
+            k += 1
+        yield m, covered <= start
 
 
 def scored(text: str, model: Model) -> tuple[list[tuple[int, int, str]], float]:
@@ -101,10 +109,10 @@ def scored(text: str, model: Model) -> tuple[list[tuple[int, int, str]], float]:
     more, best = [], float("-inf")
     for s, e, kind in base:
         best = max(best, model.score(_value(text, s, e, kind)))
-    for m in CANDIDATE.finditer(text):
+    for m, apart in _apart(text, base):
         score = model.score(m[0])
         best = max(best, score)
-        if score >= MARGIN and _apart(m.start(), m.end(), base):
+        if score >= MARGIN and apart:
             more.append((m.start(), m.end(), "format"))
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base, best
 
@@ -180,8 +188,8 @@ def fit_on(df: DataFrame, text_col: str = "text", documents: int = FIT_DOCUMENTS
                 for s, e, kind in base:
                     kinds.append(kind)
                     values.append(_value(x, s, e, kind))
-                for m in CANDIDATE.finditer(x):
-                    if _apart(m.start(), m.end(), base):
+                for m, apart in _apart(x, base):
+                    if apart:
                         kinds.append("ordinary")
                         values.append(m[0])
             return pa.record_batch([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
