@@ -1,17 +1,19 @@
 """Quality classifier from weak labels.
 
 1. Overlapping heuristics vote good, bad or nothing on each document of the corpus. The corpus is
-   then a table of vote patterns with counts, of 4 ** (number of heuristics) rows at most, which is
+   then a table of vote patterns with counts of different texts, of 4 ** (number of heuristics) rows at most, which is
    all that comes to the driver of it.
 2. Expectation-maximisation over these counts estimates, without any label, how often documents
    are good and how each heuristic votes on good and on bad ones, and so each pattern's posterior.
 3. The posteriors are the targets of a logistic scorer that is linear in hashed features: byte
    trigrams of the text and quantised repetition counts. It is fitted on ``fit_documents``
-   documents, drawn by hash and each text once, and scores every document; it sees what the heuristics do not count,
-   and decides where they don't vote.
+   documents at most, half of them from the different texts that the votes call bad and half from the others, drawn by hash, each
+   text once: rare junk is in it, and a text that most rows have counts once. Each half is weighted back to its share of
+   the different texts, but bad ones to ``LEAST_BAD`` at least. The scorer sees what the heuristics do not count, decides where they
+   don't vote, and scores every document.
 
-A null text is an empty one. A text without words scores 0. Where no documents have words, or the
-votes don't tell two kinds apart, all texts with words are kept. Ids may be null or repeat; each
+A null text is an empty one. A text without words scores 0. Where the votes call no text bad, or none good, there are no two kinds to
+tell apart, and all texts with words are kept. Ids may be null or repeat; each
 row is scored alone, copies and ties alike. A text of any length is scored whole, in one task. No rows give no
 rows. ``score`` reads no other columns; ``keep_good`` passes them through.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import filled, map_batches, texts
+from heddle.llm.common import filled, map_batches, materialise, texts
 
 #: Documents that the scorer is fitted on, the bound on what is gathered for it.
 FIT_DOCUMENTS = 4000
@@ -36,6 +38,8 @@ DIMENSIONS, EXTRA, MARK = 4096, 64, 0.3
 EM_ROUNDS, EM_END = 200, 1e-9
 STEPS, RATE, DECAY, BLOCK = 150, 0.5, 1e-4, 500
 KEEP = 0.5
+#: The weight of bad texts in the fit is their share of the different texts, or this, so that rare ones are learnt too.
+LEAST_BAD = 0.05
 
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -166,19 +170,18 @@ class Scorer:
         return float(1 / (1 + np.exp(np.clip(-(scaled(features(text))[0] @ self.weights + self.bias), -50, 50))))
 
 
-def train(found: np.ndarray, target: np.ndarray) -> Scorer:
+def train(found: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None) -> Scorer:
     """Logistic regression of soft targets on rows of ``compact`` features, by gradient descent with
     momentum. Rows are widened a block at a time, so that the driver holds a byte a feature."""
     n = len(found)
-    if n == 0 or min(float(target.sum()), float((1 - target).sum())) < 1:
-        return Scorer(np.zeros(DIMENSIONS + EXTRA, np.float32), 3.0)
+    weight = np.full(n, 1 / max(n, 1)) if weight is None else weight / weight.sum()
     w, bias = np.zeros(found.shape[1], np.float32), 0.0
     mean_w, mean_b = np.zeros_like(w), 0.0
     for _ in range(STEPS):
         slope_w, slope_b = DECAY * w, 0.0
         for at in range(0, n, BLOCK):
             x = scaled(found[at : at + BLOCK])
-            slope = ((1 / (1 + np.exp(-np.clip(x @ w + bias, -50, 50))) - target[at : at + BLOCK]) / n).astype(np.float32)
+            slope = ((1 / (1 + np.exp(-np.clip(x @ w + bias, -50, 50))) - target[at : at + BLOCK]) * weight[at : at + BLOCK]).astype(np.float32)
             slope_w = slope_w + slope @ x
             slope_b += float(slope.sum())
         mean_w, mean_b = 0.9 * mean_w + slope_w, 0.9 * mean_b + slope_b
@@ -186,42 +189,63 @@ def train(found: np.ndarray, target: np.ndarray) -> Scorer:
     return Scorer(w.astype(np.float32), bias)
 
 
-def label_model(df: DataFrame, text_col: str = "text") -> LabelModel:
-    """From the votes on all documents."""
+def voted(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(pattern, h): the votes on each different text, by its hash."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(["".join("bngx"[v + 1] for v in votes(x)) for x in texts(batch)], pa.string())], ["pattern"])
+            return pa.record_batch([batch.column("h"), pa.array(["".join("bngx"[v + 1] for v in votes(x)) for x in texts(batch)], pa.string())], ["h", "pattern"])
 
         return one
 
-    found = map_batches(df.select(filled(text_col)), make, "pattern string").groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 4 ** heuristics rows at most
-    patterns = np.array([["bngx".index(c) - 1 for c in r["pattern"]] for r in found], np.int64).reshape(-1, len(HEURISTICS))
-    return estimate(patterns, np.array([r["n"] for r in found], float))
+    rows = df.select(filled(text_col)).select("text", F.xxhash64("text").alias("h"))
+    return map_batches(rows, make, "h bigint, pattern string").distinct()
+
+
+def _patterns(found: list) -> np.ndarray:
+    return np.array([["bngx".index(c) - 1 for c in r["pattern"]] for r in found], np.int64).reshape(-1, len(HEURISTICS))
+
+
+def label_model(df: DataFrame, text_col: str = "text") -> LabelModel:
+    """From the votes on all documents, each different text once, so that copies do not outvote others."""
+    found = voted(df, text_col).groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 4 ** heuristics rows at most
+    return estimate(_patterns(found), np.array([r["n"] for r in found], float))
 
 
 def fit(df: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> tuple[LabelModel, Scorer]:
-    model = label_model(df, text_col)
-    n = df.count()
-    rows = df.select(filled(text_col)).where(F.length(F.trim("text")) > 0)
-    if n > fit_documents:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * fit_documents / n))
-    rows = rows.distinct()  # a text that a third of all rows have is drawn once or not at all
+    each = materialise(voted(df, text_col))
+    found = each.groupBy("pattern").agg(F.count("*").alias("texts")).orderBy("pattern").collect()  # 4 ** heuristics rows at most
+    model = estimate(_patterns(found), np.array([r["texts"] for r in found], float))
+    good = model.posterior(_patterns(found))
+    kinds = {bad: [(r["pattern"], r["texts"]) for r, g in zip(found, good, strict=True) if (g < KEEP) == bad and r["pattern"] != "x" * len(HEURISTICS)] for bad in (True, False)}
+    texts_of = {bad: sum(n for _, n in rows) for bad, rows in kinds.items()}
+    if not (texts_of[True] and texts_of[False]):
+        return model, Scorer(np.zeros(DIMENSIONS + EXTRA, np.float32), 3.0)
+    half = fit_documents // 2
+    share = lambda bad: (1 << 30) * min(1.0, max(half, fit_documents - texts_of[not bad]) / texts_of[bad])
+    limit = F.lit(-1).cast("double")
+    for bad, rows in kinds.items():
+        limit = F.when(F.col("pattern").isin([p for p, _ in rows]), F.lit(float(share(bad)))).otherwise(limit)
+    drawn = each.where(F.pmod(F.col("h"), F.lit(1 << 30)) < limit).select(F.col("h").alias("__h"), F.col("pattern").alias("__pattern"))
+    # about fit_documents hashes, so they may go to every task; each text is drawn once
+    rows = df.select(filled(text_col)).join(F.broadcast(drawn), F.xxhash64("text") == F.col("__h")).groupBy("__h").agg(F.first("text").alias("text"), F.first("__pattern").alias("pattern"))
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            values = texts(batch)
-            goods = model.posterior(np.array([votes(x) for x in values], np.int64))
-            return pa.record_batch([pa.array(goods, pa.float64()), pa.array([compact(features(x)) for x in values], pa.binary())], ["good", "features"])
+            return pa.record_batch([batch.column("pattern"), pa.array([compact(features(x)) for x in texts(batch)], pa.binary())], ["pattern", "features"])
 
         return one
 
-    sample = map_batches(rows, make, "good double, features binary").orderBy("features")
-    gathered = sample.collect()  # about fit_documents rows of 4 KB
-    found = np.frombuffer(b"".join([r["features"] for r in gathered]), np.uint8).reshape(-1, DIMENSIONS + EXTRA)
-    target = np.array([r["good"] for r in gathered], float)
-    del gathered
-    return model, train(found, target)
+    gathered = map_batches(rows, make, "pattern string, features binary").orderBy("pattern", "features").collect()  # about fit_documents rows of 4 KB
+    posterior = {r["pattern"]: float(g) for r, g in zip(found, good, strict=True)}
+    target = np.array([posterior[r["pattern"]] for r in gathered])
+    bad = target < KEEP
+    if bad.all() or not bad.any():  # so few of a kind that none was drawn
+        return model, Scorer(np.zeros(DIMENSIONS + EXTRA, np.float32), 3.0)
+    of_bad = max(texts_of[True] / (texts_of[True] + texts_of[False]), LEAST_BAD)
+    weight = np.where(bad, of_bad / bad.sum(), (1 - of_bad) / (~bad).sum())
+    features_of = np.frombuffer(b"".join([r["features"] for r in gathered]), np.uint8).reshape(-1, DIMENSIONS + EXTRA)
+    return model, train(features_of, target, weight)
 
 
 def score(df: DataFrame, model: LabelModel, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
