@@ -80,9 +80,19 @@ def quoted(token: str) -> str:
     return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in token)
 
 
+def any_of(tokens: tuple[str, ...]) -> str:
+    """Pattern: any of the tokens, longer ones first. Equal beginnings stand once, so that a text is not compared with each token."""
+    rests: dict[str, list[str]] = {}
+    for t in sorted(set(tokens)):
+        rests.setdefault(t[:1], []).append(t[1:])
+    ends = rests.pop("", None)
+    ways = [quoted(c) + (quoted(more[0]) if len(more) == 1 else any_of(tuple(more))) for c, more in rests.items()] + ([""] if ends else [])
+    return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+
 def any_word(tokens: tuple[str, ...]) -> str:
     """Pattern: any of the tokens, not inside a longer word. With look-around."""
-    return "(?<![a-z0-9])(?:" + "|".join(map(quoted, tokens)) + ")(?![a-z0-9])"
+    return "(?<![a-z0-9])" + any_of(tokens) + "(?![a-z0-9])"
 
 
 def any_word_plain(tokens: tuple[str, ...]) -> str:
@@ -94,6 +104,19 @@ def has_word(blob: Column, tokens: tuple[str, ...]) -> Column:
     return F.coalesce(blob.rlike(any_word(tokens)), F.lit(False)) if tokens else F.lit(False)
 
 
+def words_found(blob: Column, tokens: tuple[str, ...]) -> Column:
+    """Which of the tokens the text has, in one pass: at each word's start the longest; see ``among``."""
+    pattern = "(?<![a-z0-9])(?=(" + any_of(tokens) + ")(?![a-z0-9]))"
+    return F.regexp_extract_all(blob, F.lit(pattern), F.lit(1))
+
+
+def among(found: Column, tokens: tuple[str, ...], all_tokens: tuple[str, ...]) -> Column:
+    """``has_word`` of some of the tokens that ``words_found`` was asked for: one is also there where a longer one begins with it."""
+    begins = lambda t, x: t == x or (t.startswith(x) and not t[len(x)].isalnum())
+    said = sorted({t for t in all_tokens if any(begins(t, x) for x in tokens)})
+    return F.coalesce(F.arrays_overlap(found, F.array(*map(F.lit, said))), F.lit(False)) if said else F.lit(False)
+
+
 def has_part(blob: Column, tokens: tuple[str, ...]) -> Column:
     return F.coalesce(blob.rlike("|".join(map(quoted, tokens))), F.lit(False)) if tokens else F.lit(False)
 

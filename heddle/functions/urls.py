@@ -29,23 +29,24 @@ def host_suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
-def domain_allowed(url: Column, domains: Column) -> Column:
-    """Whether the host is one of the domains or below it. No domains allow everything."""
-    h = host(url)
+def domain_allowed(url: Column, domains: Column, at: Column | None = None) -> Column:
+    """Whether the host is one of the domains or below it. No domains allow everything. ``at``, here and below, is the
+    URL ready-made by ``parsed``, for rows of which several things are asked."""
+    h = host(url) if at is None else F.nullif(at["host"], F.lit(""))
     listed = F.exists(domains, lambda d: (h == d) | h.endswith(F.concat(F.lit("."), d)))
     return F.when(F.size(domains) == 0, F.lit(True)).otherwise(F.coalesce(listed, F.lit(False)))
 
 
-def _parsed(url: Column) -> Column:
+def parsed(url: Column) -> Column:
     """Host, path, query and path segments, parsed once."""
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
     whole = F.struct(F.coalesce(host(url), F.lit("")).alias("host"), path(url).alias("path"), query.alias("query"))
     return let(whole, lambda u: F.struct(u["host"].alias("host"), u["path"].alias("path"), u["query"].alias("query"), F.filter(F.split(u["path"], "/"), lambda s: s != "").alias("segments")))
 
 
-def is_article(url: Column) -> Column:
+def is_article(url: Column, at: Column | None = None) -> Column:
     """Whether the URL looks like one article's: rejects in order, then the last segments decide."""
-    return let(_parsed(url), _is_article)
+    return let(parsed(url), _is_article) if at is None else _is_article(at)
 
 
 def _is_article(url: Column) -> Column:
@@ -79,9 +80,9 @@ def _core(segment: Column) -> Column:
     return F.regexp_replace(segment, r"\.[^.]*$", "")
 
 
-def article_key(url: Column) -> Column:
+def article_key(url: Column, at: Column | None = None) -> Column:
     """Key under which copies of an article at several URLs are one."""
-    return let(_parsed(url), _article_key)
+    return let(parsed(url), _article_key) if at is None else _article_key(at)
 
 
 def _article_key(url: Column) -> Column:
@@ -124,17 +125,17 @@ def iso_day(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10).try_cast("date"))
 
 
-def dated_before(url: Column, day: Column, margin: int) -> Column:
-    """Whether the URL's date is more than margin days before the day; false if either lacks."""
-    return F.coalesce(url_date(url).try_cast("date") < F.date_sub(iso_day(day), margin), F.lit(False))
+def dated_before(url: Column, day: Column, margin: int, date: Column | None = None) -> Column:
+    """Whether the URL's date, or the ready-made one, is more than margin days before the day; false if either lacks."""
+    return F.coalesce((url_date(url) if date is None else date).try_cast("date") < F.date_sub(iso_day(day), margin), F.lit(False))
 
 
-def too_old(url: Column, day: Column) -> Column:
-    return dated_before(url, day, 2)
+def too_old(url: Column, day: Column, date: Column | None = None) -> Column:
+    return dated_before(url, day, 2, date)
 
 
-def is_prematch(url: Column, day: Column) -> Column:
-    return dated_before(url, day, 1)
+def is_prematch(url: Column, day: Column, date: Column | None = None) -> Column:
+    return dated_before(url, day, 1, date)
 
 
 def published_before(published: Column, day: Column) -> Column:
@@ -205,22 +206,27 @@ def is_other_section(url: Column) -> Column:
     return let(F.split(fold(path(url)), "/"), lambda parts: ~F.arrays_overlap(parts, literal(fixed.SPORTS_SEGMENTS)) & F.arrays_overlap(parts, literal(fixed.OTHER_SEGMENTS)))
 
 
-def is_tribute(url: Column, title: Column, aliases: tuple[str, ...], blob: Column | None = None) -> Column:
-    """Whether a verb of defeat has an own alias as its object."""
+def tribute_phrases(aliases: tuple[str, ...]) -> tuple[str, ...]:
+    """A verb of defeat with an own alias as its object."""
     from heddle.functions.text import fold_python
 
     names = [a for a in (fold_python(x).replace("-", " ").replace("_", " ") for x in aliases) if len(a) >= 3]
-    return has_word(_both(title, url) if blob is None else blob, tuple(f"{v} {a}" for v in fixed.TRIBUTE_VERBS for a in names))
+    return tuple(f"{v} {a}" for v in fixed.TRIBUTE_VERBS for a in names)
+
+
+def is_tribute(url: Column, title: Column, aliases: tuple[str, ...], blob: Column | None = None) -> Column:
+    return has_word(_both(title, url) if blob is None else blob, tribute_phrases(aliases))
 
 
-def has_match_context(url: Column, title: Column, own: tuple[str, ...], opponent: tuple[str, ...], signals: tuple[str, ...]) -> Column:
+def has_match_context(url: Column, title: Column, own: tuple[str, ...], opponent: tuple[str, ...], signals: tuple[str, ...], blob: Column | None = None) -> Column:
     """Whether a hit may be on the match: the opponent is named, or the own team is as a word, or
     isn't at all; if only inside a word, a signal word, the year or a score is needed."""
     from heddle.functions.text import fold_python, has_part
 
     folded = lambda names: tuple(fold_python(x) for x in names if len(x) >= 3)
     signal = lambda b: has_word(b, (*map(fold_python, signals), "2026")) | F.coalesce(b.rlike(fixed.URL_SCORE), F.lit(False))
-    return let(_both(title, url), lambda b: has_part(b, folded(opponent)) | has_word(b, folded(own)) | ~has_part(b, folded(own)) | signal(b))
+    met = lambda b: has_part(b, folded(opponent)) | has_word(b, folded(own)) | ~has_part(b, folded(own)) | signal(b)
+    return let(_both(title, url), met) if blob is None else met(blob)
 
 
 def fetch_outcome(status: Column, message: Column) -> Column:

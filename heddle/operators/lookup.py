@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.text import fold, quoted
 from heddle.functions.urls import host, host_suffixes
+from heddle.sources.sinks import materialised
 
 
 def outlet_for_url(rows: DataFrame, outlets: DataFrame, key: str, url: str = "url") -> DataFrame:
@@ -51,14 +52,63 @@ def scheduled(asked: DataFrame, schedule: DataFrame, key: str, match_id: str) ->
     return met.groupBy(key).agg(best.alias(match_id))
 
 
-def resolve_tokens(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens: Column, query: str, doc: str, least: int = 2) -> DataFrame:
-    """(query, doc, overlap): most distinct common tokens of more than one character; equal ones by
-    the smallest doc. An inverted index instead of all pairs."""
-    tokens = lambda d, k, c: d.select(k, F.explode(F.array_distinct(c)).alias("token")).where(F.length("token") > 1)
-    met = tokens(queries, query, query_tokens).join(tokens(docs, doc, doc_tokens), "token")
-    counted = met.groupBy(query, doc).agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
-    best = F.min_by(F.struct(doc, "overlap"), F.struct(-F.col("overlap"), doc)).alias("best")
-    return counted.groupBy(query).agg(best).select(query, f"best.{doc}", "best.overlap")
+#: Sets of tokens that a token may be in to count as rare: what is searched first costs no more for each.
+RARE = 64
+
+
+def _sets(rows: DataFrame, key: str, token: str) -> DataFrame:
+    """(tokens, key) from (key, token): each different set of tokens, with the smallest key that has it."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set(token)).alias("tokens")).groupBy("tokens").agg(F.min(key).alias(key))
+
+
+def _verified(asked: DataFrame, postings: DataFrame, sets: DataFrame, query: str, doc: str, least: int) -> DataFrame:
+    """(query, best struct<overlap, doc>) among the sets that share one of the asked tokens (query, tokens, asked, unasked: how many
+    of the query's tokens are not among these). Sets that can't reach what another one has for certain are not looked at."""
+    met = asked.select(query, "unasked", F.explode("asked").alias("token")).join(postings, "token")
+    found = met.groupBy(query, doc).agg(F.count("*").alias("found"), F.first("unasked").alias("unasked"))
+    bound = found.groupBy(F.col(query).alias("__q")).agg(F.max("found").alias("sure"))
+    able = (F.col("found") + F.col("unasked") >= F.greatest("sure", F.lit(least)))
+    survivors = found.join(bound, F.col(query) == F.col("__q")).where(able).select(query, doc)
+    both = survivors.join(asked.select(query, "tokens"), query).join(sets.withColumnRenamed("tokens", "__has"), doc)
+    counted = both.select(query, doc, F.size(F.array_intersect("tokens", "__has")).alias("overlap")).where(F.col("overlap") >= least)
+    return counted.groupBy(query).agg(F.min_by(F.struct("overlap", doc), F.struct(-F.col("overlap"), doc)).alias("best"))
+
+
+def resolve_tokens(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens: Column, query: str, doc: str, least: int = 2, rare: int = RARE) -> DataFrame:
+    """(query, doc, overlap): most distinct common tokens of more than one character, ``least`` or more; equal ones by the
+    smallest doc.
+
+    Tokens that no query has are left out, and then docs, and queries, with equal sets of tokens are one. Of each query the rare tokens
+    are searched first, by an equi-join. What they find bounds how many more tokens must be searched: a set that has none of
+    a query's first r of m tokens, rarest first, shares m - r at most. So frequent tokens are searched only for queries that have found
+    too little without them, and only as many as can still matter; overlaps are counted for sets that can be the best."""
+    words = lambda d, k, c: d.select(k, F.explode(F.array_distinct(c)).alias("token")).where(F.length("token") > 1)
+    own = words(queries, query, query_tokens).groupBy(query).agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    own = materialised(own)
+    vocabulary = own.select(F.explode("tokens").alias("token")).distinct()
+    sets = materialised(_sets(words(docs, doc, doc_tokens).join(vocabulary, "token", "left_semi"), doc, "token").where(F.size("tokens") >= least))
+    postings = sets.select(doc, F.explode("tokens").alias("token"))
+    frequency = postings.groupBy("token").agg(F.count("*").alias("n"))
+
+    groups = own.groupBy("tokens").agg(F.min(query).alias(query))
+    ranked = groups.select(query, F.explode("tokens").alias("token")).join(frequency, "token")
+    ranked = ranked.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r")).where(F.size("r") >= least)
+    size = F.size("r")
+    first = F.least(F.greatest(F.size(F.filter("r", lambda t: t["n"] <= rare)), F.lit(1)), size - least + 1)
+    ranked = materialised(ranked.select(query, F.transform("r", lambda t: t["token"]).alias("tokens"), size.alias("m"), first.alias("p")))
+
+    asked = ranked.select(query, "tokens", F.slice("tokens", F.lit(1), F.col("p")).alias("asked"), (F.col("m") - F.col("p")).alias("unasked"))
+    early = materialised(_verified(asked, postings, sets, query, doc, least))
+    # what shares none of the first p tokens has m - p at most; from this place on it can't be as good as what is known
+    enough = F.col("m") - F.greatest(F.coalesce("best.overlap", F.lit(0)), F.lit(least)) + 1
+    more = ranked.join(early, query, "left").withColumn("upto", enough).where(F.col("upto") > F.col("p"))
+    more = more.select(query, "tokens", F.slice("tokens", F.col("p") + 1, F.col("upto") - F.col("p")).alias("asked"), (F.col("m") - F.col("upto") + F.col("p")).alias("unasked"))
+    best = early.unionAll(_verified(more, postings, sets, query, doc, least))
+    best = best.groupBy(query).agg(F.min_by("best", F.struct(-F.col("best.overlap"), f"best.{doc}")).alias("best"))
+
+    group = own.join(groups.select("tokens", F.col(query).alias("__group")), "tokens")
+    chosen = best.select(F.col(query).alias("__group"), f"best.{doc}", F.col("best.overlap").cast("long").alias("overlap"))
+    return group.join(chosen, "__group").select(query, doc, "overlap")
 
 
 def quote_for_slide(slides: DataFrame, quotes: DataFrame) -> DataFrame:

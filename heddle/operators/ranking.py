@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.fixed import THIN_BODY
+from heddle.sources.sinks import materialised
 
 
 def first_of(rows: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
@@ -29,37 +30,81 @@ def title_key(title: Column, least: int = 12) -> Column:
     return F.when(F.length(t) >= least, t)
 
 
-def first_keys(rows: DataFrame, pool: str, seq: str, key: str, title: str, ahead: str | None = None, cap: int | None = None) -> DataFrame:
-    """(pool, seq, key) of the candidates of each pool that repeat neither a key nor a title of one that is kept
-    before. In the order of seq, those with ``ahead`` first: a known key drops a row; so does a known title (null
-    is none), and then the row's key stays free. With ``cap``, rows that aren't ahead are kept only while
-    fewer are.
+#: Candidates in all from which pools are settled in rounds, and how often; the rest, and fewer, walk pool by pool.
+FEW, ROUNDS = 200_000, 24
+
 
-    This depends on the rows before, so a pool streams through one task in its order. It is short
-    by then: of equal key and title only the first can be kept, so an aggregation leaves no others.
-    What a task remembers is the keys and titles of the rows that it keeps."""
-    first = F.col(ahead) if ahead else F.lit(False)
-    narrow = rows.groupBy(pool, key, title, first.alias("__ahead")).agg(F.min(seq).alias(seq))
-    names = [pool, seq, "__ahead", key, title]
+def _walk(rows: DataFrame, pool: str, key: str, title: str, cap: int | None) -> DataFrame:
+    """Of (pool, key, title, at) those that repeat neither, in the order of at: a pool streams through one task, which
+    remembers the keys and titles of the rows that it keeps."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = narrow.select(*names).repartition(partitions, pool).sortWithinPartitions(pool, F.col("__ahead").desc(), seq)
+    names = [pool, key, title, "at"]
+    dealt = rows.select(*names).repartition(partitions, pool).sortWithinPartitions(pool, "at")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, keys, titles = (), set(), set()
         for batch in batches:
             kept = []
-            for p, before, k, t in zip(*(batch.column(c).to_pylist() for c in (pool, "__ahead", key, title)), strict=True):
+            for p, k, t, at in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (p,) != of:
                     of, keys, titles = (p,), set(), set()
-                full = cap is not None and not before and len(keys) >= cap
+                full = cap is not None and at["later"] and len(keys) >= cap
                 kept.append(not (full or k in keys or (t is not None and t in titles)))
                 if kept[-1]:
                     keys.add(k)
                     titles.update(() if t is None else (t,))
-            yield batch.select([pool, seq, key]).filter(pa.array(kept, pa.bool_()))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return dealt.mapInArrow(walk, dealt.schema)
+
+
+def _round(left: DataFrame, pool: str, key: str, title: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, still open): a row that is the first of both its key and its title is kept; rows that share one with it go."""
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    first = lambda by, names: left.groupBy(F.col(pool).alias(names[0]), F.col(by).alias(names[1])).agg(F.min("at").alias(names[2]))
+    keys, titles = first(key, ["__p1", "__k", "__by_key"]), first(title, ["__p2", "__t", "__by_title"]).where("__t is not null")
+    met = left.join(keys, same(pool, "__p1") & same(key, "__k")).join(titles, same(pool, "__p2") & (F.col(title) == F.col("__t")), "left")
+    wins = (F.col("at") == F.col("__by_key")) & (F.col("at") == F.coalesce("__by_title", "at"))
+    names = [pool, key, title, "at"]
+    met = materialised(met.select(*names, wins.alias("wins")))
+    kept = met.where("wins").select(*names)
+    taken = lambda by, names: kept.select(F.col(pool).alias(names[0]), F.col(by).alias(names[1]))
+    rest = met.where(~F.col("wins")).join(taken(key, ["__p1", "__k"]), same(pool, "__p1") & same(key, "__k"), "left_anti")
+    rest = rest.join(taken(title, ["__p2", "__t"]), same(pool, "__p2") & (F.col(title) == F.col("__t")), "left_anti")
+    return kept, materialised(rest.select(*names))
+
+
+def first_keys(
+    rows: DataFrame, pool: str, seq: str, key: str, title: str, ahead: str | None = None, cap: int | None = None, few: int = FEW, rounds: int = ROUNDS
+) -> DataFrame:
+    """(pool, seq, key) of the candidates of each pool that repeat neither a key nor a title of one that is kept
+    before. In the order of seq, those with ``ahead`` first: a known key drops a row; so does a known title (null
+    is none), and then the row's key stays free. With ``cap``, rows that aren't ahead are kept only while
+    fewer are.
 
-    kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in (pool, seq, key))
-    return dealt.mapInArrow(walk, kinds)
+    Of equal key and title only the first can be kept, so an aggregation leaves no others. What remains is a graph
+    whose rows join keys with titles, and the rows that are kept are its greedy matching. It is found in rounds of
+    aggregations and joins: a row that is the first of its key and of its title is kept whatever comes before
+    it, and all that share either are settled. Once ``few`` rows are open, or after ``rounds``, for chains in which each
+    row waits for the one before, the rest walks in order, a pool in a task. The cap only ends each pool's kept rows."""
+    later = ~F.col(ahead) if ahead else F.lit(True)
+    narrow = rows.groupBy(pool, key, title, later.alias("__later")).agg(F.min(seq).alias("__seq"))
+    left = materialised(narrow.select(pool, key, title, F.struct(F.col("__later").alias("later"), F.col("__seq").alias("seq")).alias("at")))
+    kept = []
+    while len(kept) < rounds and left.limit(few + 1).count() > few:
+        won, left = _round(left, pool, key, title)
+        kept.append(won)
+    chosen = _walk(left, pool, key, title, cap)
+    for won in kept:
+        chosen = chosen.unionByName(won)
+    chosen = chosen.select(pool, F.col("at.seq").alias(seq), key, F.col("at.later").alias("__later"))
+    if cap is not None and kept:
+        before = chosen.groupBy(F.col(pool).alias("__pool")).agg(F.count_if(~F.col("__later")).alias("__ahead"))
+        order = [F.col("__later"), F.col(seq)]
+        some = top_per(chosen.where("__later"), [pool], order, cap, "__nth")
+        some = some.join(before, F.col(pool).eqNullSafe(F.col("__pool"))).where(F.col("__nth") + F.col("__ahead") <= cap)
+        chosen = chosen.where("not __later").unionAll(some.select(*chosen.columns))
+    return chosen.select(pool, seq, key)
 
 
 def first_wins(rows: DataFrame, pool: str, seq: str, key: str, title: str) -> DataFrame:

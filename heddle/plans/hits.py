@@ -33,7 +33,8 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     url = F.concat(F.lit("https://"), pick(SITES, F.floor(k / 3)), F.lit("/"), pick(SECTIONS, F.floor(k / 2)), F.when(k % 3 == 0, F.concat(F.lit("/"), day)).otherwise(""), F.lit("/"), slug, tail, query)
     title = F.concat(pick(TITLES, F.floor(k / 7)), F.when(k % 3 != 0, F.concat(F.lit(", part "), (k % 41).cast("string"), F.lit(" of it"))).otherwise(""))
     published = F.when(k % 5 == 0, F.date_format(F.add_months("o_orderdate", 300), "yyyy-MM-dd"))
-    return load(spark, d, "orders").select(k.alias("hit_id"), url.alias("url"), title.alias("title"), published.alias("published"))
+    hit = F.struct(k.alias("hit_id"), url.alias("url"), title.alias("title"), published.alias("published"))
+    return load(spark, d, "orders").select(F.inline(F.array(hit)))  # composed once, however often it is asked for
 
 
 def _list(values: list[str]) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import fixed, urls
-from heddle.functions.text import fold_python, match_blob
+from heddle.functions.text import among, fold_python, match_blob, words_found
 from heddle.operators import lookup, pools, ranking
 from heddle.plans.catalog import query
 from heddle.plans.hits import DAY, HITS, PARTS, SCORE, SLUG, URL_DATE, hits, sql_any_word, sql_words
@@ -83,12 +83,14 @@ def url_dates(spark: SparkSession, d: str) -> DataFrame:
  not list_has_any(list_transform(segs, lambda s: lower(s)), {sql_words(fixed.SPORTS_SEGMENTS)}) and list_has_any(list_transform(segs, lambda s: lower(s)), {sql_words(fixed.OTHER_SEGMENTS)}) as other_section,
  {sql_any_word("blob", tuple(f"{v} jordan" for v in fixed.TRIBUTE_VERBS))} as tribute from parts""")
 def hit_flags(spark: SparkSession, d: str) -> DataFrame:
+    """All word lists are looked for in one pass over each folded text."""
     url, title = F.col("url"), F.col("title")
-    flags = {"opinion": urls.is_opinion, "roundup": urls.is_roundup, "ranking": urls.is_ranking, "social": urls.is_social, "non_reaction": urls.is_non_reaction, "report": urls.hints_report}
-    blob = F.col("blob")
-    rows = hits(spark, d).select("hit_id", "url", "title", F.explode(F.array(match_blob(F.concat_ws(" ", url, title)))).alias("blob"))
-    tribute = urls.is_tribute(url, title, ("Jordan", "JO"), blob).alias("tribute")
-    return rows.select("hit_id", *(f(url, title, blob).alias(n) for n, f in flags.items()), urls.is_other_section(url).alias("other_section"), tribute)
+    lists = {"opinion": fixed.OPINION, "roundup": fixed.ROUNDUP, "ranking": fixed.RANKING, "social": fixed.SOCIAL, "report": fixed.REPORT, "tribute": urls.tribute_phrases(("Jordan", "JO"))}
+    lists["non_reaction"] = fixed.ROUNDUP + fixed.RANKING + fixed.SOCIAL
+    every = tuple(t for words in lists.values() for t in words)
+    blob = match_blob(F.concat_ws(" ", url, title))
+    rows = hits(spark, d).select("hit_id", "url", F.explode(F.array(words_found(blob, every))).alias("found"))
+    return rows.select("hit_id", *(among(F.col("found"), words, every).alias(n) for n, words in lists.items()), urls.is_other_section(url).alias("other_section"))
 
 
 @query(rf"""with {HITS}, s as (select hit_id, {SLUG} as slug from hits) select hit_id, regexp_matches(slug, '(^|[^0-9])[0-9]{{1,2}}\s*[-: ]\s*[0-9]{{1,2}}([^0-9]|$)') as has_score,

@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder: it is computed once, and what follows does not depend on executors that are lost."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def save_runs(runs: DataFrame, folder: str, key: str = "run_id") -> None:
     """One folder of JSON for each run; a run that is written again replaces its own only."""
     conf = runs.sparkSession.conf

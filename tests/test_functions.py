@@ -105,3 +105,21 @@ def test_outcomes(column):
     f = lambda s, m: urls.fetch_outcome(s.cast("int"), m)
     assert [column(f, s, m) for s, m in (("403", None), ("404", ""), ("429", ""), ("503", ""), (None, "Pusta tresc"), (None, "read timeout"), (None, "odd"))] == ["botblock", "stale_path", "transient", "transient", "empty", "transient", "error"]
     assert column(urls.search_outcome, "HTTP 432") == "432"
+
+
+def test_words_found_in_one_pass(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from heddle.functions import text
+
+    rng = random.Random(3)
+    lists = {k: tuple({" ".join(rng.choices(("ab", "a", "b", "abc"), k=rng.randint(1, 3))) for _ in range(4)}) for k in "xyz"}
+    every = sum(lists.values(), ())
+    blobs = [" ".join(rng.choices(("ab", "a", "b", "abc", "c", "-", ""), k=8)) for _ in range(300)]
+    df = spark.createDataFrame([(b,) for b in blobs] + [(None,)], "blob string").withColumn("found", text.words_found(F.col("blob"), every))
+    for words in lists.values():
+        for blob, has in df.select("blob", text.among(F.col("found"), words, every)).collect():
+            assert has == any(re.search(f"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])", blob or "") is not None for w in words), (blob, words)
