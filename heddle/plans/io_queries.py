@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from heddle.operators import assembly, pipelines
 from heddle.plans.catalog import query
-from heddle.sources import registry, sinks
+from heddle.plans.hits import HITS, hits
+from heddle.sources import archive, registry, search, sinks
 from heddle.sources.tables import load
 
 
@@ -124,3 +125,43 @@ def hashtag_names(spark: SparkSession, d: str) -> DataFrame:
     some = F.slice(names, F.lit(1), (1 + F.col("c_custkey") % 4).cast("int"))
     english = F.when(F.col("c_acctbal") > 0, F.col("n_name"))
     return rows.select("c_custkey", F.array_join(assembly.hashtag_names(some, english), ",").alias("names"))
+
+
+_SEARCHED = ["kickoff.example", "harbour-gazette.example"]
+
+
+@query(f"""with {HITS}, h as (select *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host from hits)
+select url, title, published as published_at, case when hit_id % 3 > 0 then title || ' at length' end as raw_content from h
+where regexp_matches(host, '(^|[.])(kickoff|harbour-gazette)[.]example$') and published >= '2019-01-01' and not contains(title, 'Harvest')""")
+def staged_search(spark: SparkSession, d: str) -> DataFrame:
+    """Hits as a search service's answers: domains, dates and titles are tested where the files are read."""
+    folder = sinks.shared_folder(spark, "search")
+    content = F.when(F.col("hit_id") % 3 == 1, F.concat("title", F.lit(" at length"))).when(F.col("hit_id") % 3 == 2, F.concat("title", F.lit(" at length"))).otherwise("  ")
+    hits(spark, d).select("url", "title", F.col("published").alias("published_at"), content.alias("raw_content")).write.json(folder)
+    found = search.searched(spark, folder, _SEARCHED, split_bytes=1 << 18)
+    return found.where((F.col("published_at") >= "2019-01-01") & ~F.contains("title", F.lit("Harvest"))).select("url", "title", "published_at", "raw_content")
+
+
+@query(f"""with {HITS}, h as (select *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, title[1:4] as query from hits)
+select query, url from (select *, row_number() over (partition by query order by hit_id) as r from h where regexp_matches(host, '(^|[.])(kickoff|harbour-gazette)[.]example$')) where r <= 5""")
+def capped_search(spark: SparkSession, d: str) -> DataFrame:
+    """Five answers of allowed domains to each query, whose answers are a file."""
+    folder = sinks.shared_folder(spark, "search")
+    rows = hits(spark, d).select("hit_id", F.substring("title", 1, 4).alias("query"), "url").withColumn("part", F.col("query"))
+    rows.repartition(F.col("query")).sortWithinPartitions("query", "hit_id").drop("hit_id").write.partitionBy("part").json(folder)
+    return search.searched(spark, folder, _SEARCHED, limit=5).select("query", "url")
+
+
+@query("""select o_custkey as match, max(o_orderkey) as run_id, arg_max(o_orderstatus, o_orderkey) as status, count(*) as runs from orders group by o_custkey""")
+def archived_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as runs that reach the archive in two parts, with documents that can't be read among them; the second call reads only what is new."""
+    folder, store = sinks.shared_folder(spark, "archive"), sinks.shared_folder(spark, "store")
+    orders = load(spark, d, "orders").select(F.col("o_custkey").alias("match"), F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"))
+    for k, some in enumerate((orders.where("status <> 'F'"), orders.where("status = 'F'"))):
+        lines = some.select(F.to_json(F.struct(*some.columns)).alias("value"))
+        torn = lines.where(F.crc32("value") % 50 == 0).select(F.substring("value", 1, 12).alias("value"))
+        lines.unionAll(torn).write.text(f"{folder}/part{k}")
+        archive.ingest(spark, folder, store, "match long, run_id long, status string", whole_files=False, names="*.txt")
+    rows = archive.runs(spark, store)
+    counted = rows.groupBy("match").agg(F.count("*").alias("runs"))
+    return archive.latest(rows, ["match"], "run_id").join(counted, "match").select("match", "run_id", "status", "runs")
