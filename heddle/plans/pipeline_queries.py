@@ -11,7 +11,9 @@ from heddle.operators import lookup, pipelines, ranking
 from heddle.plans.catalog import query
 from heddle.sources.sinks import shared_folder
 from heddle.sources.tables import load
+from heddle.streaming import cache
 from heddle.streaming import health as stream
+from heddle.streaming.stateful import drained
 
 
 @query("""with d as (select l_partkey % 500 as k, l_suppkey, l_orderkey * 10 + l_linenumber as seq, (l_orderkey % 3) || '-' || (l_partkey % 2) as score from lineitem),
@@ -70,6 +72,21 @@ HEALTH_SQL = """with ev as (select user_id as key, event_id, ts, event_type as o
 select key, event_id, outcome, day, age from (select *, row_number() over (partition by key order by ts desc, event_id desc) as age from daily) where age <= 20"""
 
 
+@query("""select event_id as seq, coalesce(ts < last_ts + interval 3600 second, false) as hit from (
+ select event_id, ts, last_value(case when event_type <> 'error' then ts end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as last_ts from events)""")
+def stream_cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Look-ups that arrive in three parts, in the order of time; the query stops after each and goes on from its state."""
+    folder = shared_folder(spark, "cache")
+    events = load(spark, d, "events").select("user_id", "event_id", "ts", (F.col("event_type") != "error").alias("cacheable"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    a, b = (F.lit(first + (last - first) * k / 3) for k in (1, 2)) if first else (F.col("ts"), F.col("ts"))
+    for part in (F.col("ts") < a, (F.col("ts") >= a) & (F.col("ts") < b), F.col("ts") >= b):
+        events.where(part).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        drained(cache.hits(arriving, ["user_id"], "ts", "event_id", 3600, "cacheable"), folder)
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query(HEALTH_SQL)
 def stream_health(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream through keyed state, to the same windows as the batch query's."""
