@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.operators import assembly, pipelines
 from heddle.plans.catalog import query
 from heddle.plans.hits import HITS, hits
-from heddle.sources import archive, registry, search, sinks
+from heddle.sources import archive, registry, search, sinks, versions
 from heddle.sources.tables import load
 
 
@@ -165,3 +165,17 @@ def archived_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = archive.runs(spark, store)
     counted = rows.groupBy("match").agg(F.count("*").alias("runs"))
     return archive.latest(rows, ["match"], "run_id").join(counted, "match").select("match", "run_id", "status", "runs")
+
+
+@query("""select o_orderkey, 'first' as state, o_totalprice as price, 1 as version from orders where o_orderstatus <> 'P'
+union all select o_orderkey, case when o_orderstatus = 'P' then 'late' when o_totalprice > 200000 then 'second' else 'first' end, case when o_totalprice > 200000 or o_orderstatus = 'P' then -o_totalprice else o_totalprice end, 3 from orders""")
+def versioned_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written in three versions, of which the first can still be read."""
+    orders = load(spark, d, "orders")
+    table = versions.Versions(spark, sinks.shared_folder(spark, "orders"), ["o_orderkey"], 8)
+    put = lambda some, state, price, seq: table.upsert(some.select("o_orderkey", F.lit(state).alias("state"), price.alias("price"), F.lit(seq).alias("seq")), "seq")
+    first = put(orders.where("o_orderstatus <> 'P'"), "first", F.col("o_totalprice"), 1)
+    put(orders.where("o_totalprice > 200000"), "second", -F.col("o_totalprice"), 2)
+    last = put(orders.where("o_orderstatus = 'P'"), "late", -F.col("o_totalprice"), 3)
+    both = table.read(first).withColumn("version", F.lit(first)).unionByName(table.read(last).withColumn("version", F.lit(last)))
+    return both.drop("seq")

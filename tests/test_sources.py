@@ -104,3 +104,35 @@ def test_archive_reads_only_what_is_new(spark, tmp_path):
     assert sorted(r.run_id for r in rows.collect()) == ["r1", "r2"]
     assert [(r.run_id, r.status) for r in archive.latest(rows, ["match"], "run_id").collect()] == [("r2", "review")]
     assert [r.file.endswith("bad/run.json") for r in archive.broken(spark, store).collect()] == [True]
+
+
+def test_versions_are_whole(spark, tmp_path):
+    from heddle.sources.versions import Conflict, Versions
+
+    table = Versions(spark, str(tmp_path / "t"), ["k"], 4)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    rows = lambda version=None: sorted((r.k, r.v) for r in table.read(version).collect())
+    frame = lambda seq, *pairs: spark.createDataFrame([(k, v, seq) for k, v in pairs], "k string, v long, seq long")
+    first = table.upsert(frame(1, *((f"k{j}", j) for j in range(40))), "seq")
+    before = table._manifest(first)["places"]
+    reading = table.read()  # a reader that began before the writes below
+    second = table.upsert(frame(2, ("k3", 333), ("new", 1)), "seq")
+    old = table.upsert(frame(1, ("k3", -1)), "seq")  # an older row doesn't win
+    assert (first, second, old) == (1, 2, 3)
+    assert rows() == rows(2) == sorted([(f"k{j}", 333 if j == 3 else j) for j in range(40)] + [("new", 1)])
+    assert sorted((r.k, r.v) for r in reading.collect()) == rows(1) == sorted((f"k{j}", j) for j in range(40))
+    after = table._manifest(second)["places"]
+    assert 1 <= sum(after[b] != before[b] for b in before) <= 2  # the other buckets stay where they are
+    # of two writers from one version the second fails, and nothing of it is seen
+    with pytest.raises(Conflict):
+        table.upsert(frame(9, ("k1", 999)), "seq", base=2)
+    assert table.versions() == [1, 2, 3] and dict(rows())["k1"] == 1
+    # a write that dies before its rename leaves no trace for readers
+    commit, table._commit = table._commit, lambda manifest: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        table.upsert(frame(9, ("k2", 999)), "seq")
+    table._commit = commit
+    assert dict(rows())["k2"] == 2 and table.upsert(frame(9, ("k2", 4)), "seq") == 4 and dict(rows())["k2"] == 4
+    table.forget(1)
+    assert table.versions() == [4] and dict(rows())["k2"] == 4 and len(rows()) == 41
