@@ -44,12 +44,17 @@ def pair_key(a: Column, b: Column) -> list[Column]:
 
 def scheduled(asked: DataFrame, schedule: DataFrame, key: str, match_id: str) -> DataFrame:
     """(key, match) for asked (key, pair_lo, pair_hi, day) and a schedule (match, pair_lo, pair_hi,
-    day): the same pair in any order, on the day, else a day off; without a day the latest."""
-    met = asked.select(key, "pair_lo", "pair_hi", F.col("day").alias("wanted")).join(schedule, ["pair_lo", "pair_hi"])
-    gap = F.abs(F.datediff("day", "wanted"))
-    met = met.where(F.col("wanted").isNull() | (gap <= 1))
-    best = F.max_by(match_id, F.struct(F.coalesce(gap == 0, F.lit(False)), "day", match_id))
-    return met.groupBy(key).agg(best.alias(match_id))
+    day): the same pair in any order, on the day, else a day off; without a day the latest.
+
+    Who asks for a day asks for three, so the day is part of the join's key and a pair with a long history is not looked
+    through; who asks for none meets one row, the pair's latest, which an aggregation finds."""
+    pair = ["pair_lo", "pair_hi"]
+    dated = asked.where(F.col("day").isNotNull()).select(key, *pair, F.col("day").alias("wanted"), F.explode(F.array(F.date_sub("day", 1), "day", F.date_add("day", 1))).alias("day"))
+    met = dated.join(schedule.select(match_id, *pair, "day"), [*pair, "day"])
+    best = F.max_by(match_id, F.struct(F.col("day") == F.col("wanted"), "day", match_id))
+    near = met.groupBy(key).agg(best.alias(match_id))
+    last = schedule.groupBy(*pair).agg(F.max_by(match_id, F.struct("day", match_id)).alias(match_id))
+    return near.unionAll(asked.where(F.col("day").isNull()).select(key, *pair).join(last, pair).select(key, match_id))
 
 
 #: Sets of tokens that a token may be in to count as rare: what is searched first costs no more for each.

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import fixed
-from heddle.operators import assembly, lookup, pipelines, validators
+from heddle.operators import assembly, chain, lookup, pipelines, validators
 from heddle.plans.catalog import query
 from heddle.plans.hits import BANNED
 from heddle.sources.registry import registry
@@ -260,3 +260,43 @@ def token_overlap_resolver(spark: SparkSession, d: str) -> DataFrame:
 def match_resolution(spark: SparkSession, d: str) -> DataFrame:
     asked, docs, text, name = _asked(spark, d)
     return pipelines.resolution(asked, docs.withColumnRenamed("p_partkey", "match_id"), text, name)
+
+
+#: Customers ask for a match on their last day; orders are drafts of three providers, with the teams and days that they took down.
+CHAIN = """q as (select o_custkey as request, 'T' || o_custkey % 9 as want_a, 'T' || (o_custkey + 4) % 9 as want_b, max(o_orderdate) as want_day from orders group by o_custkey),
+d as (select o_custkey as request, o_orderkey as seq, 'T' || o_custkey % 9 as home, 'T' || (o_custkey + case when o_totalprice > 150000 then 4 else 5 end) % 9 as away,
+ case when o_orderpriority < '2' then '' else strftime(o_orderdate, '%Y-%m-%d') end as day, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as place from orders),
+j as (select d.*, case when list_sort([home, away]) <> list_sort([want_a, want_b]) then 'teams' when day <> '' and abs(date_diff('day', cast(day as date), cast(want_day as date))) > 1 then 'date' end as why from d join q using (request)),
+won as (select request, place, seq, row_number() over (partition by request order by place, seq) as r from j where why is null),
+p as (select * from (values (0, 'official'), (1, 'press'), (2, 'fixture')) t(place, provider))"""
+
+
+def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    orders = load(spark, d, "orders")
+    team = lambda n: F.concat(F.lit("T"), n % 9)
+    iso = lambda day: F.date_format(day, "yyyy-MM-dd")
+    k = F.col("o_custkey")
+    asked = orders.groupBy(k.alias("request")).agg(iso(F.max("o_orderdate")).alias("want_day"))
+    asked = asked.select("request", team(F.col("request")).alias("want_a"), team(F.col("request") + 4).alias("want_b"), "want_day")
+    away = team(k + F.when(F.col("o_totalprice") > 150_000, 4).otherwise(5))
+    day = F.when(F.col("o_orderpriority") < "2", "").otherwise(iso(F.col("o_orderdate")))
+    gate = validators.draft_mismatch(F.col("home"), F.col("away"), F.col("day"), F.col("want_a"), F.col("want_b"), F.col("want_day"))
+
+    def answer(status: str):
+        drafts = orders.where(F.col("o_orderstatus") == status).select(k.alias("request"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("draft"), team(k).alias("home"), away.alias("away"), day.alias("day"))
+        return lambda left: drafts.join(left, "request")
+
+    return chain.resolved(asked, "request", [chain.Provider(n, answer(s), gate) for n, s in (("official", "F"), ("press", "O"), ("fixture", "P"))])
+
+
+@query(f"with {CHAIN} select request, seq as draft, provider from won join p using (place) where r = 1")
+def gated_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The first draft of the first provider that is on the match that was asked for."""
+    return _chain(spark, d)[0].select("request", "draft", "provider")
+
+
+@query(f"""with {CHAIN}, settled as (select request, min(place) as place from won group by request), tried as (select q.request, p.place, p.provider from q cross join p left join settled s using (request) where s.place is null or p.place < s.place)
+select t.request, t.provider, coalesce(string_agg(distinct why, ',' order by why), 'none') as note from tried t left join j using (request, place) group by all""")
+def chain_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Why each provider that was asked in vain gave nothing."""
+    return _chain(spark, d)[1].select("request", "provider", "note")

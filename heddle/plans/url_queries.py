@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import fixed, urls
 from heddle.functions.text import among, fold_python, match_blob, words_found
-from heddle.operators import lookup, pools, ranking
+from heddle.operators import lookup, pools, ranking, sections
 from heddle.plans.catalog import query
 from heddle.plans.hits import DAY, HITS, PARTS, SCORE, SLUG, URL_DATE, hits, sql_any_word, sql_words
 from heddle.sources.tables import load, page_links as links_of, page_text as text_of
@@ -191,3 +191,38 @@ def section_probe(spark: SparkSession, d: str) -> DataFrame:
     first = rows.groupBy("host", "key").agg(F.count("*").alias("n"), F.min_by("fits", "hit_id").alias("fits"))
     counted = first.groupBy("host").agg(F.sum("n").alias("article_links"), F.count_if("fits").alias("matching"))
     return counted.withColumn("outcome", F.when(F.col("article_links") > 0, "links").otherwise("no_links"))
+
+
+#: Templates of queries and the event's name, whose words tell reactions.
+TEMPLATES, EVENT = ["{team} {opponent} mundial regatta", "press late {team}"], "World Cup-2026"
+REACTIONS = ("mundial", "regatta", "press", "late", "world", "cup", "2026")
+
+SECTION_LINKS = f"""{HITS}, {PARTS}, {KEYED}, linked as (select hit_id, host, host || '/' || segs[1] as section, url, title, {ARTICLE} as article, {KEY} as key,
+ contains(blob, 'argentina') or (contains(blob, 'jordan') and {sql_any_word("blob", REACTIONS)}) as fits from spotted),
+asked as (select * from (select host, section, row_number() over (partition by host order by section) as place from (select distinct host, section from linked)) where place <= 3),
+met as (select l.*, place from linked l join asked a on l.host = a.host and l.section = a.section where article and regexp_matches(l.host, '(^|[.])({"|".join(x.replace(".", "[.]") for x in ALLOWED)})$')),
+first as (select * from (select *, row_number() over (partition by host, key order by place, hit_id) as n from met where fits) where n = 1)"""
+
+
+def _sections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    links = hits(spark, d).select(urls.host(F.col("url")).alias("host"), F.element_at(urls.segments(F.col("url")), 1).alias("name"), F.col("hit_id").alias("position"), F.col("url").alias("href"), F.col("title").alias("anchor"))
+    links = links.select("host", F.concat_ws("/", "host", "name").alias("section"), "position", "href", "anchor")
+    named = links.groupBy(F.col("host").alias("country"), "section").agg(F.lit(False).alias("dead"), F.lit(None).cast("string").alias("last_probe"))
+    named = named.select("*", F.row_number().over(Window.partitionBy("country").orderBy("section")).alias("idx"), F.array(*map(F.lit, ALLOWED)).alias("domains"))
+    words = sections.reaction_words(F.array(*map(F.lit, TEMPLATES)), F.lit(EVENT), F.array(F.lit("Jordan"), F.lit("JO")))
+    names = lambda *x: sections.names_to_find(F.array(*map(F.lit, x)))
+    profiles = named.select("country").distinct().select("country", names("Argentina", "AR").alias("opponent"), names("Jordan", "JO").alias("own"), words.alias("words"))
+    return sections.section_hits(named, links.drop("host"), profiles)
+
+
+@query(f"with {SECTION_LINKS} select host as country, section, place, hit_id as position, key from first")
+def section_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Links of each site's first sections that are on the match, each article once."""
+    return _sections(spark, d)[0].select("country", "section", "place", "position", "key")
+
+
+@query(f"""with {SECTION_LINKS}, c as (select host, section, count(*) as article_links from met group by all), f as (select host, section, count(*) as links_found from first group by all)
+select a.host as country, a.section, place, coalesce(article_links, 0) as article_links, coalesce(links_found, 0) as links_found, case when coalesce(article_links, 0) > 0 then 'links' else 'no_links' end as outcome
+from asked a left join c using (host, section) left join f using (host, section)""")
+def section_probes(spark: SparkSession, d: str) -> DataFrame:
+    return _sections(spark, d)[1]
