@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.text import fold
-from heddle.operators import lookup, pipelines, ranking
+from heddle.operators import collect, lookup, pipelines, ranking, validators
 from heddle.plans.catalog import query
 from heddle.sources.sinks import shared_folder
 from heddle.sources.tables import load
@@ -129,3 +129,64 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     found = rows.groupBy("user_id", F.session_window("at", "6 hours")).agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
     return found.select("user_id", "first_event", "n")
+
+
+#: Orders as hits of a customer's queries, asked in the order of their priority; sites, texts and drafts follow from price and day.
+COLLECTED = """h as (select o_custkey as request, cast(o_orderpriority[1:1] as integer) as query, o_orderkey as seq, o_totalprice as price,
+ 'https://' || ['a.example', 'www.b.example', 'c.test'][1 + o_orderkey % 3] || '/' || case when o_totalprice > 60000 then 'sport/late-goal-decides-it-' || o_orderkey else 'tag' end as url,
+ case when o_orderstatus = 'F' then 'They won ' || o_custkey % 4 || '-' || o_orderkey % 3 || ' there.' when o_orderstatus = 'O' then 'No numbers here' end as page,
+ repeat('Words of the index. ', cast(floor(o_totalprice / 3000) as integer)) as indexed, 'T' || o_custkey % 9 as home, 'T' || o_orderkey % 5 as away, strftime(o_orderdate, '%Y-%m-%d') as day,
+ row_number() over (partition by o_custkey order by o_orderkey) as nth from orders),
+wanted as (select *, 'T' || request % 9 as want_a, 'T' || (request + 1) % 5 as want_b, case when request % 7 = 0 then [] else ['a.example', 'b.example'] end as domains from h)"""
+
+
+def _collected(spark: SparkSession, d: str) -> DataFrame:
+    k, order, price, status = F.col("o_custkey"), F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderstatus")
+    site = F.element_at(F.array(F.lit("a.example"), F.lit("www.b.example"), F.lit("c.test")), (1 + order % 3).cast("int"))
+    path = F.when(price > 60_000, F.concat(F.lit("sport/late-goal-decides-it-"), order)).otherwise("tag")
+    page = F.when(status == "F", F.concat(F.lit("They won "), k % 4, F.lit("-"), order % 3, F.lit(" there."))).when(status == "O", "No numbers here")
+    team = lambda n: F.concat(F.lit("T"), n)
+    return load(spark, d, "orders").select(
+        k.alias("request"), F.substring("o_orderpriority", 1, 1).cast("int").alias("query"), order.alias("seq"), F.concat(F.lit("https://"), site, F.lit("/"), path).alias("url"), page.alias("page"),
+        F.repeat(F.lit("Words of the index. "), F.floor(price / 3000).cast("int")).alias("indexed"), team(k % 9).alias("home"), team(order % 5).alias("away"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a.example"), F.lit("b.example"))).alias("domains"), price.alias("price"),
+    )
+
+
+FACTS = f"""{COLLECTED}, good as (select * from wanted where len(domains) > 0 and price > 60000 and seq % 3 < 2),
+asked as (select g.* from good g join (select request, min(query) as query from good group by request) m using (request, query)),
+read as (select *, case when page is not null and regexp_matches(page, '[0-9]-[0-9]') then page end as text, case when list_sort([home, away]) <> list_sort([want_a, want_b]) then 'teams' end as why from asked)"""
+
+
+def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("request")
+    text = pipelines.facts_text(F.col("page"), F.lit(None).cast("string"), F.lit(""), F.lit(""))
+    why = validators.draft_mismatch(F.col("home"), F.col("away"), F.col("day"), F.concat(F.lit("T"), k % 9), F.concat(F.lit("T"), (k + 1) % 5), F.lit(None).cast("string"))
+    return collect.facts(_collected(spark, d), "request", "query", "seq", "domains", text, why)
+
+
+@query(f"with {FACTS} select request, seq, query, text from (select *, row_number() over (partition by request order by seq) as r from read where text is not null and why is null) where r = 1")
+def collected_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the first query with articles of the provider's domains."""
+    return _facts(spark, d)[0].select("request", "seq", "query", "text")
+
+
+@query(f"""with {FACTS} select request, count(*) as hits, count(*) filter (text is null) as without_text, coalesce(string_agg(distinct case when text is not null then why end, ','), '') as reasons
+from read group by request having count(*) filter (text is not null and why is null) = 0""")
+def facts_notes(spark: SparkSession, d: str) -> DataFrame:
+    return _facts(spark, d)[1]
+
+
+@query(f"""with {COLLECTED}, b as (select *, case when price > 60000 and seq % 3 < 2 then 'outlet' end as provider, case when seq % 5 > 0 then left(indexed, 20000) end as ix, case when seq % 5 > 0 and indexed <> '' and seq % 2 = 0 then null else page end as pg from h),
+t as (select *, case when coalesce(length(nullif(ix, '')), -1) > coalesce(length(pg), -1) then ix else pg end as text, coalesce(page, '') = '' or seq % 4 > 0 as played, price < 300000 as quoted from b),
+k as (select *, case when coalesce(length(text), 0) < 900 then 1 else 0 end as thin from t where provider is not null),
+taken as (select * from (select *, row_number() over (partition by request order by thin, seq) as r from k where played and quoted) where r <= 2),
+saved as (select *, row_number() over (partition by request order by seq) as r from k where not played and request not in (select request from taken) and regexp_matches(coalesce(text, ''), '^They won (2-1|1-2) there'))
+select request, seq, thin = 1 as thin, false as rescued, r as rank from taken union all select request, seq, thin = 1, true, 1 from saved where r = 1""")
+def collected_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Two articles of each customer, full ones first; where there are none, one that has the score 2-1."""
+    seq = F.col("seq")
+    hits = _collected(spark, d).withColumn("provider_id", F.when((F.col("price") > 60_000) & (seq % 3 < 2), "outlet"))
+    text = collect.body(F.col("page"), F.when(seq % 5 > 0, F.col("indexed")), seq % 2 == 0)
+    played = (F.coalesce("page", F.lit("")) == "") | (seq % 4 > 0)
+    return collect.articles(hits.withColumn("text", text), "request", "seq", "text", played, F.col("price") < 300_000, F.lit("2"), F.lit("1"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import fixed, text
+from heddle.operators import mentions
 from heddle.plans.catalog import query
 from heddle.plans.hits import SCORE
 from heddle.sources.tables import load
@@ -110,3 +111,15 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 @query("""select conv_id, turn, replace(replace(text, 'the ', 'THE '), 'THE a', 'the A') as humanised from conversations""")
 def humanised(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "conversations").select("conv_id", "turn", text.replaced(F.col("text"), {"the ": "THE ", "THE a": "the A"}).alias("humanised"))
+
+
+@query(r"""with b as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as name from benchmark),
+w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as name, unnest(range(len(regexp_extract_all(lower(text), '[a-z0-9]+')))) as place from documents),
+f as (select doc_id, name, min(place) as place from w join b using (name) where length(name) >= 7 group by all)
+select doc_id, name, row_number() over (partition by doc_id order by place) as position from f""")
+def term_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Long words of the benchmark as a dictionary, and which of them each document mentions, in order."""
+    term = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("name")
+    terms = load(spark, d, "benchmark").select(term).where(F.length("name") >= 7).distinct()
+    docs = load(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return mentions.mentions(docs, terms.select(F.col("name").alias("alias"), "name"), "doc_id", "text")
