@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from heddle.functions import fixed
 from heddle.operators import assembly, chain, lookup, pipelines, validators
 from heddle.plans.catalog import query
-from heddle.plans.hits import BANNED
+from heddle.plans.hits import BANNED, sql_scores
 from heddle.sources.registry import registry
 from heddle.sources.tables import load
 
@@ -140,16 +140,16 @@ def _score_text() -> Column:
     return F.concat(start, F.col("o_custkey") % 4, mark, F.col("o_orderkey") % 3, F.lit("."))
 
 
-SCORED_ORDERS = """s as (select *, o_orderstatus <> 'F' as is_final, (o_custkey % 4 = 2 and o_orderkey % 3 = 1) or (o_custkey % 4 = 1 and o_orderkey % 3 = 2) as fits from orders)"""
+SCORED_ORDERS = f"""t as (select *, {SCORE_TEXT} as text from orders), s as (select *, {sql_scores("text")} as found from t)"""
 
 
-@query(f"""with {SCORED_ORDERS} select o_custkey % 300 as k, min(o_orderkey) as o_orderkey from s where is_final and fits group by all""")
+@query(f"""with {SCORED_ORDERS} select o_custkey % 300 as k, min(o_orderkey) as o_orderkey from s where list_has_any(found, ['2-1', '1-2']) group by all""")
 def resurrect_rejected(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "orders").select((F.col("o_custkey") % 300).alias("k"), "o_orderkey", _score_text().alias("text"))
     return pipelines.rescue(rows, "k", "o_orderkey", "text", F.lit("2"), F.lit("1")).select("k", "o_orderkey")
 
 
-@query(f"""with {SCORED_ORDERS} select o_orderdate, count(*) filter (is_final) = 0 or count(*) filter (is_final and fits) > 0 as consistent from s group by o_orderdate""")
+@query(f"""with {SCORED_ORDERS} select o_orderdate, count(*) filter (len(found) > 0) = 0 or count(*) filter (list_has_any(found, ['2-1', '1-2'])) > 0 as consistent from s group by o_orderdate""")
 def score_consistency(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "orders").select("o_orderdate", _score_text().alias("text"))
     return assembly.score_consistent(rows, "o_orderdate", "text", F.lit("2"), F.lit("1"))

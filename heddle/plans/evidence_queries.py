@@ -59,9 +59,10 @@ def latest_evidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence.latest(load(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["event_id", "value"])
 
 
-@query("""select s_suppkey, case when n_regionkey in (0, 1) then 'A' when n_regionkey in (2, 3) then 'B' end as tier,
-  case when n_regionkey not in (0, 1, 2, 3) then 'unknown_provider' when s_nationkey % 2 = 1 then 'domain_not_allowed' end as reason
-from supplier join nation on s_nationkey = n_nationkey""")
+@query("""with p as (select * from (values (0, 'A', 'one.example'), (1, 'A', 'one.example'), (2, 'B', 'one.example'), (3, 'B', 'one.example')) t(provider_id, tier, domain)),
+r as (select s_suppkey, n_regionkey as provider_id, 'https://' || case when s_nationkey % 2 = 0 then 'www.one.example' else 'other.test' end || '/x' as url from supplier join nation on s_nationkey = n_nationkey),
+h as (select *, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) as host from r)
+select s_suppkey, tier, case when tier is null then 'unknown_provider' when host <> domain and not ends_with(host, '.' || domain) then 'domain_not_allowed' end as reason from h left join p using (provider_id)""")
 def provider_checks(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "supplier").join(F.broadcast(load(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     host = F.when(F.col("s_nationkey") % 2 == 0, "www.one.example").otherwise("other.test")
@@ -114,8 +115,8 @@ def schedule_enrich(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with s as (select s_suppkey as slide_id, s_nationkey as claim_id, case when s_suppkey % 2 = 0 then 'As FRANCE and ' || s_name || ' say' else 'nothing' end as headline from supplier),
 q as (select n_nationkey as quote_id, n_nationkey + 20 as claim_id, lower(n_name) as outlet from nation)
-select slide_id, coalesce(c.quote_id, o.quote_id) as quote_id from s left join q c on c.claim_id = s.claim_id
-left join q o on o.outlet = 'france' and contains(lower(s.headline), 'france')""")
+select slide_id, coalesce(any_value(c.quote_id), min(o.quote_id)) as quote_id from s left join q c on c.claim_id = s.claim_id
+left join q o on list_contains(string_split_regex(lower(s.headline), '[^a-z0-9]+'), o.outlet) group by slide_id""")
 def slide_quotes(spark: SparkSession, d: str) -> DataFrame:
     headline = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("As FRANCE and "), "s_name", F.lit(" say"))).otherwise("nothing")
     slides = load(spark, d, "supplier").select(F.col("s_suppkey").alias("slide_id"), F.col("s_nationkey").alias("claim_id"), headline.alias("headline"))

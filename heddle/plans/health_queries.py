@@ -88,8 +88,10 @@ def run_episodes(spark: SparkSession, d: str) -> DataFrame:
     return ev.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(F.col("outcome") == "botblock").alias("blocked"), F.count_if(F.col("outcome") == "transient").alias("transient"), F.array_join(F.array_sort(F.collect_set("outcome")), ",").alias("outcomes"))
 
 
-@query(f"""with {STREAK}, ranked as (select outcome, n, user_id from streak where n >= 3) select outcome, count(*) as sources, max(n) as longest, string_agg(user_id, ',' order by user_id) as ids from ranked group by outcome""")
+@query(f"""with {STREAK}, long as (select * from streak where n >= 3), per as (select outcome, count(*) as sources, max(n) as longest from long group by outcome)
+select user_id, outcome, n, since, sources, longest from long join per using (outcome)""")
 def health_advisories(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each source that is reported, with how many have its outcome: no list of them all in one cell."""
     run = health.streaks(_events(spark, d), ["user_id"], ["ts", "event_id"], "outcome", "day").where(F.col("n") >= 3)
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("user_id")), lambda x: x.cast("string")), ",")
-    return run.groupBy("outcome").agg(F.count("*").alias("sources"), F.max("n").alias("longest"), ids.alias("ids"))
+    per = run.groupBy("outcome").agg(F.count("*").alias("sources"), F.max("n").alias("longest"))
+    return run.join(per, "outcome").select("user_id", "outcome", "n", "since", "sources", "longest")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.functions import fixed
 from heddle.sources.tables import load
 
 SITES = ["www.harbour-gazette.example", "kickoff.example", "m.daily-lantern.example", "sportwetten.example", "resultater.fjord.example", "ledger.example"]
@@ -72,3 +73,15 @@ URL_DATE = r"""list_max(list_concat(
  list_transform(regexp_extract_all(url, '/(2[4-9](?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]))\d{3}(?:/|$|\?)', 1), lambda x: '20' || substr(x, 1, 2) || '-' || substr(x, 3, 2) || '-' || substr(x, 5, 2))))"""
 #: The URL without its dates, folded with the title before it.
 SLUG = r"""translate(lower(strip_accents(title || ' ' || regexp_replace(regexp_replace(regexp_replace(url, '/20\d{2}[/-](0[1-9]|1[0-2])[/-](0[1-9]|[12]\d|3[01])', ' ', 'g'), '20\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])', ' ', 'g'), '/2[4-9](0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\d{3}(/|$|\?)', ' ', 'g'))), '-_', '  ')"""
+
+
+def sql_scores(column: str) -> str:
+    """The list of "a-b" of a text's sentences that are not on a partial score. At most one stands in each."""
+    from heddle.functions.text import quoted
+
+    partial = "|".join(map(quoted, (*fixed.HALF_TIME, *fixed.SHOOT_OUT, *fixed.EXTRA_TIME))).replace("'", "''")
+    found = r"(^|[^0-9-])([0-9]{1,2})\s*[-:]\s*([0-9]{1,2})([^0-9-]|$)"
+    folded = "replace(translate(lower(strip_accents(s)), 'łø', 'lo'), 'ß', 'ss')"
+    number = lambda k: f"regexp_extract(s, '{found}', {k})"
+    score = f"case when try_cast({number(2)} as integer) <= {fixed.MAX_SCORE} and try_cast({number(3)} as integer) <= {fixed.MAX_SCORE} then {number(2)} || '-' || {number(3)} end"
+    return f"list_distinct(list_filter(list_transform(list_filter(string_split_regex({column}, '[.;!?\n]'), lambda s: not regexp_matches({folded}, '{partial}')), lambda s: {score}), lambda x: x is not null))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions import fixed, text
 from heddle.operators import mentions
 from heddle.plans.catalog import query
-from heddle.plans.hits import SCORE
+from heddle.plans.hits import SCORE, sql_scores
 from heddle.sources.tables import load
 
 
@@ -45,10 +45,10 @@ def _scored(rows: DataFrame) -> DataFrame:
 
 
 @query(f"""with s as (select l_orderkey, l_linenumber, l_partkey, l_linenumber || '-' || cast(l_quantity as integer) % 20 as a, (l_partkey % 4) || '-' || (l_partkey % 3) as b from lineitem),
-k as (select *, l_partkey % 6 as x, (l_partkey // 6) % 6 as y from s),
-f as (select *, case when x in (0, 2) and try_cast(split_part(a, '-', 2) as integer) <= 15 then a end as p, case when y in (0, 2) then b end as q from k)
-select l_orderkey, l_linenumber, l_partkey, cast(case when p is null then 0 else 1 end + case when q is null or q = p then 0 else 1 end as bigint) as n_scores,
- coalesce(p in ('2-1', '1-2') or q in ('2-1', '1-2'), false) as has_final from (select *, row_number() over (partition by l_orderkey, l_linenumber, l_partkey order by a) as r from f) where r = 1""")
+k as (select *, replace({SENTENCES}[1 + l_partkey % 6], '{{}}', a) || '. ' || replace({SENTENCES}[1 + l_partkey // 6 % 6], '{{}}', b) || '!' as line from s),
+f as (select *, {sql_scores("line")} as found from k)
+select l_orderkey, l_linenumber, l_partkey, len(found) as n_scores, list_has_any(found, ['2-1', '1-2']) as has_final
+from (select *, row_number() over (partition by l_orderkey, l_linenumber, l_partkey order by a) as r from f) where r = 1""")
 def score_mentions(spark: SparkSession, d: str) -> DataFrame:
     return _scored(load(spark, d, "lineitem"))
 
@@ -101,7 +101,9 @@ def verbatim_quotes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", text.contains_verbatim(F.col("text"), quote).alias("verbatim"))
 
 
-@query("""select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, event_id % 3 <> 2 as is_object from events""")
+@query(r"""with r as (select event_id, props, case event_id % 3 when 0 then props when 1 then '```json' || chr(10) || props || chr(10) || '```' else '[' || props || ']' end as raw from events),
+b as (select *, case when regexp_matches(raw, '(?s)```(json)?\s*\{.*\}\s*```') then regexp_extract(raw, '(?s)```(json)?\s*(\{.*\})\s*```', 2) else trim(raw, chr(32) || chr(10) || chr(9) || chr(13)) end as body from r)
+select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, coalesce(json_valid(body) and json_type(body) = 'OBJECT', false) as is_object from b""")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 3
     raw = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
