@@ -128,11 +128,16 @@ def banned_pattern(phrase: str) -> str | None:
 
 
 def banned_hits(text: Column, phrases: tuple[str, ...]) -> Column:
-    """Sorted array of the phrases that the text has."""
+    """Sorted array of the phrases that the text has. One pass finds where any of them begins; each is then looked for in these few
+    snippets only, which are as long as a phrase can be."""
     patterns = [(p, x) for x in phrases if (p := banned_pattern(x))]
     if not patterns:
         return F.array().cast("array<string>")
-    return let(fold(text), lambda folded: F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(folded.rlike(p), F.lit(x)) for p, x in patterns))))))
+    stems = tuple(fold_python(x).strip() for x in phrases if fold_python(x).strip())
+    begins = "(?s)(?<![a-z0-9])(?=(" + any_of(stems) + ".{0,5}))"
+    snippets = F.array_distinct(F.regexp_extract_all(fold(text), F.lit(begins), F.lit(1)))
+    has = lambda found, p: F.exists(found, lambda s: s.rlike("^" + p))
+    return let(snippets, lambda found: F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(has(found, p), F.lit(x)) for p, x in patterns))))))
 
 
 def scores(text: Column) -> Column:

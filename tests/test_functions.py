@@ -123,3 +123,19 @@ def test_words_found_in_one_pass(spark):
     for words in lists.values():
         for blob, has in df.select("blob", text.among(F.col("found"), words, every)).collect():
             assert has == any(re.search(f"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])", blob or "") is not None for w in words), (blob, words)
+
+
+def test_banned_stems_equal_a_pattern_each(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from heddle.functions import text
+
+    rng, phrases = random.Random(2), ("ab", "abc", "a b", "über!", "ab cab", "c-", "É", "  ")
+    texts = ["".join(rng.choices("abc über!-\nÉx", k=rng.randint(0, 30))) for _ in range(1500)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, hits in df.select("t", text.banned_hits(F.col("t"), phrases)).collect():
+        folded = text.fold_python(t or "")
+        assert hits == sorted(x for x in phrases if (p := text.banned_pattern(x)) and re.search(p, folded)), t
