@@ -222,34 +222,6 @@ def links(nodes: DataFrame, max_diff: int) -> DataFrame:
     return pairs.where(within).where(F.bit_count(diff) <= max_diff).select("a", "b")
 
 
-def shingle_set(text: bytes, width: int) -> set[bytes]:
-    words = text.lower().split()
-    if len(words) < width:
-        return {b" ".join(words)} if words else set()
-    return set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
-
-
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes for whose texts (node, text) the shingle sets have this Jaccard
-    similarity."""
-    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-
-    def make():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep, last, x = [], None, set()
-            for s, t in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if s != last:
-                    x, last = shingle_set(s.encode(), width), s
-                y = shingle_set(t.encode(), width)
-                both = len(x & y)
-                keep.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
-            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return one
-
-    return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b"), make, "a long, b long")
-
-
 def common_shingles(df: DataFrame, n: int, width: int, text_col: str) -> np.ndarray:
     """Sorted hashes of the shingles that COMMON texts or more of a sample have, at
     most SAMPLE_TEXTS / COMMON times the shingles of a text."""
@@ -427,17 +399,12 @@ def similar_pairs(df: DataFrame, rows: DataFrame, width: int, similarity: float,
     return linked.unionAll(_compare(rest.join(texts, "node"), similarity, width))
 
 
-def near_duplicates(df: DataFrame, width: int = 5, max_diff: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint hex string, component_id) for each row. With ``similarity``, links also
-    need that Jaccard similarity of the shingle sets."""
-    if similarity is None:
-        rows = materialise(fingerprints(df, width, id_col, text_col).withColumn("node", F.col("fp")))
-    else:
-        rows = materialise(_prints_and_sets(df, width, id_col, text_col))
+def near_duplicates(df: DataFrame, width: int = 5, max_diff: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint hex string, component_id) for each row; fingerprints are linked, whatever their texts. ``deduplicate``
+    links by the similarity of texts."""
+    rows = materialise(fingerprints(df, width, id_col, text_col).withColumn("node", F.col("fp")))
     prints = materialise(rows.select("fp").distinct())
     pairs = links(prints, max_diff)
-    if similarity is not None:
-        pairs = _between_sets(df, rows, pairs, similarity, width, id_col, text_col)
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("root")))
     labels = connected_components(pairs)
     named = materialise(nodes.join(labels, "node", "left").select("node", "root", F.coalesce("label", "node").alias("label")))
@@ -447,33 +414,6 @@ def near_duplicates(df: DataFrame, width: int = 5, max_diff: int = 2, similarity
     return rows.join(of, "node").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
-def _prints_and_sets(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash, fp, node): a row's fingerprint, and a name of it and its shingle set."""
-
-    def make():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            values = batch.column("text").to_pylist()
-            prints = np.array([fingerprint(x, width) for x in values], np.uint64)
-            sets = np.array([set_name(shingle_hashes(x, width)) for x in values], np.uint64)
-            columns = [batch.column("id"), batch.column("hash"), *(pa.array(c.view(np.int64), pa.int64()) for c in (prints, sets ^ prints * MIX[0]))]
-            return pa.record_batch(columns, ["id", "hash", "fp", "node"])
-
-        return one
-
-    rows = df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("hash"), filled(text_col).cast("binary").alias("text"))
-    return map_batches(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, hash long, fp long, node long")
-
-
-def _between_sets(df: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs of nodes, of linked fingerprints or of one, that have the similarity."""
-    nodes = materialise(rows.select("fp", "node").distinct())
-    x, y = nodes.toDF("a_fp", "a"), nodes.toDF("b_fp", "b")
-    both = pairs.distinct().toDF("a_fp", "b_fp").join(x, "a_fp").join(y, "b_fp").select("a", "b")
-    same = x.join(y, F.col("a_fp") == F.col("b_fp")).where("a < b").select("a", "b")
-    found = materialise(both.unionAll(same))
-    return similar(found, _texts_of(df, rows, found, id_col, text_col), similarity, width)
-
-
 def deduplicate(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of near-duplicates: that of the smallest id (null last),
     then name of the shingle set, then hash of the text. Of rows that repeat with their id, one

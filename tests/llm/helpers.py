@@ -19,3 +19,10 @@ def no_rows(spark):
 
 def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shingle_set(text, width):
+    words = text.lower().split()
+    if len(words) < width:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))

@@ -1,9 +1,9 @@
 import corpus_pipeline as pipeline
-from helpers import ODD, no_rows, odd_rows, table
+from helpers import ODD, no_rows, odd_rows, shingle_set, table
 from pyspark.sql import functions as F
 from test_packing import check
 
-from heddle.llm import line_dedup, quality, secret_scan, simhash
+from heddle.llm import line_dedup, quality, secret_scan
 from heddle.llm.common import materialise
 
 
@@ -35,7 +35,7 @@ def test_stages_take_effect(spark, small):
     assert sum(i in good for i, q in labels.items() if q) >= 0.99 * sum(labels.values())
     assert lines == {r.doc_id: r.text for r in line_dedup.drop_boilerplate(seen[1]).collect()} and lines.keys() == good.keys()
     assert len(set(unique.values())) == len(unique)
-    sets = {i: simhash.shingle_set(x.encode(), 5) for i, x in lines.items()}
+    sets = {i: shingle_set(x.encode(), 5) for i, x in lines.items()}
     alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     for i in lines.keys() - unique.keys():
         assert any(j < i and alike(i, j) for j in lines) or any(j != i and alike(i, j) for j in lines)
