@@ -47,11 +47,17 @@ def winner(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return rows.groupBy(*key).agg(best).select(*key, f"best.{value}", "best.sources", "best.first_seq")
 
 
-def check_providers(rows: DataFrame, providers: DataFrame, url: str = "url", provider: str = "provider_id") -> DataFrame:
-    """Rows with tier and reason: null if the provider is known and the URL is in its domains."""
-    joined = rows.join(providers.select(provider, "tier", "domains"), provider, "left")
-    reason = F.when(F.col("tier").isNull(), "unknown_provider").when(~domain_allowed(F.col(url), F.col("domains")), "domain_not_allowed")
-    return joined.withColumn("reason", reason).drop("domains")
+def check_providers(rows: DataFrame, providers: DataFrame, url: str = "url", provider: str = "provider_id", declared: str | None = None) -> DataFrame:
+    """Rows with tier and reason: null if the provider is known, has the tier that the row declares (where ``declared`` names that column) and
+    the URL is in its domains."""
+    known = providers.select(F.col(provider).alias("__provider"), F.col("tier").alias("__tier"), F.col("domains").alias("__domains"))
+    joined = rows.join(known, F.col(provider) == F.col("__provider"), "left")
+    reason = F.when(F.col("__tier").isNull(), "unknown_provider")
+    if declared is not None:
+        reason = reason.when(~F.col(declared).eqNullSafe(F.col("__tier")), "tier_mismatch")
+    reason = reason.when(~domain_allowed(F.col(url), F.col("__domains")), "domain_not_allowed")
+    names = [c for c in rows.columns if c not in ("tier", "reason")]
+    return joined.select(*(F.col(c) for c in names), F.col("__tier").alias("tier"), reason.alias("reason"))
 
 
 def claim_ids(rows: DataFrame, entity: str, ids: str) -> DataFrame:
