@@ -87,7 +87,8 @@ class StagedSearch(ds.DataSource):
         return ", ".join(f"{f} string" for f in FIELDS)
 
     def reader(self, schema) -> StagedReader:
-        return StagedReader(dict(self.options))
+        options = dict(self.options)
+        return FilteringReader(options) if options.get("push_filters") == "true" else StagedReader(options)
 
 
 class StagedReader(ds.DataSourceReader):
@@ -98,14 +99,6 @@ class StagedReader(ds.DataSourceReader):
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
         self.tests: list[tuple[int, type, object, bool]] = []
 
-    def pushFilters(self, filters: list[ds.Filter]) -> Iterator[ds.Filter]:
-        for f in filters:
-            test = taken(f)
-            if test is None:
-                yield f
-            else:
-                self.tests.append(test)
-
     def _system(self):
         from pyarrow import fs
 
@@ -156,9 +149,21 @@ class StagedReader(ds.DataSourceReader):
                         yield row
 
 
+class FilteringReader(StagedReader):
+    """A reader that takes filters; Spark asks one only where its setting allows it, and fails otherwise."""
+
+    def pushFilters(self, filters: list[ds.Filter]) -> Iterator[ds.Filter]:
+        for f in filters:
+            test = taken(f)
+            if test is None:
+                yield f
+            else:
+                self.tests.append(test)
+
+
 def searched(spark: SparkSession, folder: str, domains: list[str] = (), limit: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The staged results of a folder (query, url, title, snippet, published_at, raw_content)."""
     spark.dataSource.register(StagedSearch)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = spark.read.format("staged_search").option("path", folder).option("domains", ",".join(domains)).option("split_bytes", split_bytes)
+    reader = spark.read.format("staged_search").option("path", folder).option("domains", ",".join(domains)).option("split_bytes", split_bytes).option("push_filters", "true")
     return (reader.option("limit", limit) if limit is not None else reader).load()
