@@ -13,7 +13,7 @@ from heddle.sources.sinks import shared_folder
 from heddle.sources.tables import load
 from heddle.streaming import cache
 from heddle.streaming import health as stream
-from heddle.streaming.stateful import drained
+from heddle.streaming.stateful import drained, keyed_state
 
 
 @query("""with d as (select l_partkey % 500 as k, l_suppkey, l_orderkey * 10 + l_linenumber as seq, (l_orderkey % 3) || '-' || (l_partkey % 2) as score from lineitem),
@@ -96,7 +96,8 @@ def stream_health(spark: SparkSession, d: str) -> DataFrame:
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
 
-    started = stream.windows(rows, "user_id").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    with keyed_state(spark):
+        started = stream.windows(rows, "user_id").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     started.awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     last = out.groupBy("key").agg(F.max("batch").alias("batch"))

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from heddle.streaming.stateful import prepared
-
 OUT = "seq long, hit boolean"
 
 
@@ -54,8 +52,7 @@ class Cache(StatefulProcessor):
 
 def hits(rows: DataFrame, key: list[str], at: str, seq: str, seconds: int, cacheable: str, late: str = "0 seconds") -> DataFrame:
     """The stream's rows as (seq, hit), as ``caches.ttl_hits`` has them of a table. Rows of one batch are taken in their order; rows that come
-    later than the watermark allows are left out, as Spark does with late rows."""
-    prepared(rows.sparkSession)
+    later than the watermark allows are left out, as Spark does with late rows. Start it within ``keyed_state``."""
     given = rows.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
     narrow = given.select("__at", *(F.col(k) for k in key), F.unix_micros("__at").alias("micros"), F.col(seq).cast("long").alias("seq"), F.col(cacheable).alias("cacheable"))
     return narrow.groupBy(*key).transformWithStateInPandas(Cache(seconds), OUT, "Append", "EventTime")

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from heddle.functions.fixed import HEALTH_WINDOW
-from heddle.streaming.stateful import prepared
 
 FIELDS = {"micros": "long", "event_id": "long", "outcome": "string", "day": "string"}
 
@@ -50,8 +49,7 @@ class Health(StatefulProcessor):
 
 
 def windows(events: DataFrame, key: str, more: dict[str, str] | None = None) -> DataFrame:
-    """Stream of events (key, event_id, ts, outcome, day and ``more`` fields) to each touched key's whole window."""
-    prepared(events.sparkSession)
+    """Stream of events (key, event_id, ts, outcome, day and ``more`` fields) to each touched key's whole window. Start it within ``keyed_state``."""
     extra = more or {}
     rows = events.select(F.col(key).cast("long").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id", "outcome", "day", *extra)
     out = ", ".join(f"{n} {kind}" for n, kind in ({"key": "long"} | dict(list((FIELDS | extra).items())[1:]) | {"age": "long"}).items())

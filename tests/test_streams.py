@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.streaming import cache, health
-from heddle.streaming.stateful import drained
+from heddle.streaming.stateful import drained, keyed_state
 
 EVENT = "event_id long, user long, ts timestamp, outcome string, day string"
 
@@ -27,7 +27,8 @@ def collect_windows(spark, folder, batches, schema=EVENT, more=None):
     for rows in batches:
         feed(spark, folder, rows, schema)
         arriving = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        started = health.windows(arriving, "user", more).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        with keyed_state(spark):
+            started = health.windows(arriving, "user", more).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         started.awaitTermination()
     return {key: sorted(seen[key, max(n for k, n in seen if k == key)], key=lambda e: -e[-1]) for key in {k for k, _ in seen}}
 
