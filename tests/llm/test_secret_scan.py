@@ -132,16 +132,16 @@ def test_long_values_are_learnt_from(spark):
 def test_a_text_of_very_many_spans_takes_linear_time():
     import time
 
-    model = secret_scan.fit({"k": ["AKIA" + "Q7" * 8, "AKIA" + "X3" * 8]}, ["ordinary_token_of_words"] * 3)
+    model = s.fit({"k": ["AKIA" + "Q7" * 8, "AKIA" + "X3" * 8]}, ["ordinary_token_of_words"] * 3)
     text = "".join(f"{k:064x}  file{k:05}_with_a_name\n" for k in range(200_000))
     began = time.perf_counter()
-    found = secret_scan.spans(text, model)
+    found = s.spans(text, model)
     assert time.perf_counter() - began < 40
     assert sum(kind == "hex" for *_, kind in found) == 200_000
 
 
 def test_candidates_that_overlap_base_spans_are_not_apart():
     text = "token: abcdefgh12345678/abcdefgh12345678 zzzz " + "ab" * 16 + " plain_token_of_words_here " + "AKIA" + "B" * 20 + "=="
-    base = secret_scan.base_spans(text)
-    for m, apart in secret_scan._apart(text, base):
-        assert apart == all(m.end() <= s or e <= m.start() for s, e, _ in base)
+    base = s.base_spans(text)
+    for m, apart in s._apart(text, base):
+        assert apart == all(m.end() <= begin or end <= m.start() for begin, end, _ in base)
