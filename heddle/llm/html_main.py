@@ -301,3 +301,21 @@ def main_text(df: DataFrame, html_col: str = "html", text_col: str = "text") ->
     fields = [df.schema[c] for c in names]
     schema = StructType([*fields, StructField(text_col, StringType()), StructField("n_blocks", LongType()), StructField("n_kept", LongType())])
     return map_batches(df.select(*names, html_col), make, schema)
+
+
+#: For pages of one template, as the test tables have them: their main text is all in one article of plain paragraphs. It is cut
+#: out by its tags there, with nothing said of blocks.
+ORACLE = r"""
+with found as (
+  select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*$', '') as inside from pages
+), parts as (
+  select page_id, url, list_transform(string_split_regex(inside, '</?(?:p|h1)>'), lambda x: replace(replace(x, '<br>', ' '), '<b>', '')) as parts from found
+), plain as (
+  select page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(replace(replace(x, '&quot;', '"'), '&amp;', '&'), '&quot$', '"'), '&amp$', '&')) as parts from parts
+), clean as (
+  select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(x, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) as parts from plain
+), kept as (
+  select page_id, url, list_filter(parts, lambda x: x <> '') as parts from clean
+)
+select page_id, url, array_to_string(parts, chr(10)) as text, cast(length(array_to_string(parts, chr(10))) as bigint) as n_chars, len(parts) as n_blocks, len(parts) as n_kept from kept
+"""

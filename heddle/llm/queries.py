@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.common import table
+from heddle.llm.html_main import ORACLE as MAIN_TEXT_SQL
 from heddle.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
 from heddle.llm.spelling import ORACLE as SPELLING_SQL
 from heddle.llm.url_lists import ORACLE as URL_LISTS_SQL
@@ -124,4 +125,5 @@ ORACLES: dict[str, str] = {
     "op9_temporal_url_lists": URL_LISTS_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
     "op12_spelling_variants": SPELLING_SQL,
+    "op13_main_text": MAIN_TEXT_SQL,
 }

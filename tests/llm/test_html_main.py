@@ -3,10 +3,11 @@ import re
 import time
 
 from helpers import no_rows, table
+from oracle import compare
 from pyspark.sql import functions as F
 
 from heddle.llm import html_main
-from heddle.llm.queries import QUERIES
+from heddle.llm.queries import ORACLES, QUERIES
 
 P1 = "The first paragraph of the story is about the town and its people, and it is long enough to be told apart from a menu by the words that are in it, as it has many of them."
 P2 = "On the next day, the council was to meet at the hall, but not all of them had come, so that it was put off for a week. It is said that they will be there by then, with or without the others."
@@ -91,6 +92,8 @@ def test_whole_table(spark, small):
     pages = table(spark, small, "pages").collect()
     got = {(r.page_id, r.url, r.text, r.n_chars) for r in QUERIES["op13_main_text"](spark, small).collect()}
     assert got == {(r.page_id, r.url, by_structure(r.html), len(by_structure(r.html))) for r in pages} and len(pages) == len(got)
+    got, expected = compare(QUERIES["op13_main_text"](spark, small), ORACLES["op13_main_text"], small)
+    assert got == expected
 
 
 def test_odd_rows(spark):
