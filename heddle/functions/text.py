@@ -142,7 +142,8 @@ def banned_hits(text: Column, phrases: tuple[str, ...]) -> Column:
 
 def scores(text: Column) -> Column:
     """Distinct "a-b" of the scores up to 15 in the text, but for sentences on a partial score."""
-    sentences = F.split(text, r"[.;!?\n]")
+    # sentences without one are not folded
+    sentences = F.filter(F.split(text, r"[.;!?\n]"), lambda s: s.rlike(r"\d\s*[-:]\s*\d"))
     plain = F.transform(sentences, lambda s: F.struct(s.alias("raw"), F.replace(F.translate(fold_jvm(s), "łø", "lo"), F.lit("ß"), F.lit("ss")).alias("folded")))
     partial = "|".join(map(quoted, (*fixed.HALF_TIME, *fixed.SHOOT_OUT, *fixed.EXTRA_TIME)))
     final = F.filter(plain, lambda s: ~s["folded"].rlike(partial))
