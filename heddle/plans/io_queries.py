@@ -138,7 +138,7 @@ def staged_search(spark: SparkSession, d: str) -> DataFrame:
     folder = sinks.shared_folder(spark, "search")
     content = F.when(F.col("hit_id") % 3 == 1, F.concat("title", F.lit(" at length"))).when(F.col("hit_id") % 3 == 2, F.concat("title", F.lit(" at length"))).otherwise("  ")
     hits(spark, d).select("url", "title", F.col("published").alias("published_at"), content.alias("raw_content")).write.json(folder)
-    found = search.searched(spark, folder, _SEARCHED, split_bytes=1 << 18)
+    found = search.searched(spark, folder, _SEARCHED, split_bytes=1 << 22)
     return found.where((F.col("published_at") >= "2019-01-01") & ~F.contains("title", F.lit("Harvest"))).select("url", "title", "published_at", "raw_content")
 
 
