@@ -147,8 +147,9 @@ select query, url from (select *, row_number() over (partition by query order by
 def capped_search(spark: SparkSession, d: str) -> DataFrame:
     """Five answers of allowed domains to each query, whose answers are a file."""
     folder = sinks.shared_folder(spark, "search")
-    rows = hits(spark, d).select("hit_id", F.substring("title", 1, 4).alias("query"), "url").withColumn("part", F.col("query"))
-    rows.repartition(F.col("query")).sortWithinPartitions("query", "hit_id").drop("hit_id").write.partitionBy("part").json(folder)
+    rows = hits(spark, d).select("hit_id", F.substring("title", 1, 4).alias("query"), "url").withColumn("part", F.coalesce("query", F.lit("none")))
+    # by "part" first and without nulls: else the writer sorts by it again, and the order within a part is lost where that sort spills
+    rows.repartition(F.col("part")).sortWithinPartitions("part", "hit_id").drop("hit_id").write.partitionBy("part").json(folder)
     return search.searched(spark, folder, _SEARCHED, limit=5).select("query", "url")
 
 

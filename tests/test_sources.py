@@ -136,3 +136,17 @@ def test_versions_are_whole(spark, tmp_path):
     assert dict(rows())["k2"] == 2 and table.upsert(frame(9, ("k2", 4)), "seq") == 4 and dict(rows())["k2"] == 4
     table.forget(1)
     assert table.versions() == [4] and dict(rows())["k2"] == 4 and len(rows()) == 41
+
+
+def test_answers_keep_their_order_where_sorts_spill(spark, small):
+    from oracle import compare
+
+    from heddle.plans import catalog
+
+    conf, name = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(name, "40")
+    try:
+        got, expected = compare(catalog.QUERIES["capped_search"](spark, small), catalog.ORACLES["capped_search"], small)
+    finally:
+        conf.remove(name)
+    assert got == expected
