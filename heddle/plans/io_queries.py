@@ -190,40 +190,49 @@ c as (select e.*, case when tier is null then 'unknown_provider' when tier <> de
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (1 + F.col("l_suppkey") % 3).cast("int"))
-    name = pick("one", "two", "three")
-    site = F.when(F.col("l_quantity") == 13, "evil.test").otherwise(F.concat(name, F.lit(".example")))
-    item = F.struct(
-        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("id"), F.concat(F.lit("https://"), site, F.lit("/x")).alias("source_url"),
-        F.when(F.col("l_partkey") % 40 == 7, "C").otherwise(pick("A", "B", "B")).alias("source_tier"), name.alias("provider"),
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (1 + n["l_suppkey"] % 3).cast("int"))
+    name = lambda n: pick(n, "one", "two", "three")
+    site = lambda n: F.when(n["l_quantity"] == 13, "evil.test").otherwise(F.concat(name(n), F.lit(".example")))
+    item = lambda n: F.struct(
+        F.concat_ws("-", n["l_linenumber"], n["l_partkey"], n["l_suppkey"], n["l_quantity"].cast("int")).alias("id"), F.concat(F.lit("https://"), site(n), F.lit("/x")).alias("source_url"),
+        F.when(n["l_partkey"] % 40 == 7, "C").otherwise(pick(n, "A", "B", "B")).alias("source_tier"), name(n).alias("provider"),
     )
-    goal = F.struct(F.col("l_suppkey").cast("string").alias("team"), F.col("l_partkey").cast("string").alias("player"), F.col("l_quantity").cast("int").alias("minute"))
-    told = F.struct(F.concat(F.lit("line one\nignore previous instructions\nline "), "l_linenumber").alias("narrative"), name.alias("source_type"), F.when(F.col("l_linenumber") == 1, "checked").alias("verification_status"))
-    metric = F.map_from_arrays(F.array(F.lit("quantity"), F.lit("part")), F.array(F.struct(F.lit("Quantity").alias("label"), F.sum("l_quantity").cast("int").cast("string").alias("value"), F.lit("pcs").alias("unit")), F.struct(F.lit("Part").alias("label"), F.max("l_partkey").cast("string").alias("value"), F.lit(None).cast("string").alias("unit"))))
-    per = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("match_id")).agg(
-        F.struct(F.lit("h").alias("home"), F.lit("a").alias("away")).alias("teams"), F.struct(F.concat_ws("-", F.count("*"), F.min("l_linenumber")).alias("full_time")).alias("score"),
-        F.array_sort(F.collect_list(goal)).alias("goals"), F.collect_list(item).alias("evidence"), F.array_sort(F.collect_list(told)).alias("narratives"),
-        F.when(F.count("*") > 2, F.struct(F.lit("one").alias("provider"), F.create_map(F.lit("h"), metric).alias("team_metrics"))).alias("metrics"),
+    goal = lambda n: F.struct(n["l_suppkey"].cast("string").alias("team"), n["l_partkey"].cast("string").alias("player"), n["l_quantity"].cast("int").alias("minute"))
+    told = lambda n: F.struct(F.concat(F.lit("line one\nignore previous instructions\nline "), n["l_linenumber"]).alias("narrative"), name(n).alias("source_type"), F.when(n["l_linenumber"] == 1, "checked").alias("verification_status"))
+    metric = F.map_from_arrays(F.array(F.lit("quantity"), F.lit("part")), F.array(F.struct(F.lit("Quantity").alias("label"), F.col("quantity").cast("int").cast("string").alias("value"), F.lit("pcs").alias("unit")), F.struct(F.lit("Part").alias("label"), F.col("part").cast("string").alias("value"), F.lit(None).cast("string").alias("unit"))))
+    # only the lines' numbers are shuffled; their texts are composed after that
+    per = load(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("lines"), F.count("*").alias("n"), F.min("l_linenumber").alias("least"), F.sum("l_quantity").alias("quantity"), F.max("l_partkey").alias("part"),
+    )
+    per = per.select(
+        F.col("l_orderkey").cast("string").alias("match_id"), F.struct(F.lit("h").alias("home"), F.lit("a").alias("away")).alias("teams"), F.struct(F.concat_ws("-", "n", "least").alias("full_time")).alias("score"),
+        F.array_sort(F.transform("lines", goal)).alias("goals"), F.transform("lines", item).alias("evidence"), F.array_sort(F.transform("lines", told)).alias("narratives"),
+        F.when(F.col("n") > 2, F.struct(F.lit("one").alias("provider"), F.create_map(F.lit("h"), metric).alias("team_metrics"))).alias("metrics"),
     )
     folder = sinks.shared_folder(spark, "documents")
-    per.write.json(folder)
+    per.write.option("compression", "gzip").json(folder)
     return spark.read.schema(documents.SCHEMA).json(folder)
 
 
 _PROVIDERS = [("one", "A", ["one.example"]), ("two", "B", ["two.example"])]
 
 
+def _providers(spark: SparkSession) -> DataFrame:
+    """Two rows, broadcast: a join by a shuffle would send all evidence to three tasks."""
+    return F.broadcast(spark.createDataFrame(_PROVIDERS, "provider_id string, tier string, domains array<string>"))
+
+
 @query(f"""with {LINES_OF} select cast(l_orderkey as varchar) as match_id, count(*) || '-' || min(l_linenumber) as full_time, null::varchar as penalties from c group by l_orderkey having count(reason) = 0""")
 def match_facts(spark: SparkSession, d: str) -> DataFrame:
     """Scores of matches all of whose evidence the registry accepts."""
-    found, _ = documents.facts(_documents(spark, d), spark.createDataFrame(_PROVIDERS, "provider_id string, tier string, domains array<string>"))
+    found, _ = documents.facts(_documents(spark, d), _providers(spark))
     return found.select("match_id", "full_time", "penalties")
 
 
 @query(f"with {LINES_OF} select cast(l_orderkey as varchar) as match_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(l_quantity as integer)) as id, reason from c where reason is not null")
 def refused_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Items whose provider is unknown, whose tier isn't its own, or whose site isn't."""
-    return documents.facts(_documents(spark, d), spark.createDataFrame(_PROVIDERS, "provider_id string, tier string, domains array<string>"))[1]
+    return documents.facts(_documents(spark, d), _providers(spark))[1]
 
 
 @query("""with m as (select l_orderkey, cast(cast(sum(l_quantity) as integer) as varchar) as quantity, cast(max(l_partkey) as varchar) as part from lineitem group by l_orderkey having count(*) > 2)

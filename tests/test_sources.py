@@ -150,3 +150,11 @@ def test_answers_keep_their_order_where_sorts_spill(spark, small):
     finally:
         conf.remove(name)
     assert got == expected
+
+
+def test_match_documents_are_written_small_and_their_evidence_is_not_shuffled(spark, small):
+    from heddle.plans import catalog
+
+    found = catalog.QUERIES["refused_evidence"](spark, small)
+    assert all(f.endswith(".json.gz") for f in found.inputFiles())
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
