@@ -139,3 +139,17 @@ def test_banned_stems_equal_a_pattern_each(spark):
     for t, hits in df.select("t", text.banned_hits(F.col("t"), phrases)).collect():
         folded = text.fold_python(t or "")
         assert hits == sorted(x for x in phrases if (p := text.banned_pattern(x)) and re.search(p, folded)), t
+
+
+def test_score_lines_are_composed_after_the_shuffle_and_scored_once(spark, small):
+    from heddle.plans import catalog
+
+    plan = catalog.QUERIES["score_mentions"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and plan.count(r"[^\x00-\x7f]") <= 2  # once for whether to fold, once in folding
+
+
+def test_scores_of_sentences_in_and_beyond_ascii(column):
+    from heddle.functions.text import scores
+
+    said = "HALF-TIME 1-0. ELFMETERSCHIEßEN 4:3! Verlängerung 2-2; Półfinał 3 - 1? Pō przerwie 9-9\nat last 2-1. 2-1"
+    assert column(scores, said) == ["3-1", "2-1"]
