@@ -78,3 +78,10 @@ def test_pool_stops_at_its_cap(spark):
     df = frame(spark, rows, "pool string, seq long, key string, title string, section boolean")
     got = [r.seq for r in ranking.first_keys(df, "pool", "seq", "key", "title", "section", pools.pool_cap()).orderBy("seq").collect()]
     assert got == [0, 1, 2, 3, 4, 5, *range(50, 60)]
+
+
+def test_scenarios_judge_each_document_once(spark, small):
+    from heddle.plans import catalog
+
+    found = catalog.QUERIES["scenario_results"](spark, small)
+    assert "package_exists" not in found._jdf.queryExecution().optimizedPlan().toString()
