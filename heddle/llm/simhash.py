@@ -26,7 +26,7 @@ Chains lengthen with the number of texts (``chain_length``), so that keys stay s
 the ring is as long as ``ring_size`` says, so that a pair at the threshold has no such chain in
 fewer than one of 10**8 cases. A small set has too few hashes for a ring; its keys are those of its
 first shingles that any set of this similarity must share one of (with n shingles, the first
-n - ceil(t * n) + 1 in any one order of all). Shingles that a sample of the texts repeats come last
+n - ceil(t * n) + 1 in any one order of all). Shingles that many small sets have come last
 in that order, so few sets meet at them. Sets that meet at a key form a group with the least of
 them, its head. A group's texts are compared in blocks with their head and with each other; then, in
 a group of several blocks, those that are not yet in its head's component with all others. The
@@ -58,8 +58,8 @@ from heddle.llm.components import connected_components
 BITS, SEED = 64, 42
 #: Shingles whose bits are counted at once, to bound memory on very long texts.
 BLOCK = 1 << 15
-#: Texts in the sample that tells which shingles are common, and how many of them make one so.
-SAMPLE_TEXTS, COMMON = 4000, 3
+#: How many small sets make a shingle common, and of how many.
+COMMON, COMMON_OF = 3, 4000
 #: Sets up to this size have keys of single shingles; larger ones, and those that can be similar to
 #: larger ones, have keys of chains.
 SMALL_SET = 128
@@ -222,22 +222,29 @@ def links(nodes: DataFrame, max_diff: int) -> DataFrame:
     return pairs.where(within).where(F.bit_count(diff) <= max_diff).select("a", "b")
 
 
-def common_shingles(df: DataFrame, n: int, width: int, text_col: str) -> np.ndarray:
-    """Sorted hashes of the shingles that COMMON texts or more of a sample have, at
-    most SAMPLE_TEXTS / COMMON times the shingles of a text."""
-    rows = df.select(filled(text_col))
-    if n > SAMPLE_TEXTS:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_TEXTS / n))
-    rows = rows.distinct()
+def common_shingles(df: DataFrame, width: int, text_col: str) -> np.ndarray:
+    """Sorted hashes of the shingles that COMMON small sets or more have, and COMMON of each COMMON_OF. All texts are counted, each
+    set once; at most SMALL_SET * COMMON_OF / COMMON shingles are so common."""
 
-    def make():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingle_hashes((x or "").encode(), width) for x in batch.column("text").to_pylist()]
-            return pa.record_batch([pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["shingle"])
-
-        return one
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, sets = [], []
+            for x in batch.column("text").to_pylist():
+                found = shingle_hashes(x, width)
+                if 0 < len(found) <= SMALL_SET and (node := set_name(found)) not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(found.view(np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets]), pa.int64()))
+            yield pa.record_batch([pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64()), lists], ["node", "shingles"])
 
-    counted = map_batches(rows, make, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    small_batches(df.sparkSession)
+    found = df.select(filled(text_col).cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    sets = materialise(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    least = max(COMMON, math.ceil(sets.count() * COMMON / COMMON_OF))
+    counted = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return np.sort(counted.select("shingle").toArrow().column("shingle").to_numpy().view(np.uint64))
 
 
@@ -419,7 +426,7 @@ def deduplicate(df: DataFrame, width: int = 5, similarity: float = 0.8, id_col:
     then name of the shingle set, then hash of the text. Of rows that repeat with their id, one
     stays. Texts link at this Jaccard similarity of their shingle sets."""
     n = df.count()
-    common = common_shingles(df, n, width, text_col)
+    common = common_shingles(df, width, text_col)
     rows = materialise(shingle_rows(df, width, similarity, n, common, id_col, text_col))
     labels = connected_components(similar_pairs(df, rows, width, similarity, id_col, text_col))
     counted = rows.groupBy("id", "hash", "node").agg(F.count("*").alias("n"))

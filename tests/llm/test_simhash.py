@@ -5,7 +5,7 @@ import xxhash
 from helpers import no_rows, odd_rows, shingle_set, table
 
 from heddle.llm.components import connected_components
-from heddle.llm.simhash import SMALL_SET, chain_length, deduplicate, fingerprint, keys_of, links, near_duplicates, no_chain, ring_size, shingle_hashes
+from heddle.llm.simhash import SMALL_SET, chain_length, common_shingles, deduplicate, fingerprint, keys_of, links, near_duplicates, no_chain, ring_size, shingle_hashes
 
 
 def slow_fingerprint(text, width):
@@ -168,3 +168,12 @@ def test_groups_of_several_blocks(spark, monkeypatch):
     assert 1 < len(set(expected.values())) < 90
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in deduplicate(df).collect()} == set(expected.values())
+
+
+def test_common_shingles_are_counted_over_all_texts(spark):
+    import numpy as np
+
+    texts = [f"a{k} b{k} c{k} " + ("here it stands" if k % 3000 < 3 else f"d{k}") for k in range(9000)]  # in 9 of 9,000
+    df = spark.createDataFrame([(x,) for x in [*texts, *texts[:50], "here it stands " * 300, None]], "text string")
+    found = common_shingles(df, width=3, text_col="text")
+    assert found.tolist() == shingle_hashes(b"here it stands", 3).tolist() and found.dtype == np.uint64
