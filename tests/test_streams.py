@@ -94,3 +94,26 @@ def test_cache_hits_equal_a_loop(spark, tmp_path, parts):
     assert {r.seq: r.hit for r in spark.read.parquet(f"{tmp_path}/out").collect()} == hits
     state = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "last").load()
     assert state.where(F.col("value").isNotNull()).count() <= 3
+
+
+def test_cache_keys_share_their_shards_state(spark, tmp_path):
+    import datetime
+
+    rng, schema = random.Random(3), "ts timestamp, seq long, site string, page long, keep boolean"
+    start, names = datetime.datetime(2024, 1, 1), ["a", 'a",', "null", None]
+    rows = [(start + datetime.timedelta(seconds=7 * k), k, rng.choice(names), rng.choice([*range(10), None]), rng.random() < 0.6) for k in range(600)]
+    rows.append((start + datetime.timedelta(days=2), 600, "z", 1, True))  # all others have expired
+    last, hits = {}, {}
+    for ts, k, *key, keep in rows:
+        hits[k] = (*key,) in last and (ts - last[*key]).total_seconds() < 400
+        if keep:
+            last[*key] = ts
+    for some in (rows[:250], rows[250:600], rows[600:]):
+        feed(spark, tmp_path, some, schema)
+        arriving = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        drained(cache.hits(arriving, ["site", "page"], "ts", "seq", 400, "keep", shards=3), str(tmp_path))
+        state = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "last").load()
+        kept = [r.value for r in state.where(F.col("value").isNotNull()).collect()]
+        assert len(kept) <= 3
+    assert {r.seq: r.hit for r in spark.read.parquet(f"{tmp_path}/out").collect()} == hits and any(hits.values())
+    assert [v.key for v in kept] == [['["z","1"]']]  # timers and later rows have removed the rest
