@@ -148,6 +148,30 @@ def test_score_lines_are_composed_after_the_shuffle_and_scored_once(spark, small
     assert "min_by" not in plan and plan.count(r"[^\x00-\x7f]") <= 2  # once for whether to fold, once in folding
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_score_lines_that_rows_share_are_scored_once(spark, tmp_path, monkeypatch, few):
+    """Copies with several quantities, of which "10" comes before "2", and rows without a line."""
+    from heddle.functions.text import scores
+    from heddle.plans import text_queries
+
+    monkeypatch.setattr(text_queries, "FEW_LINES", few)
+    keys = [(o, p, n) for o in range(30) for p in (o * 7 % 80, o * 11 % 80) for n in (1, 2, 3)]
+    rows = {(*k, float(q)) for j, k in enumerate(keys) for q in ((2, 10), (29, 12), (40,), (21, 22))[j % 4]}
+    odd = [(900, None, 1, 1.0), (901, 5, None, 1.0), (902, 5, 1, None)]
+    spark.createDataFrame([*rows, *odd], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    scored = text_queries.score_mentions(spark, str(tmp_path))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and r"[-:]" not in plan  # the rows themselves are not scored
+
+    line = lambda p, n, q: f"{text_queries.SENTENCES[p % 6]}. {text_queries.SENTENCES[p // 6 % 6]}!".replace("{}", f"{n}-{q}", 1).replace("{}", f"{p % 4}-{p % 3}", 1)
+    least = {(o, p, n): min(str(int(x[3]) % 20) for x in rows if x[:3] == (o, p, n)) for o, p, n, _ in rows}
+    lines = spark.createDataFrame([(*k, line(k[1], k[2], q)) for k, q in least.items()], "o long, p long, n int, line string")
+    wanted = {(r.o, r.p, r.n): (len(r.s), "2-1" in r.s or "1-2" in r.s) for r in lines.select("o", "p", "n", scores(F.col("line")).alias("s")).collect()}
+    wanted |= {x[:3]: (None, None) for x in odd}
+    found = [((r.l_orderkey, r.l_partkey, r.l_linenumber), (r.n_scores, r.has_final)) for r in scored.collect()]
+    assert dict(found) == wanted and len(found) == len(wanted)
+
+
 def test_scores_of_sentences_in_and_beyond_ascii(column):
     from heddle.functions.text import scores
 
