@@ -172,6 +172,27 @@ def test_score_lines_that_rows_share_are_scored_once(spark, tmp_path, monkeypatc
     assert dict(found) == wanted and len(found) == len(wanted)
 
 
+def test_score_lines_are_grouped_in_tasks_that_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from heddle.plans import text_queries
+
+    monkeypatch.setattr(text_queries, "TASKS_A_SPLIT", 3, raising=False)
+    table = spark.range(600).selectExpr("id div 2 as l_orderkey", "id div 4 as l_partkey", "1 as l_linenumber", "double(id % 50) as l_quantity")
+    for files in (3, 9):
+        table.repartition(files).write.parquet(f"{tmp_path}/{files}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # splits as of large files
+    try:
+        for files in (3, 9):
+            splits = spark.read.parquet(f"{tmp_path}/{files}/lineitem.parquet").rdd.getNumPartitions()
+            scored = text_queries.score_mentions(spark, f"{tmp_path}/{files}")
+            plan = scored._jdf.queryExecution().executedPlan().toString()
+            assert splits >= files and scored.rdd.getNumPartitions() == 3 * splits
+            assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")  # nothing is grouped before it
+            assert scored.count() == scored.select("l_orderkey").distinct().count() == 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_scores_of_sentences_in_and_beyond_ascii(column):
     from heddle.functions.text import scores
 
