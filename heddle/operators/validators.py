@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import fixed
-from heddle.functions.text import banned_hits, contains_verbatim, digit_tokens, fold, mentions_score, scores, sentence_count
+from heddle.functions.text import banned_hits, contains_verbatim, digit_tokens, fold, mentions_score, scores, sentence_count, trimmed, ungrouped
 from heddle.operators.rules import first_failure
 
 # Limits of the frame's fields; words that stand for no summary.
@@ -24,35 +26,52 @@ def repeats_score(text: Column, score: Column) -> Column:
     return F.coalesce((a != "") & mentions_score(scores(text), a, b), F.lit(False))
 
 
-def summary_verdict(summary: Column, article: Column, pool: Column, score: Column, banned: tuple[str, ...]) -> Column:
+def unknown_digits(text: Column, pool: Column, joined: Callable[[Column], Column] = ungrouped) -> Column:
+    return F.array_except(digit_tokens(text, joined), digit_tokens(pool, joined))
+
+
+def unknown_but_stages(text: Column, pool: Column) -> Column:
+    return unknown_digits(F.regexp_replace(text, fixed.STAGE_FRACTION, " "), pool)
+
+
+def summary_verdict(
+    summary: Column, article: Column, pool: Column, score: Column, banned: tuple[str, ...], said: Column | None = None,
+    unknown: Callable[[Column, Column], Column] = unknown_but_stages, folded: Callable[[Column], Column] = fold,
+) -> Column:
     """A summary is optional without an article; else enough closed sentences, not too long, with
-    the pool's numbers only, without the final score and banned phrases."""
-    text = F.btrim(F.coalesce(summary, F.lit("")))
+    the pool's numbers only, without the final score and banned phrases. ``said`` is the part that may
+    tell the score (all of it), ``unknown`` gives the text's numbers that the pool lacks, ``folded`` the
+    text in which banned phrases are looked for."""
+    text = trimmed(F.coalesce(summary, F.lit("")))
     text = F.when(F.lower(text).isin(*NO_SUMMARY), "").otherwise(text)
-    unknown = F.array_except(digit_tokens(F.regexp_replace(text, fixed.STAGE_FRACTION, " ")), digit_tokens(pool))
     ladder = [
         (text != "", "missing"),
         (sentence_count(text) >= fixed.SUMMARY_SENTENCES, "too_few_sentences"),
         (F.regexp_count(F.right(text, F.lit(3)), F.lit(fixed.SENTENCE_END)) > 0, "cut_off"),
         (F.length(text) <= fixed.SUMMARY_CHARS, "too_long"),
-        (F.size(unknown) == 0, "unknown_digits"),
-        (~repeats_score(text, score), "repeats_score"),
-        (F.size(banned_hits(text, banned)) == 0, "banned"),
+        (F.size(unknown(text, pool)) == 0, "unknown_digits"),
+        (~repeats_score(text if said is None else said, score), "repeats_score"),
+        (F.size(banned_hits(text, banned, folded)) == 0, "banned"),
     ]
     return F.when(F.coalesce(article, F.lit("")) == "", "ok").otherwise(first_failure(ladder))
 
 
-def frame_verdict(frame: dict[str, Column], score: Column, pool: Column, based_on: Column, allowed: Column, banned: tuple[str, ...]) -> Column:
+def frame_verdict(
+    frame: dict[str, Column], score: Column, pool: Column, based_on: Column, allowed: Column, banned: tuple[str, ...], said: dict[str, Column] | None = None,
+    unknown: Callable[[Column, Column], Column] = unknown_digits, folded: Callable[[Column], Column] = fold,
+) -> Column:
     """Fields present and within limits, no score in hook and title, the call to action a question,
-    nothing banned, the pool's numbers only, based on known quotes."""
-    value = {k: F.btrim(F.coalesce(c, F.lit(""))) for k, c in frame.items()}
+    nothing banned, the pool's numbers only, based on known quotes. ``said`` has what of hook and title
+    may tell the score (all of both); ``unknown`` and ``folded`` are as in ``summary_verdict``."""
+    value = {k: trimmed(F.coalesce(c, F.lit(""))) for k, c in frame.items()}
+    said = {k: value[k] for k in ("hook", "title_body")} if said is None else said
     ladder = [rule for k, n in FRAME_LIMITS.items() for rule in ((value[k] != "", f"empty_{k}"), (F.length(value[k]) <= n, f"long_{k}"))]
     whole = F.concat_ws(" ", *(value[k] for k in FRAME_LIMITS))
-    ladder += [(~repeats_score(value[k], score), f"score_in_{k}") for k in ("hook", "title_body")]
+    ladder += [(~repeats_score(c, score), f"score_in_{k}") for k, c in said.items()]
     ladder += [
         (value["cta"].endswith("?"), "cta_no_question"),
-        (F.size(banned_hits(whole, banned)) == 0, "banned"),
-        (F.size(F.array_except(digit_tokens(whole), digit_tokens(F.concat_ws(" ", pool, score)))) == 0, "unknown_digits"),
+        (F.size(banned_hits(whole, banned, folded)) == 0, "banned"),
+        (F.size(unknown(whole, F.concat_ws(" ", pool, score))) == 0, "unknown_digits"),
         (F.size(based_on) > 0, "based_on_empty"),
         (F.size(F.array_except(based_on, allowed)) == 0, "based_on_unknown"),
     ]
